@@ -59,35 +59,32 @@ def partial_date(
     )
 
 
-def date_bounds(point: Column) -> Column:
-    """First and last day a partial date can mean, as ``struct<lo,hi>``; null when unknown."""
-    exact = iso_date(point["date"])
+def first_day(point: Column) -> Column:
+    """First day a partial date can mean."""
     year, month = point["year"], point["month"]
-    by_month = year.isNotNull() & month.between(1, 12)
-    low = (
-        F.when(exact.isNotNull(), exact)
-        .when(by_month, F.make_date(year, month, F.lit(1)))
-        .when(year.isNotNull(), F.make_date(year, F.lit(1), F.lit(1)))
-    )
-    high = (
-        F.when(exact.isNotNull(), exact)
-        .when(by_month, F.last_day(F.make_date(year, month, F.lit(1))))
-        .when(year.isNotNull(), F.make_date(year, F.lit(12), F.lit(31)))
+    opening = F.when(year.isNotNull(), F.make_date(year, F.when(month.between(1, 12), month).otherwise(F.lit(1)), F.lit(1)))
+    return F.coalesce(iso_date(point["date"]), opening)
+
+
+def last_day(point: Column) -> Column:
+    """Last day a partial date can mean."""
+    year, month = point["year"], point["month"]
+    closing = F.when(
+        year.isNotNull(), F.last_day(F.make_date(year, F.when(month.between(1, 12), month).otherwise(F.lit(12)), F.lit(1)))
     )
-    return F.when(low.isNotNull(), F.struct(low.alias("lo"), high.alias("hi")))
+    return F.coalesce(iso_date(point["date"]), closing)
+
+
+def date_bounds(point: Column) -> Column:
+    """``struct<lo,hi>`` of a partial date; both null when unknown."""
+    return F.struct(first_day(point).alias("lo"), last_day(point).alias("hi"))
 
 
 def signal_interval(event_date: Column, reference_period: Column) -> Column:
     """Interval a signal covers: its event date, else its reference period."""
     start = iso_date(event_date["start"].cast("string"))
     end = iso_date(event_date["end"].cast("string"))
-    from_start, from_end = date_bounds(reference_period["start"]), date_bounds(reference_period["end"])
-    return (
-        F.when(start.isNotNull(), F.struct(start.alias("lo"), F.coalesce(end, start).alias("hi")))
-        .when(
-            from_start.isNotNull() & from_end.isNotNull(),
-            F.struct(from_start["lo"].alias("lo"), from_end["hi"].alias("hi")),
-        )
-        .when(from_start.isNotNull(), from_start)
-        .otherwise(from_end)
-    )
+    opens, closes = reference_period["start"], reference_period["end"]
+    low = F.coalesce(start, first_day(opens), first_day(closes))
+    high = F.when(start.isNotNull(), F.coalesce(end, start)).otherwise(F.coalesce(last_day(closes), last_day(opens)))
+    return F.struct(low.alias("lo"), high.alias("hi"))

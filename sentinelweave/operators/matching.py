@@ -124,43 +124,46 @@ def _distinct_norm(array: Column) -> Column:
 def match_features(signals: DataFrame, cfg: MatchConfig = MatchConfig(), id_col: str = "signal_id") -> DataFrame:
     """One narrow ``mf`` struct per signal holding everything a pair score needs."""
     s = F.col
-    folded = fold_accents(signal_text(s("signal_summary"), s("evidence")))
-    transmission = {f: norm_text(s("transmission")[f]) for f in TRANSMISSION_FIELDS}
-    refuted = F.lit(False)
-    for value in transmission.values():
-        refuted = refuted | yes(value == "refuted")
-    known = F.lit(False)
-    for value in transmission.values():
-        known = known | yes(value != "unknown")
-    negative = yes(norm_text(s("signal_role")) == "negative_evidence") & (
-        yes(norm_text(s("verification_status")) == "refuted") | refuted
-    )
     result = norm_text(s("diagnostics")["result"])
-    interval = signal_interval(s("event_date"), s("reference_period"))
-    mf = F.struct(
+    normal = signals.select(
+        s(id_col).alias("signal_id"),
         manifest_eligible(s("signal_role"), s("signal_type"), cfg.eligibility).alias("eligible"),
         entity_name(s("disease")).alias("disease"),
         entity_name(s("pathogen")).alias("pathogen"),
         _norm_locations(s("locations"), EVENT_ROLES).alias("event_places"),
         _norm_locations(s("locations"), CONTEXT_ROLES).alias("context_places"),
-        interval["lo"].alias("lo"),
-        interval["hi"].alias("hi"),
+        signal_interval(s("event_date"), s("reference_period")).alias("__span"),
         F.coalesce(F.size(s("hosts")), F.lit(0)).alias("host_count"),
         _distinct_norm(
             F.transform(s("hosts"), lambda h: norm_text(F.coalesce(F.nullif(h["canonical_name"], F.lit("")), h["verbatim"])))
         ).alias("host_names"),
         _distinct_norm(F.transform(s("hosts"), lambda h: norm_text(h["host_type"]))).alias("host_types"),
         norm_text(s("signal_type")).alias("type"),
-        F.when(result.isin("positive", "negative", "indeterminate"), result).alias("result"),
-        *[transmission[f].alias(f) for f in TRANSMISSION_FIELDS],
-        known.alias("transmission_known"),
+        result.alias("__result"),
+        *[norm_text(s("transmission")[f]).alias(f) for f in TRANSMISSION_FIELDS],
         _distinct_norm(F.transform(s("domains"), norm_text)).alias("domains"),
-        negative.alias("negative_refutation"),
-        refuted.alias("refuted"),
+        norm_text(s("signal_role")).alias("__role"),
+        norm_text(s("verification_status")).alias("__status"),
         yes(s("genomics")["sequence_reported"]).alias("sequenced"),
-        contains_any(F.coalesce(folded, F.lit("")), NON_RELATION_MARKERS).alias("non_relation"),
+        F.coalesce(fold_accents(signal_text(s("signal_summary"), s("evidence"))), F.lit("")).alias("__text"),
+    )
+    refuted, known = F.lit(False), F.lit(False)
+    for name in TRANSMISSION_FIELDS:
+        refuted = refuted | yes(F.col(name) == "refuted")
+        known = known | yes(F.col(name) != "unknown")
+    features = normal.withColumns(
+        {
+            "lo": F.col("__span.lo"),
+            "hi": F.col("__span.hi"),
+            "result": F.when(F.col("__result").isin("positive", "negative", "indeterminate"), F.col("__result")),
+            "refuted": refuted,
+            "transmission_known": known,
+            "negative_refutation": yes(F.col("__role") == "negative_evidence") & (yes(F.col("__status") == "refuted") | refuted),
+            "non_relation": contains_any(F.col("__text"), NON_RELATION_MARKERS),
+        }
     )
-    return signals.select(F.col(id_col).alias("signal_id"), mf.alias("mf"))
+    fields = [c for c in features.columns if c != "signal_id" and not c.startswith("__")]
+    return features.select("signal_id", F.struct(*fields).alias("mf"))
 
 
 def etiology(l: Column, r: Column) -> Column:
@@ -171,11 +174,7 @@ def etiology(l: Column, r: Column) -> Column:
         .when(l["pathogen"].isin(GENUS_SYNONYMS) & r["pathogen"].isin(GENUS_SYNONYMS), F.lit(0.85))
         .otherwise(F.lit(0.0)),
     )
-    return (
-        F.when(pathogen.isNotNull() & disease.isNotNull(), 0.75 * pathogen + 0.25 * disease)
-        .when(pathogen.isNotNull(), pathogen)
-        .when(disease.isNotNull(), F.when(disease == 1.0, F.lit(0.80)).otherwise(F.lit(0.0)))
-    )
+    return F.coalesce(0.75 * pathogen + 0.25 * disease, pathogen, 0.80 * disease)
 
 
 def place_similarity(a: Column, b: Column) -> Column:
@@ -242,17 +241,14 @@ def epidemiology(l: Column, r: Column) -> Column:
     base = F.when(l["type"] == r["type"], F.lit(1.0)).otherwise(
         F.coalesce(F.try_element_at(table, type_pair(l, r)), F.lit(DEFAULT_COMPATIBILITY))
     )
-    opposite = (
-        ((l["result"] == "positive") & (r["result"] == "negative"))
-        | ((l["result"] == "negative") & (r["result"] == "positive"))
-    )
-    score = F.when(yes(opposite), F.least(base, F.lit(0.25))).otherwise(base)
+    # least() skips nulls, so a cap that does not apply is simply null.
+    caps = [F.when((l["result"] != r["result"]) & l["result"].isin("positive", "negative") & r["result"].isin("positive", "negative"), F.lit(0.25))]
     both = (l["type"] == "transmission_observation") & (r["type"] == "transmission_observation")
     for name in TRANSMISSION_FIELDS:
         a, b = l[name], r[name]
-        differ = yes(both & (a != "unknown") & (b != "unknown") & (a != b))
         cap = F.when((a == "refuted") | (b == "refuted"), F.lit(0.10)).otherwise(F.lit(0.75))
-        score = F.when(differ, F.least(score, cap)).otherwise(score)
+        caps.append(F.when(both & (a != "unknown") & (b != "unknown") & (a != b), cap))
+    score = F.least(base, *caps)
     return F.when(l["type"].isNotNull() & r["type"].isNotNull(), score)
 
 

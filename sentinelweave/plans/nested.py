@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentinelweave.operators.hydrate import collect_children, hydrate_signals
-from sentinelweave.plans.views import view
+from sentinelweave.plans.views import remembered, view
 
 
 def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals with ordered arrays of locations, hosts, metrics and evidence."""
+    return remembered(spark, sf_dir, "nested_signals", lambda: _nested_signals(spark, sf_dir))
+
+
+def _nested_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = F.lit(None).cast("string")
     loc = view(spark, sf_dir, "sig_loc").select(
         "signal_id", "seq", "country", "country_iso2", "admin1", "admin2", "locality", null.alias("region"),

@@ -187,31 +187,32 @@ def _(spark, sf):
 
 
 # Documents with paragraphs about a named vessel, an anaphoric paragraph and a context reset.
-_SHIP_DOC = """select raw_item_id, 'Salida del buque Aurora ' || raw_item_id || chr(10) || chr(10) || case when cast(raw_item_id as bigint) % 4 = 0 then 'A nivel nacional ' else 'Siguen ' end
+_SHIP_DOC = """select raw_item_id, 'Salida del buque Aurora N' || raw_item_id || chr(10) || chr(10) || case when cast(raw_item_id as bigint) % 4 = 0 then 'A nivel nacional ' else 'Siguen ' end
   || case when cast(raw_item_id as bigint) % 3 = 0 then 'las muestras ' else 'los casos ' end || 'click seen by  ' || raw_item_id || '.' || chr(10) || chr(10) || raw_text as raw_text from {raw_text}"""
 
 
 @query(
     "mt13_context_anchors",
     """select s.signal_id, case when s.signal_summary like '%MV Hondius%' then 'vessel:mv hondius'
-      when s.user_id % 4 <> 0 and s.user_id % 3 <> 0 and e.quoted then 'vessel:aurora ' || s.raw_item_id else '' end as anchor_list
+      when s.user_id % 4 <> 0 and s.user_id % 3 <> 0 and e.quoted then 'vessel:aurora n' || s.raw_item_id else '' end as anchor_list
     from {sig} s join (select signal_id, bool_or(text = 'click seen by  ' || raw_item_id) as quoted from {sig_evidence} group by signal_id) e on e.signal_id = s.signal_id""",
 )
 def _(spark, sf):
     from sentinelweave.plans.views import run_sql
 
-    raw = run_sql(spark, sf, _SHIP_DOC.replace("chr(", "char("))
+    raw = run_sql(spark, sf, _SHIP_DOC)
     out = context_anchors(nested_signals(spark, sf), raw)
     return out.select("signal_id", F.array_join("context_anchors", "|").alias("anchor_list"))
 
 
 CANDIDATES = f""", live as (select * from {{sig_eligible}} where is_current and event_matching_eligible),
-near as (select anchor_id, candidate_id, rank, same_pathogen, same_disease, days from (
-  select a.signal_id as anchor_id, c.signal_id as candidate_id, coalesce(a.pathogen_id = c.pathogen_id, false) as same_pathogen,
-    coalesce(a.disease_id = c.disease_id, false) as same_disease, abs(a.occurred_start - c.occurred_start) as days,
-    row_number() over (partition by a.signal_id order by coalesce(a.pathogen_id = c.pathogen_id, false) desc, coalesce(a.disease_id = c.disease_id, false) desc,
-      abs(a.occurred_start - c.occurred_start) asc nulls last, c.created_at desc, c.signal_id) as rank
-  from live a join live c on a.signal_id <> c.signal_id) q where rank <= {K})"""
+best as (select a.signal_id as anchor_id, min_by(struct_pack(candidate_id := c.signal_id, same_pathogen := coalesce(a.pathogen_id = c.pathogen_id, false),
+      same_disease := coalesce(a.disease_id = c.disease_id, false), days := abs(a.occurred_start - c.occurred_start)),
+    row(coalesce(a.pathogen_id <> c.pathogen_id, true), coalesce(a.disease_id <> c.disease_id, true), coalesce(abs(a.occurred_start - c.occurred_start), 1000000),
+      -epoch_us(c.created_at), c.signal_id), {K}) as near
+  from live a join live c on a.signal_id <> c.signal_id group by a.signal_id),
+near as materialized (select anchor_id, c.candidate_id as candidate_id, rank, c.same_pathogen as same_pathogen, c.same_disease as same_disease, c.days as days
+  from (select anchor_id, unnest(near) as c, generate_subscripts(near, 1) as rank from best) q)"""
 
 
 def live_index(spark, sf):

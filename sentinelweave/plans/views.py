@@ -9,6 +9,7 @@ Every view reads its whole table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -224,11 +225,22 @@ def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def remembered(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Reuse an already analysed lazy plan of this session; no data is held."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or derived view as a lazy DataFrame."""
     if name not in VIEWS:
-        return _rows(spark, sf_dir, name)
-    return run_sql(spark, sf_dir, VIEWS[name])
+        return remembered(spark, sf_dir, name, lambda: _rows(spark, sf_dir, name))
+    return remembered(spark, sf_dir, name, lambda: run_sql(spark, sf_dir, VIEWS[name]))
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
