@@ -81,3 +81,54 @@ def _nested_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         metrics=collect_children(metric, "signal_id", ["seq"], "metrics"),
         evidence=collect_children(evidence, "signal_id", ["seq"], "evidence"),
     )
+
+
+def nested_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested claim per row, in contract shape."""
+    return remembered(spark, sf_dir, "nested_claims", lambda: _nested_claims(spark, sf_dir))
+
+
+def _nested_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = view(spark, sf_dir, "clm")
+    null, none = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def place(role, locality, admin1):
+        return F.struct(
+            F.lit("Argentina").alias("country"), F.col("loc_iso2").alias("country_iso2"), admin1.alias("admin1"), null.alias("admin2"),
+            locality.alias("locality"), null.alias("region"), F.lit("locality").alias("precision"), F.lit(0.8).alias("confidence"), role.alias("role"),
+        )
+
+    def point(year):
+        year = year.cast("int")
+        return F.struct(
+            null.alias("date"), year.alias("year"), none.alias("month"), F.when(year.isNull(), "unknown").otherwise("year").alias("precision"), null.alias("verbatim")
+        )
+
+    def quote(kind, text):
+        return F.struct(kind.alias("type"), text.alias("text"), null.alias("location_in_document"), none.alias("page_number"))
+
+    second_place = F.when(F.col("loc2_role").isNotNull(), place(F.col("loc2_role"), F.concat(F.lit("Town "), (F.col("sk") % 5).cast("string")), null))
+    second_quote = F.when(F.col("evidence2_text").isNotNull(), quote(F.lit("text"), F.col("evidence2_text")))
+    return v.select(
+        "doc", F.col("ord").cast("double").alias("ord"), "claim_id", "group_id", "claim_kind", "polarity",
+        F.array_compact(F.array("domain_a", "domain_b")).alias("domains"), "disease_verbatim", "pathogen_verbatim",
+        F.struct(F.col("subject_verbatim").alias("verbatim"), F.col("subject_name").alias("canonical_name"), "subject_type", F.lit(0.7).alias("confidence")).alias("subject"),
+        F.array_compact(F.array(place(F.col("loc_role"), F.col("loc_locality"), F.col("loc_admin1")), second_place)).alias("locations"),
+        F.struct(F.col("event_start").alias("start"), null.alias("end"), F.col("event_precision").alias("precision")).alias("event_date"),
+        F.struct(point(F.col("period_from")).alias("start"), point(F.col("period_to")).alias("end"), "period_type", F.col("period_verbatim").alias("verbatim")).alias("reference_period"),
+        F.struct(
+            F.col("metric_reported").alias("reported"), F.col("metric_name").alias("name"), F.col("metric_value").alias("value_numeric"), null.alias("value_text"),
+            F.when(F.col("metric_reported"), "persons").alias("unit"), F.col("metric_date").alias("as_of_date"), none.alias("as_of_year"), none.alias("as_of_month"),
+            F.lit("unknown").alias("as_of_precision"), null.alias("as_of_verbatim"),
+        ).alias("metric"),
+        F.struct(
+            "test_reported", null.alias("test_type"), null.alias("method"), F.col("test_target").alias("target"), null.alias("specimen"), F.col("test_result").alias("result")
+        ).alias("diagnostics"),
+        F.struct(
+            F.col("sequenced").alias("sequence_reported"), "lineage", null.alias("clade"), null.alias("accession"), F.lit("not_applicable").alias("test_result")
+        ).alias("genomics"),
+        F.struct("human_to_human", "animal_to_human", F.lit("unknown").alias("vector_borne")).alias("transmission"),
+        "verification_status", "summary",
+        F.array_compact(F.array(quote(F.col("evidence_type"), F.col("evidence_text")), second_quote)).alias("evidence"),
+        F.col("confidence").cast("double").alias("confidence"),
+    )

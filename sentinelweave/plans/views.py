@@ -218,6 +218,53 @@ select 'R' || cast(o_orderkey as string) as run_id, o_orderkey as n, cast(o_cust
 from {orders}
 """
 
+# One row per claim: an order is a document, its lines are claims in a fixed order.
+VIEWS["line"] = """
+select cast(l_orderkey as string) as doc, l_orderkey as n_doc,
+  cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as int) as ord,
+  l_partkey as pk, l_suppkey as sk, cast(l_quantity as bigint) as qty, l_returnflag, l_linestatus, cast(l_shipdate as date) as shipped,
+  cast(round(l_discount * 100) as bigint) as disc
+from {lineitem}
+"""
+
+VIEWS["clm"] = """
+select doc, n_doc, ord, pk, sk, qty, 'c' || doc || '-' || cast(ord as string) as claim_id,
+  case sk % 5 when 0 then null when 1 then '' else 'g' || cast(sk % 3 as string) end as group_id,
+  case pk % 15 when 0 then 'outbreak_update' when 1 then 'case_status' when 2 then 'death_count' when 3 then 'surveillance_baseline'
+    when 4 then 'wildlife_sampling' when 5 then 'wildlife_presence_absence' when 6 then 'diagnostic_result' when 7 then 'laboratory_investigation'
+    when 8 then 'genomic_finding' when 9 then 'transmission_statement' when 10 then 'mobility' when 11 then 'historical_context'
+    when 12 then 'intervention' when 13 then 'official_action' else 'syndromic_cluster' end as claim_kind,
+  case when l_returnflag = 'R' then 'negative' when l_linestatus = 'O' then 'not_applicable' else 'positive' end as polarity,
+  case pk % 4 when 0 then 'human' when 1 then 'animal' when 2 then 'human' else null end as domain_a,
+  case when pk % 10 = 0 then 'environment' else null end as domain_b,
+  case pk % 7 when 0 then 'hantavirus' when 1 then null when 2 then ' Hantavirus ' when 3 then ' ' when 4 then '' else 'dengue' end as disease_verbatim,
+  case sk % 6 when 0 then 'virus Andes' when 1 then null when 2 then 'Orthohantavirus andesense' when 3 then 'hantavirus' when 4 then '' else 'flavivirus' end as pathogen_verbatim,
+  case qty % 6 when 0 then 'human' when 1 then 'animal' when 2 then 'wildlife' when 3 then 'human' when 4 then 'vector' else 'other' end as subject_type,
+  case qty % 7 when 0 then 'los casos confirmados' when 1 then 'personal del ministerio' when 2 then 'granjas' when 3 then null else 'subject ' || cast(sk % 4 as string) end as subject_verbatim,
+  case when qty % 5 = 0 then 'Taxon ' || cast(sk % 3 as string) else null end as subject_name,
+  'AR' as loc_iso2, 'Adm ' || cast(sk % 3 as string) as loc_admin1, case when pk % 3 = 0 then 'Town ' || cast(sk % 5 as string) else null end as loc_locality,
+  case sk % 4 when 0 then 'event_location' when 1 then 'current_location' when 2 then 'reporting_jurisdiction' else 'laboratory_location' end as loc_role,
+  case when pk % 4 = 1 then 'event_location' else null end as loc2_role,
+  case when pk % 3 = 0 then null else cast(shipped as string) end as event_start, case when pk % 3 = 0 then 'unknown' when pk % 3 = 1 then 'day' else 'month' end as event_precision,
+  case qty % 4 when 0 then 'historical_period' when 1 then 'unknown' when 2 then 'season' else 'surveillance_period' end as period_type,
+  case when qty % 8 < 4 then 2019 else null end as period_from, case when qty % 8 < 5 then 2021 else null end as period_to,
+  case when qty % 9 = 0 then 'last season' else null end as period_verbatim,
+  pk % 2 = 0 as metric_reported, case pk % 6 when 0 then 'new_cases' when 2 then 'deaths' when 4 then 'confirmed_cases' else null end as metric_name,
+  case when pk % 2 = 0 then cast(qty % 5 as double) else null end as metric_value,
+  case when pk % 8 = 0 then '2024' when pk % 8 = 2 then '2024-05' when pk % 8 = 4 then '2024-05-06' else null end as metric_date,
+  sk % 5 = 0 as test_reported, case sk % 7 when 0 then 'positive' when 1 then 'negative' when 2 then 'pending' when 3 then null when 4 then 'positive' else 'unknown' end as test_result,
+  case when sk % 9 = 0 then 'Cepa de ORIGEN' else null end as test_target,
+  qty % 3 = 0 as sequenced, case when qty % 12 = 0 then 'L1' else null end as lineage,
+  case qty % 10 when 0 then 'documented' when 1 then 'refuted' else 'unknown' end as human_to_human, case disc when 3 then 'refuted' when 4 then 'possible' else 'unknown' end as animal_to_human,
+  case disc when 0 then 'confirmed' when 1 then 'probable' when 2 then 'suspected' when 3 then 'refuted' when 4 then 'unknown' else 'reported' end as verification_status,
+  case qty % 13 when 0 then 'Capacitación de equipos' when 1 then 'Se está investigando el origen del brote' when 2 then 'Variante viral no descripta previamente en casos humanos, diferente'
+    when 3 then '  ' when 4 then 'Vigilancia del NOA de hantavirus' when 5 then 'Total a nivel nacional' else 'Claim ' || cast(pk % 5 as string) end as summary,
+  case pk % 3 when 0 then 'quote' when 1 then 'excerpt' else 'table' end as evidence_type, 'obs ' || cast(qty as string) || case when qty % 11 = 0 then ' virus Andes' else '' end as evidence_text,
+  case when pk % 5 = 0 then 'obs common ' || doc else null end as evidence2_text,
+  case when pk % 13 = 0 then null else round(disc / 10.0, 1) end as confidence
+from {line}
+"""
+
 _REFERENCE = re.compile(r"\{([a-z_]+)\}")
 
 
