@@ -325,33 +325,29 @@ def _compatible(a: Column, b: Column) -> Column:
 def merge_surveillance_snapshots(claims: DataFrame) -> DataFrame:
     """Compatible current baselines of a document share the group of the first one.
 
-    First fit against cluster heads, in order: one fold over the baseline rows of a
-    document; documents with fewer than two such rows are not touched.
+    First fit against cluster heads, in order, folded over the baseline rows of the
+    document.  A window by document keeps the rows where they already are.
     """
     baseline = yes(c("claim_kind") == "surveillance_baseline") & ~yes(c("reference_period.period_type") == "historical_period")
-    hints = _baseline_hints()
-    rows = claims.filter(baseline).select("doc", F.struct(c("ord"), group_key().alias("grp"), *[v.alias(k) for k, v in hints.items()]).alias("b"))
-    docs = rows.groupBy("doc").agg(F.array_sort(F.collect_list("b")).alias("bs")).filter(F.size("bs") > 1)
-    struct = docs.schema["bs"].dataType.elementType.simpleString()
+    hint = F.struct(c("ord"), group_key().alias("grp"), *[v.alias(k) for k, v in _baseline_hints().items()])
+    marked = claims.withColumn("__b", F.when(baseline, hint))
+    struct = marked.schema["__b"].dataType.simpleString()
+    marked = marked.withColumn("__bs", F.array_sort(F.collect_list("__b").over(Window.partitionBy("doc"))))
 
     def step(acc: Column, b: Column) -> Column:
         head = F.get(F.filter(acc["heads"], lambda h: _compatible(h, b)), F.lit(0))
-        placed = F.struct(b["ord"].alias("ord"), F.coalesce(head["grp"], b["grp"]).alias("grp"), head.isNotNull().alias("joined"))
+        placed = F.struct(b["ord"].alias("ord"), head["grp"].alias("grp"))
         return F.struct(
             F.when(head.isNull(), F.concat(acc["heads"], F.array(b))).otherwise(acc["heads"]).alias("heads"),
             F.concat(acc["placed"], F.array(placed)).alias("placed"),
         )
 
     start = F.struct(
-        F.array().cast(f"array<{struct}>").alias("heads"),
-        F.array().cast("array<struct<ord:double,grp:string,joined:boolean>>").alias("placed"),
+        F.array().cast(f"array<{struct}>").alias("heads"), F.array().cast("array<struct<ord:double,grp:string>>").alias("placed")
     )
-    moved = (
-        docs.select("doc", F.explode(F.aggregate("bs", start, step)["placed"]).alias("p"))
-        .filter("p.joined")
-        .select("doc", F.col("p.ord").alias("ord"), F.col("p.grp").alias("new_group"))
-    )
-    return claims.join(moved, ["doc", "ord"], "left").withColumn("group_id", F.coalesce("new_group", "group_id")).select(*claims.columns)
+    mine = F.filter(F.aggregate("__bs", start, step)["placed"], lambda x: x["ord"] == c("ord"))
+    joined = F.when(c("__b").isNotNull() & (F.size("__bs") > 1), F.get(mine, F.lit(0))["grp"])
+    return marked.withColumn("group_id", F.coalesce(joined, c("group_id"))).select(*claims.columns)
 
 
 def _drop_role(locations: Column, role: str) -> Column:
@@ -675,24 +671,29 @@ def merge_nonrelation(signals: DataFrame) -> DataFrame:
     """Genomic non-relation findings fold into the document's negative transmission signal.
 
     Target: the only one, else the first with the same pathogen, else the first.  The
-    findings are folded in order into the target; both sides stay in one document.
+    findings are folded in order; windows by document need no join of the signals with
+    themselves.
     """
     text = claim_text(c("signal_summary"), c("evidence"))
     target = yes(c("signal_type") == "transmission_observation") & (
         yes(c("signal_role") == "negative_evidence") | yes(c("transmission.animal_to_human") == "refuted")
     )
     finding = yes(c("signal_type") == "genomic_observation") & contains_any(text, HUMAN_CONTEXT) & contains_any(text, DIFFERENCE)
-    marked = signals.withColumns({"__target": target, "__finding": finding})
-    targets = marked.filter("__target").select("doc", c("nn").alias("t_nn"), c("pathogen.canonical_name").alias("t_name"))
     moving = ["domains", "pathogen", "genomics", "hosts", "evidence", "signal_summary"]
-    findings = marked.filter("__finding").select("doc", c("nn").alias("f_nn"), F.struct(*moving).alias("f"))
-    same = yes(filled(c("t_name")) & (c("t_name") == c("f.pathogen.canonical_name")))
-    choice = findings.join(targets, "doc").groupBy("doc", "f_nn").agg(
-        F.min_by("t_nn", F.struct((~same).alias("other"), c("t_nn").alias("n"))).alias("nn"), F.first("f").alias("f")
+    doc = Window.partitionBy("doc")
+    marked = signals.withColumns({"__target": target, "__finding": finding})
+    goal = F.when(c("__target"), F.struct(c("nn"), c("pathogen.canonical_name").alias("name")))
+    marked = marked.withColumn("__targets", F.array_sort(F.collect_list(goal).over(doc)))
+    own = c("pathogen.canonical_name")
+    alike = F.filter("__targets", lambda t: yes(filled(t["name"]) & (t["name"] == own)))
+    choice = F.when(
+        c("__finding"), F.coalesce(F.when(F.size("__targets") > 1, F.get(alike, F.lit(0))["nn"]), F.get("__targets", F.lit(0))["nn"])
     )
-    gathered = choice.groupBy("doc", "nn").agg(F.array_sort(F.collect_list(F.struct("f_nn", "f")), _by_finding).alias("__f"))
-    removed = choice.select("doc", c("f_nn").alias("nn"))
-    joined = marked.join(removed, ["doc", "nn"], "left_anti").join(gathered, ["doc", "nn"], "left")
+    marked = marked.withColumn("__goal", choice).drop("__targets")
+    move = F.when(c("__goal").isNotNull(), F.struct(c("__goal").alias("goal"), c("nn").alias("f_nn"), F.struct(*moving).alias("f")))
+    marked = marked.withColumn("__moves", F.collect_list(move).over(doc)).filter("__goal is null")
+    mine = F.array_sort(F.filter("__moves", lambda m: m["goal"] == c("nn")), _by_finding)
+    joined = marked.withColumn("__f", F.when(c("__target") & (F.size("__moves") > 0), mine))
     state = F.struct(*moving)
 
     def fold(acc: Column, x: Column) -> Column:
@@ -709,7 +710,7 @@ def merge_nonrelation(signals: DataFrame) -> DataFrame:
             F.when((said != "") & ~F.contains(own, said), strip_text(F.concat_ws(" ", said, own))).otherwise(acc["signal_summary"]).alias("signal_summary"),
         )
 
-    hit = c("__f").isNotNull()
+    hit = F.coalesce(F.size("__f"), F.lit(0)) > 0
     merged = joined.withColumn("__m", F.when(hit, F.aggregate("__f", state, fold)))
     return merged.withColumns(
         {
@@ -783,8 +784,12 @@ def reclassify_surveillance(signals: DataFrame) -> DataFrame:
 
 
 def prepare_claims(claims: DataFrame) -> DataFrame:
-    """All claim-level steps in order, ending with the claims that become signals."""
-    out = split_multisite(claims).filter(~facility_inventory())
+    """All claim-level steps in order, ending with the claims that become signals.
+
+    Everything after this one shuffle is keyed by document or finer, so the windows and
+    the fold reuse the partitioning.
+    """
+    out = split_multisite(claims.repartition("doc")).filter(~facility_inventory())
     out = mobility_to_intervention(collective_characterisation(attach_lab_confirmation(promote_animal_outbreaks(out))))
     out = merge_surveillance_snapshots(out.filter(~generic_investigation()))
     out = genomic_group(mobility_window(group_rewrites(out)))

@@ -129,7 +129,7 @@ FOLD = f"""f0 as (select *, coalesce(nullif(group_id, ''), claim_id) as gk, {LAB
 f1 as (select *, min(ord) over (partition by doc, gk) as gfirst from f0),
 f2 as (select doc, gk, bucket, min(ord) as o, min(gfirst) as g, count(*) as n, list(claim_kind order by ord) as kinds, bool_or(polarity = 'negative') as anyneg, bool_and(polarity = 'negative') as allneg,
     bool_or(claim_kind = 'wildlife_presence_absence' and polarity = 'negative') as wneg,
-    round(avg(coalesce(nullif(confidence, 0), 0.5)), 4) as conf, list_distinct(list(domain_a) filter (domain_a is not null) || list(domain_b) filter (domain_b is not null)) as doms,
+    round(avg(coalesce(nullif(confidence, 0), 0.5)), 4) as conf, list_distinct(coalesce(list(domain_a) filter (domain_a is not null), []) || coalesce(list(domain_b) filter (domain_b is not null), [])) as doms,
     arg_min(trim(disease_verbatim), ord) filter (trim(disease_verbatim) <> '') as disease, arg_min(trim(pathogen_verbatim), ord) filter (trim(pathogen_verbatim) <> '') as pathogen,
     arg_min(test_result, ord) filter (test_reported or test_result not in ('unknown', 'not_applicable')) as first_result,
     arg_min(sequenced, ord) filter (sequenced or lineage is not null) as first_seq, arg_min(coalesce(lineage, ''), ord) filter (sequenced or lineage is not null) as first_lineage,
@@ -239,7 +239,7 @@ def _(spark, sf):
       select *, bool_or(tgt) over (partition by doc) as has from (
         select f4.*, signal_type = 'transmission_observation' and (anyneg or coalesce(first_result, '') = 'negative' or coalesce(a2h, '') = 'refuted') as tgt,
           signal_type = 'genomic_observation' and len(list_filter(sums, lambda s: contains(lower(s), 'diferente'))) > 0 as fnd from f4) q) r
-    where not (has and fnd)""",
+    where not (has and coalesce(fnd, false))""",
     FOLD,
 )
 def _(spark, sf):
