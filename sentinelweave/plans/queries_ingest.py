@@ -1 +1,187 @@
-"""Registered queries."""
+"""Registered queries for sources, pages and ingest (SRC, SNK, ING)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sentinelweave.functions import text
+from sentinelweave.operators import exports, ingest
+from sentinelweave.plans.nested import nested_claims, nested_signals
+from sentinelweave.plans.registry import query
+from sentinelweave.plans.views import run_sql, view
+from sentinelweave.sources import catalogs, pages, payloads
+
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+
+
+@query("src1_read_payloads")
+def _(spark, sf):
+    out = payloads.parse_payloads(payloads.as_documents(nested_claims(spark, sf)), "claims")
+    return out.select("raw_item_id", F.size("payload.claims").alias("n_claims"), F.col("payload.claims")[0]["claim_id"].alias("first_claim"))
+
+
+_TEXTS = """select event_id, case event_id % 8 when 0 then '{"a":1,"a":2}' when 1 then '{"a":NaN}' when 2 then '{"a":1e999}' when 3 then '{"a":' else props end as body from {events}"""
+
+
+@query("src2_read_payloads_strict", """select event_id, event_id % 8 > 3 as ok from {events}""")
+def _(spark, sf):
+    e = view(spark, sf, "events")
+    m = F.col("event_id") % 8
+    body = F.when(m == 0, '{"a":1,"a":2}').when(m == 1, '{"a":NaN}').when(m == 2, '{"a":1e999}').when(m == 3, '{"a":').otherwise(F.col("props"))
+    ok, bad = payloads.read_payloads_strict(e.select("event_id", body.alias("body")), "body")
+    return ok.select("event_id", F.lit(True).alias("ok")).unionByName(bad.select("event_id", F.lit(False).alias("ok")))
+
+
+_MANIFEST = """select 'L' || cast(doc_id as string) as label, case when doc_id % 5 = 0 then 'draft' else 'adjudicated' end as status,
+  case when doc_id % 7 = 0 then null else 'p/' || cast(doc_id as string) end as prediction, case when doc_id % 11 = 0 then '' else 'g/' || cast(doc_id as string) end as gold from {documents}"""
+_FILES = "select 'p/' || cast(doc_id as string) as path from {labels} where quality = 1 union all select 'g/' || cast(doc_id as string) as path from {labels} where toxic = 0"
+
+
+@query(
+    "src3_plan_corpus",
+    """select label, case when status <> 'adjudicated' then 'gold_not_adjudicated' when coalesce(prediction, '') = '' or coalesce(gold, '') = '' then 'missing_paths'
+      when prediction not in (select path from f) then 'prediction_not_found' when gold not in (select path from f) then 'gold_not_found' else 'evaluate' end as reason from m""",
+    f"m as ({_MANIFEST}), f as ({_FILES})",
+)
+def _(spark, sf):
+    plan, _ = catalogs.plan_corpus(run_sql(spark, sf, _MANIFEST), run_sql(spark, sf, _FILES))
+    return plan.select("label", F.coalesce("reason", F.lit("evaluate")).alias("reason"))
+
+
+@query("src4_scan_pages", "select page_id, m as mime_type from (select page_id, lower(trim(string_split(coalesce(mime, ''), ';')[1])) as m from {page}) q where regexp_matches(m, '^text/.+') or m = 'application/xhtml+xml'")
+def _(spark, sf):
+    return pages.scan_pages(view(spark, sf, "page")).select("page_id", "mime_type")
+
+
+_OLD = "select canonical_name as name, id, cast('old' as string) as note, synonym_a as tag from {disease} where id < 'd5'"
+_NEW = "select case when id < 'd3' then canonical_name else canonical_name || ' II' end as name, 'n' || id as id, case when id = 'd1' then null else 'new' end as note, cast(null as string) as tag from {disease}"
+
+
+@query(
+    "src5_upsert_catalog",
+    """select coalesce(o.name, n.name) as name, coalesce(n.id, o.id) as id, coalesce(n.note, o.note) as note, coalesce(n.tag, o.tag) as tag,
+      case when o.name is null then 'inserted' when n.name is null then 'kept' else 'updated' end as action from o full outer join n on n.name = o.name""",
+    f"o as ({_OLD}), n as ({_NEW})",
+)
+def _(spark, sf):
+    return catalogs.upsert_catalog(run_sql(spark, sf, _OLD), run_sql(spark, sf, _NEW), "name", "update")
+
+
+@query(
+    "src6_verify_artifacts",
+    """select raw_item_id, array_to_string(list_filter([case when arrival % 10 = 3 then 'hash_mismatch' end, case when arrival % 12 = 5 then 'invalid_date' end], lambda x: x is not null), ',') as problems
+    from {doc} where arrival % 10 = 3 or arrival % 12 = 5""",
+)
+def _(spark, sf):
+    d = view(spark, sf, "doc")
+    files = d.select(F.concat(F.lit("f/"), "raw_item_id").alias("path"), F.encode("raw_text", "UTF-8").alias("content"))
+    digest = F.when(F.col("arrival") % 10 == 3, F.lit("0" * 64)).otherwise(F.sha2("raw_text", 256))
+    m = d.select(
+        F.col("raw_item_id").alias("document_id"), F.concat(F.lit("f/"), "raw_item_id").alias("path"), digest.alias("sha256"),
+        F.when(F.col("arrival") % 12 == 5, "2026-02-30").otherwise("2026-02-20").alias("declared_date"),
+    )
+    bad = catalogs.verify_artifacts(m, files)
+    return bad.select(F.col("document_id").alias("raw_item_id"), F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    "snk1_fan_out_signals",
+    """select 'locations' as part, count(*) as n from {sig_loc} union all select 'hosts', count(*) from {sig_host} union all select 'metrics', count(*) from {sig_metric} union all select 'evidence', count(*) from {sig_evidence}
+    union all select 'signals', count(*) from {sig} union all select 'diagnostics', count(*) from {sig} where test_result is not null union all select 'genomics', count(*) from {sig} where sequence_reported""",
+)
+def _(spark, sf):
+    parts = exports.fan_out_signals(nested_signals(spark, sf))
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "snk2_event_dossier",
+    """select m.event_id, count(distinct m.signal_id) as signals, count(distinct s.raw_item_id) as source_documents, sum(coalesce(e.n, 0)) as excerpts, string_agg(m.signal_id, ',' order by coalesce(cast(d.published_on as string), '9999'), m.signal_id) as signal_order
+    from (select distinct event_id, signal_id from {mem}) m join {sig} s on s.signal_id = m.signal_id join {evt} v on v.event_id = m.event_id left join {doc} d on d.raw_item_id = s.raw_item_id
+    left join (select signal_id, count(*) as n from {sig_evidence} group by signal_id) e on e.signal_id = m.signal_id group by m.event_id""",
+)
+def _(spark, sf):
+    mem = view(spark, sf, "mem").groupBy("event_id", "signal_id").agg(F.min("match_decision").alias("match_decision"))
+    out = exports.export_event_dossier(view(spark, sf, "evt"), mem, view(spark, sf, "sig"), view(spark, sf, "doc"), view(spark, sf, "sig_evidence"), view(spark, sf, "rel"))
+    return out.select("event_id", "signals", "source_documents", "excerpts", "signal_order")
+
+
+@query("ing1_page_text")
+def _(spark, sf):
+    return pages.page_text(pages.scan_pages(view(spark, sf, "page")))
+
+
+@query(
+    "ing2_page_metadata",
+    r"""select page_id, regexp_extract(html, '<html[^>]*\blang="([^"]*)"', 1) as language from {page}""",
+)
+def _(spark, sf):
+    return pages.page_metadata(view(spark, sf, "page")).select("page_id", F.coalesce("language", F.lit("")).alias("language"))
+
+
+@query("ing2_page_titles")
+def _(spark, sf):
+    return pages.page_metadata(view(spark, sf, "page")).select("page_id", "title", F.col("published_at").cast("string").alias("published_at"))
+
+
+@query(
+    "ing3_distinct_blocks",
+    r"""select raw_item_id, count(*) as paragraph_count, md5(string_agg(b, chr(10) || chr(10) order by i)) as text_md5 from (
+      select raw_item_id, b, min(i) as i from (select raw_item_id, generate_subscripts(a, 1) as i, unnest(a) as b from (select raw_item_id, string_split(raw_text, chr(10) || chr(10)) as a from {doc}) q) r where b <> '' group by raw_item_id, b) s group by raw_item_id""",
+)
+def _(spark, sf):
+    d = view(spark, sf, "doc").select("raw_item_id", ingest.distinct_blocks(F.col("raw_text")).alias("b")).filter("b.paragraph_count > 0")
+    return d.select("raw_item_id", F.col("b.paragraph_count").cast("long").alias("paragraph_count"), F.md5("b.text").alias("text_md5"))
+
+
+@query("ing4_content_hash", f"select raw_item_id, sha256(trim(regexp_replace(raw_text, '{SPACE}', ' ', 'g'))) as content_sha256 from {{doc}}")
+def _(spark, sf):
+    return view(spark, sf, "doc").select("raw_item_id", text.content_hash("raw_text").alias("content_sha256"))
+
+
+def upserted(spark, sf):
+    """The early half of the documents is stored, all of them arrive again or for the first time."""
+    d = view(spark, sf, "doc").withColumns(
+        {"seen_at": F.timestamp_seconds(F.col("arrival") * 60), "metadata": F.create_map(F.lit("lang"), "language", F.lit("n"), F.col("n_chars").cast("string"))}
+    )
+    sources = d.select("source_code").distinct().withColumn("is_active", F.col("source_code") != "src4")
+    old = d.withColumn("content_sha256", text.content_hash("raw_text")).filter("source_code in ('src0', 'src1')")
+    stored = old.groupBy("source_code", "content_sha256").agg(
+        *[F.min_by(n, "arrival").alias(n) for n in ("raw_item_id", "url", "title", "published_on", "language", "mime_type", "raw_text", "metadata")], F.min("seen_at").alias("retrieved_at")
+    )
+    return ingest.upsert_raw_items(d.drop("raw_item_id"), stored, sources)
+
+
+UPSERT = f"""h as (select *, sha256(trim(regexp_replace(raw_text, '{SPACE}', ' ', 'g'))) as sha from {{doc}} where source_code <> 'src4' and trim(regexp_replace(raw_text, '{SPACE}', ' ', 'g')) <> ''),
+u as (select source_code, sha as content_sha256, arg_max(url, arrival) as url, arg_max(title, arrival) filter (title is not null) as title, arg_max(mime_type, arrival) filter (mime_type is not null) as mime_type,
+  md5(arg_min(raw_text, arrival)) as text_md5, count(*) as arrivals, case when source_code in ('src0', 'src1') then 'refreshed' else 'inserted' end as action,
+  case when count(*) > 1 or source_code in ('src0', 'src1') then 'same_source_same_normalized_text' end as mark, sum(length(raw_text)) filter (rn = 1) as len
+  from (select *, row_number() over (partition by source_code, sha order by arrival) as rn from h) q group by source_code, sha)"""
+
+
+@query("ing5_upsert_raw_items", "select source_code, content_sha256, url, title, mime_type, text_md5, arrivals, action, mark from u", UPSERT)
+def _(spark, sf):
+    table, _ = upserted(spark, sf)
+    return table.select("source_code", "content_sha256", "url", "title", "mime_type", F.md5("raw_text").alias("text_md5"), "arrivals", "action", F.col("metadata")["deduplication"].alias("mark"))
+
+
+@query(
+    "ing6_latest_raw_by_url",
+    """select requested, arg_max(raw_item_id, arrival) as raw_item_id from (select distinct url || case when arrival % 2 = 0 then '/' else '' end as requested from {doc}) w
+    join {doc} d on rtrim(d.url, '/') = rtrim(w.requested, '/') group by requested""",
+)
+def _(spark, sf):
+    d = view(spark, sf, "doc")
+    wanted = d.select(F.concat("url", F.when(F.col("arrival") % 2 == 0, "/").otherwise("")).alias("url"))
+    out = ingest.latest_raw_by_url(d.withColumn("retrieved_at", F.col("arrival")), wanted)
+    return out.select("requested", "raw_item_id")
+
+
+@query("ing7_ingest_summary", "select source_code, count(*) as documents, count(*) filter (action = 'inserted') as inserted, count(*) filter (action = 'refreshed') as refreshed, count(title) as titled, sum(len) as text_length from u group by source_code", UPSERT)
+def _(spark, sf):
+    table, _ = upserted(spark, sf)
+    return ingest.ingest_summary(table)
