@@ -132,3 +132,35 @@ def _nested_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_compact(F.array(quote(F.col("evidence_type"), F.col("evidence_text")), second_quote)).alias("evidence"),
         F.col("confidence").cast("double").alias("confidence"),
     )
+
+
+def nested_reference(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Adjudicated (``gold``) or predicted (``pred``) signals in contract shape."""
+    return remembered(spark, sf_dir, "nested_" + name, lambda: _nested_reference(view(spark, sf_dir, name)))
+
+
+def _nested_reference(v: DataFrame) -> DataFrame:
+    null, none = F.lit(None).cast("string"), F.lit(None).cast("int")
+    point = F.struct(null.alias("date"), none.alias("year"), none.alias("month"), F.lit("unknown").alias("precision"), null.alias("verbatim"))
+    entity = lambda name, verbatim: F.struct(
+        verbatim.alias("verbatim"), name.alias("canonical_name"), F.when(name.isNull(), "unresolved").otherwise("resolved").alias("normalization_status"), F.lit(0.5).alias("confidence")
+    )
+    metric = F.struct(
+        F.col("metric_name").alias("name"), F.col("metric_value").alias("value_numeric"), null.alias("value_text"), F.col("metric_unit").alias("unit"),
+        null.alias("as_of_date"), F.col("metric_year").alias("as_of_year"), none.alias("as_of_month"), F.lit("unknown").alias("as_of_precision"), null.alias("as_of_verbatim"),
+    )
+    place = F.struct(
+        null.alias("country"), F.lit("AR").alias("country_iso2"), "admin1", null.alias("admin2"), null.alias("locality"), null.alias("region"),
+        F.lit("admin1").alias("precision"), F.lit(0.5).alias("confidence"), F.col("loc_role").alias("role"),
+    )
+    return v.select(
+        "doc", "idx", "local_signal_id", "signal_role", "signal_type", F.array_compact(F.array("domain_a", "domain_b")).alias("domains"),
+        entity(F.col("disease_name"), F.col("disease_verbatim")).alias("disease"), entity(null, F.col("pathogen_verbatim")).alias("pathogen"),
+        F.array(F.struct(null.alias("verbatim"), F.col("host_name").alias("canonical_name"), "host_type", F.lit(0.5).alias("confidence"))).alias("hosts"),
+        F.array(place).alias("locations"), F.array_compact(F.array(F.when(F.col("metric_name").isNotNull(), metric))).alias("metrics"),
+        F.struct(F.col("event_start").alias("start"), null.alias("end"), F.lit("day").alias("precision")).alias("event_date"),
+        F.struct(point.alias("start"), point.alias("end"), "period_type", null.alias("verbatim")).alias("reference_period"),
+        F.struct(F.lit(True).alias("test_reported"), null.alias("test_type"), null.alias("method"), null.alias("target"), null.alias("specimen"), F.col("test_result").alias("result")).alias("diagnostics"),
+        F.array(F.struct(F.col("evidence_type").alias("type"), F.col("evidence_text").alias("text"), null.alias("location_in_document"), none.alias("page_number"))).alias("evidence"),
+        F.concat(F.lit("summary "), "local_signal_id").alias("signal_summary"),
+    )

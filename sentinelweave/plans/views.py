@@ -265,6 +265,39 @@ select doc, n_doc, ord, pk, sk, qty, 'c' || doc || '-' || cast(ord as string) as
 from {line}
 """
 
+# Adjudicated signals and predictions of the same lines: some dropped, some altered.
+VIEWS["gold"] = """
+select doc, n_doc, cast(ord - 1 as int) as idx, pk, sk, qty, 'G' || doc || '-' || cast(ord as string) as local_signal_id,
+  case pk % 4 when 0 then 'background_context' when 1 then 'negative_evidence' else 'primary_event' end as signal_role,
+  case pk % 5 when 0 then 'outbreak' when 1 then 'case_report' when 2 then 'laboratory_result' when 3 then 'intervention' else 'cluster' end as signal_type,
+  case pk % 3 when 0 then 'Hantavirus disease' when 1 then null else 'Dengue' end as disease_name, case when pk % 2 = 0 then 'hantavirus' else ' Dengue  fever' end as disease_verbatim,
+  case sk % 3 when 0 then 'Andes  virus' when 1 then null else '' end as pathogen_verbatim,
+  case pk % 4 when 0 then 'new_cases' when 1 then 'cases_new' when 2 then 'deaths' else null end as metric_name, case when qty % 4 = 0 then null else cast(qty % 5 as double) end as metric_value,
+  case qty % 3 when 0 then 'persons' when 1 then 'doses' else null end as metric_unit, cast(case when qty % 2 = 0 then 2024 else null end as int) as metric_year,
+  'Adm ' || cast(sk % 4 as string) as admin1, 'event_location' as loc_role,
+  case when pk % 3 = 0 then null else cast(shipped as string) end as event_start, case pk % 2 when 0 then 'season' else 'unknown' end as period_type,
+  case qty % 3 when 0 then 'positive' when 1 then 'unknown' else null end as test_result,
+  case pk % 3 when 0 then 'human' when 1 then 'animal' else 'wildlife' end as domain_a, case when qty % 2 = 0 then 'environment' else null end as domain_b,
+  'Host ' || cast(qty % 3 as string) as host_name, case when qty % 2 = 0 then 'human' else 'wildlife' end as host_type,
+  case pk % 3 when 0 then 'quote' when 1 then 'text' else 'excerpt' end as evidence_type,
+  'Se confirmaron ' || cast(qty as string) || ' casos nuevos en la provincia de Adm ' || cast(sk % 4 as string) || case when pk % 6 = 0 then '; 2 probables' else '' end as evidence_text
+from {line}
+"""
+
+VIEWS["pred"] = """
+select doc, n_doc, idx, pk, sk, qty, 'P' || substr(local_signal_id, 2) as local_signal_id,
+  case when sk % 10 = 1 then 'surveillance_baseline' else signal_role end as signal_role, case when sk % 10 = 2 then 'other' else signal_type end as signal_type,
+  case when sk % 10 = 3 then null else disease_name end as disease_name, case when sk % 10 = 4 then 'HANTAVIRUS' else disease_verbatim end as disease_verbatim, pathogen_verbatim,
+  case when metric_name = 'new_cases' and sk % 2 = 0 then 'cases_new' else metric_name end as metric_name, case when sk % 10 = 5 then metric_value + 1 else metric_value end as metric_value,
+  case when metric_unit = 'persons' then 'cases' when sk % 10 = 6 then 'vials' else metric_unit end as metric_unit, cast(case when sk % 10 = 7 then 2023 else metric_year end as int) as metric_year,
+  case when sk % 10 = 8 then 'Adm 9' else admin1 end as admin1, loc_role, case when sk % 10 = 9 then null else event_start end as event_start, period_type,
+  case when sk % 9 = 1 then 'negative' else test_result end as test_result, domain_a, case when sk % 7 = 2 then 'animal' else domain_b end as domain_b, host_name,
+  case when sk % 7 = 3 then 'vector' else host_type end as host_type, case when sk % 7 = 4 then 'document_text' else evidence_type end as evidence_type,
+  case sk % 8 when 1 then 'Se confirmaron ' || cast(qty as string) || ' casos nuevos' when 2 then 'No ' || lower(evidence_text) when 3 then 'Se confirmaron ' || cast(qty + 1 as string) || ' casos nuevos en la provincia'
+    when 4 then upper('se confirmaron  ') || substr(evidence_text, 16) when 5 then '2 probables' when 6 then 'Parte: ' || evidence_text || ' hoy' else evidence_text end as evidence_text
+from {gold} where pk % 11 <> 0
+"""
+
 _REFERENCE = re.compile(r"\{([a-z_]+)\}")
 
 
@@ -316,7 +349,7 @@ def with_views(body: str, ctes: str = "") -> str:
     chain = [f"{n} as ({_plain(VIEWS[n])})" for n in seen]
     if ctes.strip():
         chain.append(_plain(ctes.strip().rstrip(",")))
-    return ("with " + ",\n".join(chain) + "\n" if chain else "") + _plain(body)
+    return ("with recursive " + ",\n".join(chain) + "\n" if chain else "") + _plain(body)
 
 
 def _plain(text: str) -> str:
