@@ -7,10 +7,12 @@ matching is decided inside one row per document.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sentinelweave.functions.sets import prf, set_f1
 from sentinelweave.functions.text import (
@@ -220,7 +222,14 @@ def _best_assignment(cands: list) -> list:
     return [{"g": g, "p": p, "score": s} for g, p, s in layers[0][0][1]]
 
 
-@F.pandas_udf("array<struct<g:int,p:int,score:double>>")
+_MATCHES = T.ArrayType(
+    T.StructType([T.StructField("g", T.IntegerType()), T.StructField("p", T.IntegerType()), T.StructField("score", T.DoubleType())])
+)
+# Executors get these helpers by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+@F.pandas_udf(_MATCHES)
 def _assign(cands: pd.Series) -> pd.Series:
     return cands.map(_best_assignment)
 

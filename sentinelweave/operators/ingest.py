@@ -47,7 +47,10 @@ def upsert_raw_items(batch: DataFrame, raw_items: DataFrame, sources: DataFrame)
         F.min_by("raw_text", at).alias("n_raw_text"), F.min("arrival").alias("first_arrival"), F.count("*").alias("arrivals"),
         F.max("seen_at").alias("last_seen"), F.min("seen_at").alias("first_seen"), F.max_by("metadata", at).alias("n_metadata"),
     )
-    joined = raw_items.withColumn("__old", F.lit(True)).join(folded, key, "full_outer")
+    stored = raw_items.select(
+        "raw_item_id", *key, "url", "title", "published_on", "language", "mime_type", "raw_text", "retrieved_at", "metadata", F.lit(True).alias("__old")
+    )
+    joined = stored.join(folded, key, "full_outer")
     old, new = F.col("__old").isNotNull(), F.col("arrivals").isNotNull()
     again = new & (old | (F.col("arrivals") > 1))
     mark = F.create_map(F.lit("last_seen_at"), F.col("last_seen").cast("string"), F.lit("deduplication"), F.lit(DEDUPE_MARK))

@@ -88,7 +88,8 @@ def candidate_membership(runs: DataFrame, payload_keys: DataFrame, signals: Data
     stored = signals.groupBy("extraction_run_id").agg(
         *[c.alias("s_" + n) for c, n in zip(_keys_digest("local_signal_key"), ("n", "d", "x", "y"))], F.count_if("is_current").alias("current"), F.min("raw_item_id").alias("lo"), F.max("raw_item_id").alias("hi")
     ).withColumnRenamed("extraction_run_id", "run_id")
-    j = runs.join(listed, "run_id", "left").join(stored, "run_id", "left")
+    facts = runs.select("run_id", "raw_item_id", "status", "snapshot_policy")
+    j = facts.join(listed, "run_id", "left").join(stored, "run_id", "left")
     complete = (
         yes(F.col("n") == F.col("s_n")) & yes(F.col("d") == F.col("n")) & yes(F.col("x") == F.col("s_x")) & yes(F.col("y") == F.col("s_y"))
         & yes(F.col("current") == 0) & yes(F.col("lo") == F.col("raw_item_id")) & yes(F.col("hi") == F.col("raw_item_id"))

@@ -1 +1,266 @@
-"""Registered queries."""
+"""Registered queries for evaluation (EV)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sentinelweave.operators import assembly as A
+from sentinelweave.operators import evaluation as E
+from sentinelweave.operators.relations import match_listed_pairs
+from sentinelweave.plans.nested import nested_claims, nested_reference, nested_signals
+from sentinelweave.plans.queries_expressions import NEGATIONS, STOP, sql_norm, sql_tokens
+from sentinelweave.plans.queries_matching import REL_PAIRS
+from sentinelweave.plans.registry import query
+from sentinelweave.plans.views import remembered, view
+
+
+def features(spark, sf, name, version="0.4.7"):
+    return remembered(spark, sf, f"features_{name}_{version}", lambda: E.score_features(nested_reference(spark, sf, name), version))
+
+
+def pairs(spark, sf, version="0.4.7"):
+    return E.pair_components(features(spark, sf, "gold", version), features(spark, sf, "pred", version), version)
+
+
+def _eq(a: str) -> str:
+    return f"cast(g.{a} is not distinct from p.{a} as double)"
+
+
+def _unit(c: str) -> str:
+    return f"case when {c} in ('case', 'cases', 'person', 'persons', 'people') then 'count' else {c} end"
+
+
+def _name(c: str) -> str:
+    return f"case {c} when 'cases_new' then 'new_cases' else {c} end"
+
+
+DOMAINS = "list_filter([{s}.domain_a, {s}.domain_b], lambda x: x is not null)"
+# Single-valued children in the flat views keep the twins readable.
+PAIRS = f"""pr as (select g.doc, g.idx as g, p.idx as p, g.local_signal_id as gid, p.local_signal_id as pid, {_eq('signal_role')} as signal_role, {_eq('signal_type')} as signal_type,
+  cast(case when g.disease_name is not null and p.disease_name is not null then g.disease_name = p.disease_name else {sql_norm('g.disease_verbatim')} is not distinct from {sql_norm('p.disease_verbatim')} end as double) as disease,
+  cast({sql_norm('g.pathogen_verbatim')} is not distinct from {sql_norm('p.pathogen_verbatim')} as double) as pathogen,
+  case when g.metric_name is null and p.metric_name is null then 1.0 when g.metric_name is null or p.metric_name is null then 0.0
+    else cast({_name('g.metric_name')} = {_name('p.metric_name')} and case when g.metric_value is not null and p.metric_value is not null then g.metric_value = p.metric_value else not (g.metric_value is null and p.metric_value is null) end
+      and coalesce({_unit('g.metric_unit')} = {_unit('p.metric_unit')}, true) and coalesce(g.metric_year = p.metric_year, true) as double) end as metrics,
+  cast(g.admin1 = p.admin1 as double) as locations, {_eq('event_start')} as event_date, {_eq('period_type')} as reference_period, {_eq('test_result')} as diagnostics,
+  2.0 * len(list_intersect({DOMAINS.format(s='g')}, {DOMAINS.format(s='p')})) / (len({DOMAINS.format(s='g')}) + len(list_distinct({DOMAINS.format(s='p')}))) as domains,
+  cast(g.host_name = p.host_name and g.host_type = p.host_type as double) as hosts,
+  cast((g.disease_name is null) = (p.disease_name is null) as double) as status
+  from {{gold}} g join {{pred}} p on p.doc = g.doc),
+sc as (select *, round({' + '.join(f'{c} * cast({w} as double)' for c, w in E.PAIR_WEIGHTS.items())}, 6) as score from pr)"""
+_COLS = ", ".join(f"round({c}, 6) as {c}" for c in E.PAIR_WEIGHTS)
+
+
+@query(
+    "ev01_set_f1",
+    "select k, case when na = 0 and nb = 0 then 1.0 when na = 0 or nb = 0 or nab = 0 then 0.0 else round(2.0 * nab / (na + nb), 6) end as f1 from (select l_orderkey as k, count(distinct case when l_returnflag = 'A' then l_linenumber end) as na, count(distinct case when l_linestatus = 'F' then l_linenumber end) as nb, count(distinct case when l_returnflag = 'A' then l_linenumber end) + count(distinct case when l_linestatus = 'F' then l_linenumber end) - count(distinct case when l_returnflag = 'A' or l_linestatus = 'F' then l_linenumber end) as nab from {lineitem} group by l_orderkey) q",
+)
+def _(spark, sf):
+    li = view(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.collect_set(F.when(F.col("l_returnflag") == "A", F.struct("l_linenumber", F.lit(None).cast("int").alias("z")))).alias("a"),
+        F.collect_set(F.when(F.col("l_linestatus") == "F", F.struct("l_linenumber", F.lit(None).cast("int").alias("z")))).alias("b"),
+    )
+    return li.select("k", F.round(E.set_f1(F.col("a"), F.col("b")), 6).alias("f1"))
+
+
+@query("ev02_entity_exact", "select gid, pid, disease from pr", PAIRS)
+def _(spark, sf):
+    ids = lambda n, i, out: nested_reference(spark, sf, n).select("doc", F.col("idx").alias(i), F.col("local_signal_id").alias(out))
+    return pairs(spark, sf).join(ids("gold", "g", "gid"), ["doc", "g"]).join(ids("pred", "p", "pid"), ["doc", "p"]).select("gid", "pid", "disease")
+
+
+@query("ev03_pair_components", f"select doc, g, p, {_COLS} from pr", PAIRS)
+def _(spark, sf):
+    return pairs(spark, sf).select("doc", "g", "p", *[F.round(c, 6).alias(c) for c in E.PAIR_WEIGHTS])
+
+
+@query("ev04_pair_score", "select doc, g, p, score from sc", PAIRS)
+def _(spark, sf):
+    return pairs(spark, sf).select("doc", "g", "p", "score")
+
+
+@query("ev05_metric_support", "select doc, g, p, metrics from pr", PAIRS)
+def _(spark, sf):
+    return pairs(spark, sf).select("doc", "g", "p", "metrics")
+
+
+# Greedy: the best remaining pair of a document is taken again and again.
+GREEDY = """rk as (select doc, g, p, score, row_number() over (partition by doc order by score desc, g, p) as o from sc where score >= 0.55),
+walk as (select doc, 0 as o, cast([] as integer[]) as ug, cast([] as integer[]) as up from (select distinct doc from rk) d
+  union all select w.doc, r.o, case when list_contains(w.ug, r.g) or list_contains(w.up, r.p) then w.ug else w.ug || [r.g] end, case when list_contains(w.ug, r.g) or list_contains(w.up, r.p) then w.up else w.up || [r.p] end
+  from walk w join rk r on r.doc = w.doc and r.o = w.o + 1),
+last as (select doc, arg_max(ug, o) as ug, arg_max(up, o) as up from walk group by doc)"""
+
+
+@query("ev06_match_greedy", "select l.doc, unnest(ug) as g, unnest(up) as p from last l", PAIRS + ",\n" + GREEDY)
+def _(spark, sf):
+    return E.match_greedy(pairs(spark, sf)).select("doc", "g", "p")
+
+
+def matched(spark, sf, version="0.4.7"):
+    return E.match_exact(pairs(spark, sf, version))
+
+
+@query("ev07_match_exact")
+def _(spark, sf):
+    return matched(spark, sf).select("doc", "g", "p", "score")
+
+
+def _sql_quotes(side: str) -> str:
+    return f"""select doc, idx, case when evidence_type in ('quote', 'text', 'excerpt', 'document_text') then 'text' else evidence_type end as ty, {sql_norm('evidence_text')} as t, {sql_tokens('evidence_text')} as a,
+  list_filter({sql_tokens('evidence_text')}, lambda x: x not in ({STOP}) and length(x) > 1) as c from {{{side}}}"""
+
+
+QUOTES = f"""gq as ({_sql_quotes('gold')}), pq as ({_sql_quotes('pred')}),
+qs as (select g.doc, g.idx as g, p.idx as p, g.t as gt, p.t as pt, case when g.ty <> p.ty then 0.0 when g.t = p.t then 1.0
+  when (len(list_filter(g.a, lambda x: x in ({NEGATIONS}))) > 0) <> (len(list_filter(p.a, lambda x: x in ({NEGATIONS}))) > 0) then 0.0
+  when length(g.t) <= length(p.t) and contains(p.t, g.t) and (len(g.c) >= 3 or length(g.t) >= 24) then 1.0
+  when length(g.t) > length(p.t) and contains(g.t, p.t) and (len(p.c) >= 3 or length(p.t) >= 24) then 1.0
+  when len(list_filter(g.a, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 and len(list_filter(p.a, lambda x: regexp_full_match(x, '[0-9]+'))) > 0
+    and len(list_intersect(list_filter(g.a, lambda x: regexp_full_match(x, '[0-9]+')), list_filter(p.a, lambda x: regexp_full_match(x, '[0-9]+')))) = 0 then 0.0
+  when len(list_intersect(g.c, p.c)) < 3 then 0.0 else round(2.0 * len(list_intersect(g.c, p.c)) / (len(g.c) + len(p.c)), 6) end as similarity
+  from gq g join pq p on p.doc = g.doc)"""
+
+
+@query("ev08_evidence_similarity", "select doc, g, p, cast(similarity as double) as similarity from qs", QUOTES)
+def _(spark, sf):
+    g = features(spark, sf, "gold").select("doc", F.col("idx").alias("g"), F.col("f.quotes")[0].alias("gq"))
+    p = features(spark, sf, "pred").select("doc", F.col("idx").alias("p"), F.col("f.quotes")[0].alias("pq"))
+    return g.join(p, "doc").select("doc", "g", "p", E.quote_similarity(F.col("gq"), F.col("pq")).alias("similarity"))
+
+
+def supports(spark, sf, version):
+    g = features(spark, sf, "gold", version).select("doc", F.col("idx").alias("g"), F.col("f").alias("gf"))
+    p = features(spark, sf, "pred", version).select("doc", F.col("idx").alias("p"), F.col("f").alias("pf"))
+    return g.join(p, "doc").select("doc", "g", "p", E.evidence_support(F.col("gf.quotes"), F.col("gf.clauses"), F.col("pf.quotes"), version).alias("support"))
+
+
+@query("ev09_evidence_support_v046", "select doc, g, p, case when similarity >= 0.7 then 1.0 else 0.0 end as support from qs", QUOTES)
+def _(spark, sf):
+    return supports(spark, sf, "0.4.6")
+
+
+@query("ev09_evidence_support_v045")
+def _(spark, sf):
+    return supports(spark, sf, "0.4.5")
+
+
+@query("ev09_evidence_support_v047")
+def _(spark, sf):
+    return supports(spark, sf, "0.4.7")
+
+
+@query(
+    "ev10_prf",
+    "select doc, round(case when n_p > 0 then m / n_p else 1 end, 6) as precision, round(case when n_g > 0 then m / n_g else 1 end, 6) as recall, case when m > 0 then round(2.0 * m / (n_p + n_g), 6) else 0.0 end as f1 from (select q.doc, cast(n_g as double) as n_g, cast(coalesce(n_p, 0) as double) as n_p, cast(coalesce(len(ug), 0) as double) as m from (select doc, count(*) as n_g from {gold} group by doc) q left join (select doc, count(*) as n_p from {pred} group by doc) r on r.doc = q.doc left join last l on l.doc = q.doc) s",
+    PAIRS + ",\n" + GREEDY,
+)
+def _(spark, sf):
+    g = view(spark, sf, "gold").groupBy("doc").agg(F.count("*").alias("n_g"))
+    p = view(spark, sf, "pred").groupBy("doc").agg(F.count("*").alias("n_p"))
+    m = E.match_greedy(pairs(spark, sf)).groupBy("doc").agg(F.count("*").alias("m"))
+    j = g.join(p, "doc", "left").join(m, "doc", "left").na.fill(0)
+    return j.select("doc", E.prf(F.col("m"), F.col("n_p") - F.col("m"), F.col("n_g") - F.col("m")).alias("d")).select("doc", "d.*")
+
+
+def reports(spark, sf, version="0.4.7"):
+    gold, pred = features(spark, sf, "gold", version), features(spark, sf, "pred", version)
+    ps = pairs(spark, sf, version)
+    fields = E.matched_fields(E.match_exact(ps), gold, pred, ps, version)
+    return E.document_report(gold, pred, fields)
+
+
+@query("ev11_document_report")
+def _(spark, sf):
+    return reports(spark, sf)
+
+
+@query(
+    "ev12_unmatched",
+    """select g.doc, 'gold' as side, g.local_signal_id, g.signal_type from {gold} g left join last l on l.doc = g.doc where not coalesce(list_contains(ug, g.idx), false)
+    union all select p.doc, 'prediction', p.local_signal_id, p.signal_type from {pred} p left join last l on l.doc = p.doc where not coalesce(list_contains(up, p.idx), false)""",
+    PAIRS + ",\n" + GREEDY,
+)
+def _(spark, sf):
+    m = E.match_greedy(pairs(spark, sf))
+    out = E.unmatched(nested_reference(spark, sf, "gold"), nested_reference(spark, sf, "pred"), m)
+    return out.select("doc", "side", "local_signal_id", "signal_type")
+
+
+@query("ev13_corpus_report")
+def _(spark, sf):
+    return E.corpus_report(reports(spark, sf), view(spark, sf, "gold").select("doc").distinct())
+
+
+@query("ev14_exploratory_report")
+def _(spark, sf):
+    docs = view(spark, sf, "gold").select("doc", "n_doc").distinct()
+    n = F.col("n_doc")
+    status = F.when(n % 10 == 1, "failed").when(n % 10 == 2, "prepared").when(n % 10 == 3, "missing").when(n % 10 == 4, "invalid_prediction").otherwise("evaluated")
+    return E.exploratory_report(docs.withColumn("status", status).join(reports(spark, sf), "doc", "left"))
+
+
+@query(
+    "ev15_classify_runs",
+    """select cast(doc_id as string) as document_id, case when doc_id % 6 = 0 then 'missing' when doc_id % 6 = 1 then 'failed' when doc_id % 6 = 2 then 'prepared' when doc_id % 6 = 3 or doc_id % 14 = 10 then 'invalid_prediction' else 'evaluated' end as status from {documents}""",
+)
+def _(spark, sf):
+    d = view(spark, sf, "documents")
+    n = F.col("doc_id")
+    docs = d.select(n.cast("string").alias("document_id"), F.sha2("text", 256).alias("source_sha256"))
+    runs = d.filter("doc_id % 6 <> 0").select(
+        n.cast("string").alias("document_id"), F.when(n % 6 == 1, "failed").when(n % 6 == 2, "prepared").otherwise("generated").alias("status"),
+        F.sha2("text", 256).alias("source_sha256"), F.when(n % 6 == 3, F.lit("x")).otherwise(F.sha2("lang", 256)).alias("signals_sha256"), F.lit(4).alias("signals"),
+    )
+    preds = d.select(n.cast("string").alias("document_id"), F.col("lang").alias("body"), F.when(n % 14 == 10, 5).otherwise(4).alias("n_signals"))
+    return E.classify_runs(docs, runs, preds)[0]
+
+
+def expectations(spark, sf):
+    return view(spark, sf, "rel").select(
+        F.col("relation_id").alias("pair_id"), F.col("gate").alias("expected_gate"), F.col("relation").alias("expected_relation"), F.col("decision").alias("expected_decision"),
+        F.col("merge_allowed").alias("expected_merge_allowed"), F.col("hard_conflict").alias("expected_hard_conflict"),
+        F.when(F.col("hard_conflict"), "explicit_source_refutation").alias("expected_hard_conflict_reason"),
+    )
+
+
+def both_directions(spark, sf):
+    p = view(spark, sf, "rel").select(F.col("relation_id").alias("pair_id"), "source_id", "target_id")
+    signals = nested_signals(spark, sf)
+    back = p.select("pair_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    return match_listed_pairs(p, signals), match_listed_pairs(back, signals)
+
+
+BENCH = "xp as (select r.relation_id, r.gate as eg, r.relation as er, r.decision as ed, r.merge_allowed as em, r.hard_conflict as eh, case when r.hard_conflict then 'explicit_source_refutation' end as eq, case when d.ok then 'eligible' else 'ineligible' end as gate, d.relation, d.decision, d.merge_allowed, d.reason is not null as hard_conflict, d.reason from {rel} r join decided d on d.relation_id = r.relation_id)"
+
+
+@query(
+    "ev16_pair_benchmark",
+    """select count(*) as evaluated_pairs, count(*) filter (where eg = 'eligible') as eligible_pairs, count(*) filter (where eh) as expected_hard_conflicts, count(*) filter (where decision = 'auto_linked') as predicted_auto_links,
+      round(count(*) filter (where eg <> 'eligible' and gate = 'ineligible') / cast(count(*) filter (where eg <> 'eligible') as double), 6) as ineligible_gate_accuracy,
+      round(count(*) filter (where eh and hard_conflict) / cast(count(*) filter (where eh) as double), 6) as hard_conflict_recall, round(count(*) filter (where eh and reason = eq) / cast(count(*) filter (where eh) as double), 6) as hard_conflict_reason_accuracy,
+      count(*) filter (where eh and decision = 'auto_linked') as hard_conflict_false_auto_links, round(count(*) filter (where decision = 'auto_linked' and ed = 'auto_linked') / cast(count(*) filter (where decision = 'auto_linked') as double), 6) as auto_link_precision,
+      round(count(*) filter (where decision is not distinct from ed) / cast(count(*) as double), 6) as pair_decision_accuracy, round(count(*) filter (where eg = 'eligible' and relation is not distinct from er) / cast(count(*) filter (where eg = 'eligible') as double), 6) as relation_accuracy,
+      true as order_invariance from xp""",
+    REL_PAIRS + ",\n" + BENCH,
+)
+def _(spark, sf):
+    forward, reverse = both_directions(spark, sf)
+    return E.pair_benchmark(forward, reverse, expectations(spark, sf)).drop("ineligible_pairs", "metrics_pass")
+
+
+@query(
+    "ev17_mismatch_summary",
+    """select scope, count(*) as n from (select case when gate is not distinct from eg and relation is not distinct from er and decision is not distinct from ed and merge_allowed is not distinct from em and hard_conflict is not distinct from eh then 'explanation_only' else 'functional' end as scope from xp
+      where not (gate is not distinct from eg and relation is not distinct from er and decision is not distinct from ed and merge_allowed is not distinct from em and hard_conflict is not distinct from eh and reason is not distinct from eq)) q group by scope""",
+    REL_PAIRS + ",\n" + BENCH,
+)
+def _(spark, sf):
+    return E.mismatch_summary(both_directions(spark, sf)[0], expectations(spark, sf))[1]
+
+
+@query("ev18_corpus_reassembly")
+def _(spark, sf):
+    claims = nested_claims(spark, sf)
+    made = A.assemble(claims).groupBy("doc").agg(F.count("*").alias("signals"))
+    return claims.groupBy("doc").agg(F.count("*").alias("claims")).join(made, "doc", "left").select("doc", F.lit("reassembled").alias("status"), "claims", F.coalesce("signals", F.lit(0).cast("long")).alias("signals"))
