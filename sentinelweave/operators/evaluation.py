@@ -72,11 +72,12 @@ def score_features(signals: DataFrame, version: str = "0.4.7") -> DataFrame:
     point = lambda p: _struct(p["date"], p["year"], p["month"], norm_text(p["precision"]))
     d = s("diagnostics")
     quotes = F.transform("evidence", lambda e: quote_features(e["type"], e["text"], e["page_number"], version))
+    signals = signals.withColumn(
+        "__parts", F.transform("evidence", lambda e: F.struct(e["type"].alias("type"), e["page_number"].alias("page"), clauses(e["text"]).alias("cl")))
+    )
+    # Only compound quotations need their clauses compared.
     split = F.transform(
-        "evidence",
-        lambda e: F.when(
-            F.size(clauses(e["text"])) >= 2, F.transform(clauses(e["text"]), lambda t: quote_features(e["type"], t, e["page_number"], version))
-        ).otherwise(F.transform(F.slice(clauses(e["text"]), 1, 0), lambda t: quote_features(e["type"], t, e["page_number"], version))),
+        "__parts", lambda x: F.transform(F.filter(x["cl"], lambda _: F.size(x["cl"]) >= 2), lambda t: quote_features(x["type"], t, x["page"], version))
     )
     f = F.struct(
         s("signal_role").alias("role"), s("signal_type").alias("type"),
@@ -148,15 +149,11 @@ def metric_support_f1(gold: Column, pred: Column) -> Column:
     )
 
 
-def pair_components(gold: DataFrame, pred: DataFrame, version: str = "0.4.7") -> DataFrame:
-    """Ten components and the weighted score of every same-document pair."""
-    g = gold.select("doc", F.col("idx").alias("g"), F.col("f").alias("gf"))
-    p = pred.select("doc", F.col("idx").alias("p"), F.col("f").alias("pf"))
-    joined = g.join(p, "doc")
-    a, b = F.col("gf"), F.col("pf")
+def component_columns(a: Column, b: Column, version: str = "0.4.7") -> dict[str, Column]:
+    """The ten components of one pair of feature structs."""
     same = lambda n: a[n].eqNullSafe(b[n]).cast("double")
     metrics = metric_support_f1(a["metric_facts"], b["metric_facts"]) if version == "0.4.7" else set_f1(a["metric_keys"], b["metric_keys"])
-    parts = {
+    return {
         "signal_role": same("role"), "signal_type": same("type"),
         "disease": entity_exact(a["disease_c"], a["disease_v"], b["disease_c"], b["disease_v"]),
         "pathogen": entity_exact(a["pathogen_c"], a["pathogen_v"], b["pathogen_c"], b["pathogen_v"]),
@@ -164,7 +161,14 @@ def pair_components(gold: DataFrame, pred: DataFrame, version: str = "0.4.7") ->
         "event_date": same("event_date"), "reference_period": same("reference_period"), "diagnostics": same("diagnostics"),
         "domains": set_f1(a["domains"], b["domains"]),
     }
-    out = joined.select("doc", "g", "p", *[v.alias(k) for k, v in parts.items()])
+
+
+def pair_components(gold: DataFrame, pred: DataFrame, version: str = "0.4.7") -> DataFrame:
+    """Ten components and the weighted score of every same-document pair."""
+    g = gold.select("doc", F.col("idx").alias("g"), F.col("f").alias("gf"))
+    p = pred.select("doc", F.col("idx").alias("p"), F.col("f").alias("pf"))
+    parts = component_columns(F.col("gf"), F.col("pf"), version)
+    out = g.join(p, "doc").select("doc", "g", "p", *[v.alias(k) for k, v in parts.items()])
     total = F.lit(0.0)
     for name, weight in PAIR_WEIGHTS.items():
         total = total + F.col(name) * F.lit(weight)
@@ -178,8 +182,10 @@ def match_greedy(pairs: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFr
 
 
 def _candidates(pairs: DataFrame, threshold: float) -> DataFrame:
-    ok = pairs.filter(F.col("score") >= threshold)
-    return ok.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "g", "p", "score"))).alias("cands"))
+    """Per document: pairs at the threshold, best first, and the number of predictions."""
+    good = F.when(F.col("score") >= threshold, F.struct((-F.col("score")).alias("n"), "g", "p", "score"))
+    docs = pairs.groupBy("doc").agg(F.array_sort(F.collect_list(good)).alias("cands"), F.size(F.collect_set("p")).alias("n_pred"))
+    return docs.filter(F.size("cands") > 0)
 
 
 def _greedy(cands: Column) -> Column:
@@ -240,8 +246,7 @@ def match_exact(pairs: DataFrame, threshold: float = MATCH_THRESHOLD, limit: int
     Documents without competition for a gold signal or a prediction are settled by
     native expressions; only contested ones reach the vectorised assignment.
     """
-    sizes = pairs.groupBy("doc").agg(F.count_distinct("p").alias("n_pred"))
-    docs = _candidates(pairs, threshold).join(sizes, "doc")
+    docs = _candidates(pairs, threshold)
     once = lambda n: F.size(F.array_distinct(F.transform("cands", lambda x: x[n]))) == F.size("cands")
     docs = docs.withColumn("__mode", F.when(once("g") & once("p"), "free").when(F.col("n_pred") > limit, "greedy").otherwise("exact"))
     plain = F.transform("cands", lambda m: F.struct(m["g"].alias("g"), m["p"].alias("p"), m["score"].alias("score")))
@@ -308,13 +313,13 @@ def evidence_support(gold: Column, gold_clauses: Column, pred: Column, version:
     return F.when(empty_both, F.lit(1.0)).when(empty_one, F.lit(0.0)).otherwise(F.round(value, 6))
 
 
-def matched_fields(matches: DataFrame, gold: DataFrame, pred: DataFrame, pairs: DataFrame, version: str = "0.4.7") -> DataFrame:
+def matched_fields(matches: DataFrame, gold: DataFrame, pred: DataFrame, version: str = "0.4.7") -> DataFrame:
     """All 14 field values of each matched pair."""
-    m = matches.select("doc", "g", "p").join(pairs, ["doc", "g", "p"])
     g = gold.select("doc", F.col("idx").alias("g"), F.col("f").alias("gf"))
     p = pred.select("doc", F.col("idx").alias("p"), F.col("f").alias("pf"))
-    j = m.join(g, ["doc", "g"]).join(p, ["doc", "p"])
+    j = matches.select("doc", "g", "p", "score").join(g, ["doc", "g"]).join(p, ["doc", "p"])
     a, b = F.col("gf"), F.col("pf")
+    j = j.withColumns(component_columns(a, b, version))
     return j.select(
         "doc", "g", "p", "score", F.col("signal_role").alias("signal_role_accuracy"), F.col("signal_type").alias("signal_type_accuracy"),
         F.col("disease").alias("disease_accuracy"), F.col("pathogen").alias("pathogen_accuracy"),

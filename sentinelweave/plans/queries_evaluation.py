@@ -166,7 +166,7 @@ def _(spark, sf):
 def reports(spark, sf, version="0.4.7"):
     gold, pred = features(spark, sf, "gold", version), features(spark, sf, "pred", version)
     ps = pairs(spark, sf, version)
-    fields = E.matched_fields(E.match_exact(ps), gold, pred, ps, version)
+    fields = E.matched_fields(E.match_exact(ps), gold, pred, version)
     return E.document_report(gold, pred, fields)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sentinelweave.operators.ingest import upsert_raw_items
 from sentinelweave.operators.relations import match_anchors, relation_batch, upsert_relations
+from sentinelweave.session import truncate_lineage
 
 
 class SnapshotTable:
@@ -63,9 +64,10 @@ def stream_matches(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         current = index()
-        matches = match_anchors(batch, current, signals(), raw(), k)
+        # The batch is checked and stored by several plans; score it once.
+        found = truncate_lineage(relation_batch(match_anchors(batch, current, signals(), raw(), k)))
         known = table.read(before=batch_id).withColumns({"created_at": F.lit(None).cast("timestamp")})
-        table.write(upsert_relations(relation_batch(matches), known, current.select("signal_id")), batch_id)
+        table.write(upsert_relations(found, known, current.select("signal_id")), batch_id)
 
     return arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
