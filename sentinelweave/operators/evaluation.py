@@ -62,7 +62,7 @@ def quote_features(type_: Column, text: Column, page: Column, version: str) -> C
     """What a quotation comparison needs."""
     return F.struct(
         canonical_evidence_type(type_, version).alias("type"), page.alias("page"), F.coalesce(norm_text(text), F.lit("")).alias("text"),
-        tokens(text).alias("all"), tokens(text, True).alias("content"),
+        has_negation(tokens(text)).alias("negated"), F.array_sort(numbers(tokens(text))).alias("numbers"), tokens(text, True).alias("content"),
     )
 
 
@@ -84,13 +84,13 @@ def score_features(signals: DataFrame, version: str = "0.4.7") -> DataFrame:
         norm_text(s("disease.canonical_name")).alias("disease_c"), norm_text(s("disease.verbatim")).alias("disease_v"),
         norm_text(s("pathogen.canonical_name")).alias("pathogen_c"), norm_text(s("pathogen.verbatim")).alias("pathogen_v"),
         _struct(norm_text(s("disease.normalization_status")), norm_text(s("pathogen.normalization_status"))).alias("status"),
-        F.transform(
+        F.array_distinct(F.transform(
             "metrics",
             lambda m: _struct(
                 norm_text(m["name"]), _num(m["value_numeric"]), norm_text(m["value_text"]), norm_text(m["unit"]), m["as_of_date"], m["as_of_year"],
                 m["as_of_month"], norm_text(m["as_of_precision"]),
             ),
-        ).alias("metric_keys"),
+        )).alias("metric_keys"),
         F.transform(
             "metrics",
             lambda m: F.struct(
@@ -98,18 +98,18 @@ def score_features(signals: DataFrame, version: str = "0.4.7") -> DataFrame:
                 canonical_metric_unit(m["unit"]).alias("unit"), m["as_of_date"].alias("date"), m["as_of_year"].alias("year"), m["as_of_month"].alias("month"),
             ),
         ).alias("metric_facts"),
-        F.transform(
+        F.array_distinct(F.transform(
             "locations",
             lambda x: _struct(
                 _or_text(x["country_iso2"], x["country"]), norm_text(x["admin1"]), norm_text(x["admin2"]), norm_text(x["locality"]), norm_text(x["region"]), norm_text(x["role"])
             ),
-        ).alias("location_keys"),
-        F.transform("hosts", lambda h: _struct(_or_text(h["canonical_name"], h["verbatim"]), norm_text(h["host_type"]))).alias("host_keys"),
+        )).alias("location_keys"),
+        F.array_distinct(F.transform("hosts", lambda h: _struct(_or_text(h["canonical_name"], h["verbatim"]), norm_text(h["host_type"])))).alias("host_keys"),
         _struct(s("event_date.start"), s("event_date.end"), norm_text(s("event_date.precision"))).alias("event_date"),
         _struct(point(s("reference_period.start")), point(s("reference_period.end")), norm_text(s("reference_period.period_type"))).alias("reference_period"),
         _struct(yes(d["test_reported"]), *[norm_text(d[n]) for n in ("test_type", "method", "target", "specimen", "result")]).alias("diagnostics"),
-        F.filter(F.transform("domains", norm_text), lambda x: x.isNotNull()).alias("domains"),
-        F.transform("evidence", lambda e: _struct(canonical_evidence_type(e["type"], version), norm_text(e["text"]), e["page_number"])).alias("evidence_keys"),
+        F.array_distinct(F.filter(F.transform("domains", norm_text), lambda x: x.isNotNull())).alias("domains"),
+        F.array_distinct(F.transform("evidence", lambda e: _struct(canonical_evidence_type(e["type"], version), norm_text(e["text"]), e["page_number"]))).alias("evidence_keys"),
         quotes.alias("quotes"), split.alias("clauses"),
     )
     return signals.select("doc", "idx", "local_signal_id", f.alias("f"))
@@ -141,12 +141,8 @@ def metric_support_f1(gold: Column, pred: Column) -> Column:
         return F.when(F.size(free) > 0, F.concat(acc, F.array(F.get(free, F.lit(0))["i"]))).otherwise(acc)
 
     used = F.size(F.aggregate(gold, F.array().cast("array<int>"), step))
-    precision, recall = used / F.size(pred), used / F.size(gold)
-    return (
-        F.when((F.size(gold) == 0) & (F.size(pred) == 0), F.lit(1.0))
-        .when((F.size(gold) == 0) | (F.size(pred) == 0) | (used == 0), F.lit(0.0))
-        .otherwise(F.round(2 * precision * recall / (precision + recall), 6))
-    )
+    total = F.size(gold) + F.size(pred)
+    return F.when(total == 0, F.lit(1.0)).otherwise(F.round(2 * used / total, 6))
 
 
 def component_columns(a: Column, b: Column, version: str = "0.4.7") -> dict[str, Column]:
@@ -261,17 +257,16 @@ def quote_similarity(g: Column, p: Column) -> Column:
     contained = F.when(g_short, F.contains(p["text"], g["text"]) & ((F.size(g["content"]) >= 3) | (F.length(g["text"]) >= 24))).otherwise(
         F.contains(g["text"], p["text"]) & ((F.size(p["content"]) >= 3) | (F.length(p["text"]) >= 24))
     )
-    gn, pn = numbers(g["all"]), numbers(p["all"])
+    gn, pn = g["numbers"], p["numbers"]
     shared = F.size(F.array_intersect(g["content"], p["content"]))
-    precision, recall = shared / F.size(p["content"]), shared / F.size(g["content"])
     return (
         F.when(~_comparable(g, p), F.lit(0.0))
         .when(g["text"] == p["text"], F.lit(1.0))
-        .when(has_negation(g["all"]) != has_negation(p["all"]), F.lit(0.0))
+        .when(g["negated"] != p["negated"], F.lit(0.0))
         .when(contained, F.lit(1.0))
         .when((F.size(gn) > 0) & (F.size(pn) > 0) & ~F.arrays_overlap(gn, pn), F.lit(0.0))
         .when(shared < 3, F.lit(0.0))
-        .otherwise(F.round(2 * precision * recall / (precision + recall), 6))
+        .otherwise(F.round(2 * shared / (F.size(g["content"]) + F.size(p["content"])), 6))
     )
 
 
@@ -281,10 +276,10 @@ def _comparable(g: Column, p: Column) -> Column:
 
 def short_fragment(g: Column, p: Column) -> Column:
     """Very short numeric fragments: same numbers, same negation, one token set inside the other."""
-    gn, pn = F.array_sort(numbers(g["all"])), F.array_sort(numbers(p["all"]))
+    gn, pn = g["numbers"], p["numbers"]
     a, b = F.size(g["content"]), F.size(p["content"])
     inside = F.when(a <= b, F.size(F.array_except(g["content"], p["content"])) == 0).otherwise(F.size(F.array_except(p["content"], g["content"])) == 0)
-    return _comparable(g, p) & (has_negation(g["all"]) == has_negation(p["all"])) & (gn == pn) & (a > 0) & (b > 0) & (F.least(a, b) <= 2) & inside
+    return _comparable(g, p) & (g["negated"] == p["negated"]) & (gn == pn) & (a > 0) & (b > 0) & (F.least(a, b) <= 2) & inside
 
 
 def evidence_support(gold: Column, gold_clauses: Column, pred: Column, version: str = "0.4.7", threshold: float = SUPPORT_THRESHOLD) -> Column:
