@@ -10,11 +10,12 @@ from sentinelweave.plans.nested import nested_claims, nested_signals
 from sentinelweave.plans.registry import query
 from sentinelweave.plans.views import run_sql, view
 from sentinelweave.sources import catalogs, pages, payloads
+from sentinelweave.streaming.streams import run_folder
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
 
-@query("src1_read_payloads")
+@query("src1_read_payloads", "select doc as raw_item_id, cast(count(*) as int) as n_claims, 'c' || doc || '-1' as first_claim from {clm} group by doc")
 def _(spark, sf):
     out = payloads.parse_payloads(payloads.as_documents(nested_claims(spark, sf)), "claims")
     return out.select("raw_item_id", F.size("payload.claims").alias("n_claims"), F.col("payload.claims")[0]["claim_id"].alias("first_claim"))
@@ -185,3 +186,11 @@ def _(spark, sf):
 def _(spark, sf):
     table, _ = upserted(spark, sf)
     return ingest.ingest_summary(table)
+
+
+@query("snk3_write_report", "select source_code, count(*) as documents, count(title) as titled from {doc} group by source_code")
+def _(spark, sf):
+    report = view(spark, sf, "doc").groupBy("source_code").agg(F.count("*").alias("documents"), F.count("title").alias("titled"))
+    folder = run_folder(spark) + "/report"
+    payloads.write_report(report, folder)
+    return spark.read.schema(report.schema).json(folder)
