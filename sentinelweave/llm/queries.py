@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sentinelweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from sentinelweave.llm.common import scratch_path
+from sentinelweave.llm.mixing import mix
 from sentinelweave.llm.token_counts import token_counts
+from sentinelweave.llm.topk import top_k
+from sentinelweave.llm.warc import round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -17,3 +21,33 @@ def vocabulary(name: str) -> str:
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op2_warc_archive", """
+    with p as (select page_id, coalesce(html, '') as html from pages),
+    h as (select *, max(page_id) over (partition by html) as holder from p)
+    select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest,
+           case when strlen(html) < 1000 or page_id = holder then 'response' else 'revisit' end as record_type,
+           case when strlen(html) >= 1000 and page_id <> holder then holder end as refers_to
+    from h""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
+
+
+@query("op6_exact_top_k", """
+    with v as (
+        select vec_id, [floor(1024 * x::double) for x in embedding] as v from embeddings
+        where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+    s as (
+        select q.vec_id as query_id, c.vec_id, cast(list_sum([z[1] * z[2] for z in list_zip(q.v, c.v)]) as bigint) as score
+        from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+    r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 10""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.filter("vec_id % 100 = 0"), 10)
+
+
+@query("op9_source_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
