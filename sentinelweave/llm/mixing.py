@@ -58,9 +58,9 @@ def targets(sources: DataFrame, weights: list[float] = WEIGHTS, most: int = MOST
     filled = ranked.withColumn("all", F.sum("source_size").over(everything)).withColumn("all_w", F.sum("w").over(everything))
     filled = filled.withColumn("level", (F.col("all") - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     free = F.col("level") * F.col("w") <= F.col("ceiling")
-    level = F.min(F.when(free, F.col("level"))).over(everything)
-    first = F.min(F.when(free, F.col("ceiling") / F.col("w"))).over(everything)
-    target = F.when(level.isNull() | (F.col("ceiling") / F.col("w") < first), F.col("ceiling")).otherwise(F.least(level * F.col("w"), F.col("ceiling")))
+    ratio = F.col("ceiling") / F.col("w")
+    first = F.min(F.when(free, F.struct(ratio.alias("ratio"), F.col("level").alias("level")))).over(everything)
+    target = F.when(first.isNull() | (ratio < first["ratio"]), F.col("ceiling")).otherwise(F.least(first["level"] * F.col("w"), F.col("ceiling")))
     return filled.select("source", "source_size", target.alias("target"))
 
 
