@@ -121,13 +121,16 @@ def copies(docs: DataFrame, rates: DataFrame, most: int = MOST) -> DataFrame:
     ways = rounded.filter("size > 0").select("source", "size", "__class", "__at", "__h", F.explode(F.array(*[
         F.when(F.col("copies") < most, F.lit(1)), F.when(F.col("copies") > 0, F.lit(-1))])).alias("__way")).filter("__way is not null")
     few = ways.join(rest.select(F.col("source").alias("__s"), "__rest"), F.col("source").eqNullSafe(F.col("__s"))).filter(
-        (F.signum("__rest") == F.col("__way")) & (F.col("size") <= 2 * F.abs("__rest"))).groupBy("source", "__class").agg(
+        (F.signum("__rest") == F.col("__way")) & (F.col("size") <= F.abs("__rest"))).groupBy("source", "__class").agg(
         F.first("__rest").alias("__rest"), *[F.min_by(F.struct("size", "__at", "__way"), F.xxhash64("__h", F.lit(i))).alias(f"__c{i}") for i in range(SETTLERS)])
     listed = few.select("source", "__rest", F.explode(F.array_distinct(F.array(*[f"__c{i}" for i in range(SETTLERS)]))).alias("c")).groupBy("source").agg(
         F.first("__rest").alias("__rest"), F.array_sort(F.collect_list(F.struct((-F.col("c.size")).alias("k"), F.col("c.__at").alias("at"), F.col("c.size").alias("size"), F.col("c.__way").alias("way")))).alias("cs"))
     settled = F.aggregate(
         "cs", F.struct(F.col("__rest").alias("rest"), F.array().cast("array<bigint>").alias("used")),
-        lambda acc, c: F.when(F.abs(acc["rest"]) * 2 > c["size"], F.when(F.signum(acc["rest"]) == c["way"], F.struct((acc["rest"] - c["way"] * c["size"]).alias("rest"), F.concat(acc["used"], F.array(c["at"])).alias("used"))).otherwise(acc)).otherwise(acc),
+        lambda acc, c: F.when(
+            F.abs(acc["rest"]) >= c["size"],
+            F.struct((acc["rest"] - c["way"] * c["size"]).alias("rest"), F.concat(acc["used"], F.array(c["at"])).alias("used")),
+        ).otherwise(acc),
     )
     used = listed.select(F.col("source").alias("__s"), F.signum("__rest").cast("long").alias("__way"), F.explode(settled["used"]).alias("__u"))
     out = rounded.join(used, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__at") == F.col("__u")), "left")
