@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentinelweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sentinelweave.llm.common import scratch_path
+from sentinelweave.llm.licenses import license_scan
 from sentinelweave.llm.mixing import mix
 from sentinelweave.llm.token_counts import token_counts
 from sentinelweave.llm.topk import top_k
@@ -51,3 +52,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_source_mix")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
