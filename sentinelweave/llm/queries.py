@@ -8,6 +8,7 @@ from sentinelweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F
 from sentinelweave.llm.common import scratch_path
 from sentinelweave.llm.licenses import license_scan
 from sentinelweave.llm.mixing import mix
+from sentinelweave.llm.near_copies import near_copies
 from sentinelweave.llm.token_counts import token_counts
 from sentinelweave.llm.topk import top_k
 from sentinelweave.llm.warc import round_trip
@@ -57,3 +58,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"), words=4, hundredths=85)

@@ -52,10 +52,11 @@ def holders(pages: DataFrame) -> DataFrame:
 
 def payload_table(pages: DataFrame, held: DataFrame) -> DataFrame:
     """``(address, payload)``: every distinct payload once, taken from its holder."""
-    base = addressed(pages).select("address", "page_id", "payload")
-    keys = held.select(F.col("address").alias("a"), F.col("holder").alias("h"))
-    own = base.join(keys, (F.col("address") == F.col("a")) & F.col("page_id").eqNullSafe(F.col("h")), "left_semi")
-    return own.select("address", "payload").dropDuplicates(["address"])
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
+    base = addressed(pages).select("address", key("page_id").alias("k"), "payload")
+    keys = held.select("address", key("holder").alias("k"))
+    # Both steps use one partitioning by (address, k): payload bytes move once.
+    return base.join(keys, ["address", "k"], "left_semi").dropDuplicates(["address", "k"]).select("address", "payload")
 
 
 def _line(name: str, value: Column) -> Column:
