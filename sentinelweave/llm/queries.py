@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentinelweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sentinelweave.llm.common import scratch_path
+from sentinelweave.llm.decontamination import leaked
 from sentinelweave.llm.licenses import license_scan
 from sentinelweave.llm.mixing import mix
 from sentinelweave.llm.near_copies import near_copies
+from sentinelweave.llm.quality import quality
 from sentinelweave.llm.token_counts import token_counts
 from sentinelweave.llm.topk import top_k
 from sentinelweave.llm.warc import round_trip
@@ -63,3 +65,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), words=4, hundredths=85)
+
+
+@query("op7_spaced_seed_leaks")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_weak_label_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
