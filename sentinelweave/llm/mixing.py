@@ -147,3 +147,21 @@ def mix(docs: DataFrame, weights: list[float] = WEIGHTS, most: int = MOST) -> Da
     out = copies(narrow, rates, most)
     sizes = rates.select(F.col("source").alias("__s"), "source_size")
     return out.join(sizes, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_copies(docs: DataFrame, weights: list[float] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """``docs`` as often as the mix takes them, with ``copy`` from 1 (replacing a column of that name).
+
+    Rows of equal id, source and size are interchangeable in the rounding; they get its copies in any order.
+    """
+    counts = mix(docs, weights, most).filter("copies > 0").select(
+        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copies")
+    nth = lambda cols: F.row_number().over(Window.partitionBy(*cols).orderBy(cols[0]))
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    rows = sized(docs).withColumnRenamed("size", "__size") if "size" not in docs.columns else sized(docs.withColumnRenamed("size", "__own")).withColumnRenamed("size", "__size").withColumnRenamed("__own", "size")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+    if repeated:
+        rows, counts = rows.withColumn("__n", nth(["doc_id", "source", "__size"])), counts.withColumn("__m", nth(["__d", "__s", "__z"]))
+        same = same & (F.col("__n") == F.col("__m"))
+    taken = rows.join(counts, same)
+    return taken.select(*[F.col(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

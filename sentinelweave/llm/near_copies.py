@@ -221,3 +221,12 @@ def near_copies(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTH
     tested(across)
     root = root if links[-1] is before or links[-1].isEmpty() else roots()
     return facts.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS) -> DataFrame:
+    """``docs`` without the documents that are not the smallest id of their component.
+
+    Rows that share a doc_id are one document and stay or go together; null ids stay.
+    """
+    gone = near_copies(docs, words, hundredths).filter("component_id <> doc_id").select(F.col("doc_id").alias("__d")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__d"), "left_anti")

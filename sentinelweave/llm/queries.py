@@ -8,6 +8,7 @@ from sentinelweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F
 from sentinelweave.llm.common import scratch_path
 from sentinelweave.llm.decontamination import leaked
 from sentinelweave.llm.licenses import license_scan
+from sentinelweave.llm.line_dedup import line_report
 from sentinelweave.llm.mixing import mix
 from sentinelweave.llm.near_copies import near_copies
 from sentinelweave.llm.quality import quality
@@ -75,3 +76,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_weak_label_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
