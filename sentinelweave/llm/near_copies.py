@@ -4,8 +4,8 @@ A set is hashed into P parts; a part's sketch is the XOR of the 64-bit hashes of
 have equal sketches and the number of differing parts is a lower bound of the symmetric difference. Sets are
 handled in bands of similar size. In a band, similar sets differ in at most d parts (d follows from the
 threshold and the largest size), so by the pigeonhole principle a common part is among the first d + 1 non-empty
-parts of both, in any common order; the order used puts parts of many shingles first, which seldom agree by
-chance. A set also stands in the band of the largest partner it can have. P is chosen so that fewer than d + 1
+parts of both, in any common order; the order used puts parts of many rare shingles first, which seldom agree by
+chance. Common shingles are those held by one in ``COMMON`` of all shingles or more (at most ``COMMON`` of them). A set also stands in the band of the largest partner it can have. P is chosen so that fewer than d + 1
 filled parts have a chance below ``MISS`` (the union bound over bins), of the order of a hash collision; small
 sets get one part per shingle that way.
 
@@ -37,6 +37,10 @@ WORDS, HUNDREDTHS = 5, 80
 BAND_RATIO = 1.35
 #: Chance that a set fills too few parts of its band.
 MISS = 1e-12
+#: A shingle is common if it makes up at least one in so many of all shingles of all sets.
+COMMON = 500_000
+#: Texts of a batch that must hold a shingle for it to be counted.
+COUNTED_FROM = 3
 #: Ids that may be sent to all executors (8 bytes each) instead of shuffling texts.
 SENT_IDS = 500_000
 
@@ -84,14 +88,17 @@ def digests(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def sketch_keys(value: np.ndarray, bounds: np.ndarray, hundredths: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text number) of the indexed parts of every wanted text."""
+def sketch_keys(value: np.ndarray, bounds: np.ndarray, hundredths: int, wanted: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text number) of the indexed parts of every wanted text; ``common`` shingles ascend."""
     size = np.diff(bounds)
     limits = bands(int(size.max(initial=0) * 100 // hundredths) + 1, hundredths)
     high = np.array([b[0] for b in limits])
     own = np.searchsorted(high, size)
     reach = np.searchsorted(high, size * 100 // hundredths)
     keys, texts = [], []
+    rare = np.ones(len(value), np.int64)
+    if len(common):
+        rare -= common[np.minimum(np.searchsorted(common, value), len(common) - 1)] == value
     for band in np.unique(np.r_[own[wanted], reach[wanted]]).tolist():
         _, d, parts = limits[band]
         docs = np.flatnonzero(wanted & (size > 0) & ((own == band) | (reach == band)))
@@ -99,14 +106,15 @@ def sketch_keys(value: np.ndarray, bounds: np.ndarray, hundredths: int, wanted:
             continue
         count = size[docs]
         doc = np.repeat(np.arange(len(docs)), count)
-        element = value[np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[docs], count)]
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[docs], count)
+        element = value[place]
         salt = mix(np.full(1, band + 1, np.uint64))
         part = mix(element ^ np.uint64(0xA5A5)) % np.uint64(parts)
         order = np.lexsort((part, doc))
-        doc, part, element = doc[order], part[order], element[order]
+        doc, part, element, place = doc[order], part[order], element[order], place[order]
         head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])
         sketch = np.bitwise_xor.reduceat(mix(element), head)
-        filled = np.diff(np.r_[head, len(doc)])
+        filled = np.add.reduceat(rare[place], head)
         key = mix(sketch + mix(part[head] ^ salt) + filled.astype(np.uint64))
         doc = doc[head]
         order = np.lexsort((key, -filled, doc))
@@ -121,21 +129,38 @@ def sketch_keys(value: np.ndarray, bounds: np.ndarray, hundredths: int, wanted:
 
 
 def set_facts(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n, d1, d2)``: size and digest of every row's set."""
+    """``(doc_id, n, d1, d2, often)``: size and digest of every row's set; the first row of a batch lists the
+    shingles that ``COUNTED_FROM`` or more of the batch's sets hold, with their number."""
     small_batches(docs.sparkSession)
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value, bounds = sets(*buffers(batch.column(1)), words)
             d1, d2 = digests(value, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], names=["doc_id", "n", "d1", "d2"])
+            slot = value & np.uint64((1 << 20) - 1)
+            seen, times = np.unique(value[np.bincount(slot.astype(np.int64), minlength=1 << 20)[slot] >= COUNTED_FROM], return_counts=True)
+            seen, times = seen[times >= COUNTED_FROM], times[times >= COUNTED_FROM]
+            ends = np.full(len(d1) + 1, len(seen), np.int32)
+            ends[0] = 0
+            often = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(seen.view(np.int64)), pa.array(times)], names=["shingle", "n"])).cast(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), often], names=["doc_id", "n", "d1", "d2", "often"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n long, d1 long, d2 long, often array<struct<shingle:long,n:long>>")
 
 
-def sketch_rows(docs: DataFrame, words: int, hundredths: int) -> DataFrame:
+def common_shingles(facts: DataFrame) -> np.ndarray:
+    """The common shingles, ascending: at most ``COMMON`` numbers."""
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    counts = facts.select(F.explode("often").alias("o")).groupBy("o.shingle").agg(F.sum("o.n").alias("n"))
+    rows = counts.filter(F.col("n") * COMMON >= total).select("shingle").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def sketch_rows(docs: DataFrame, words: int, hundredths: int, common: np.ndarray) -> DataFrame:
     """``(key, doc_id)``: the indexed parts of all documents, of equal sets in one task those of the first."""
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -148,7 +173,7 @@ def sketch_rows(docs: DataFrame, words: int, hundredths: int) -> DataFrame:
                     wanted[i] = False
                 elif wanted[i]:
                     seen.add(pair)
-            key, text = sketch_keys(value, bounds, hundredths, wanted)
+            key, text = sketch_keys(value, bounds, hundredths, wanted, shared.value)
             number = ids.fill_null(0).to_numpy()[text]
             for i in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000].view(np.int64)), pa.array(number[i : i + 100_000])], names=["key", "doc_id"])
@@ -196,7 +221,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTH
     known = facts.filter("doc_id is not null and n > 0")
     copies = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("__hi")).filter("u < __hi").drop("__hi")
     links = [stored(known.join(copies, ["d1", "d2", "n"]).filter("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct(), "copies")]
-    members = stored(shared_keys(sketch_rows(docs, words, hundredths)), "members")
+    members = stored(shared_keys(sketch_rows(docs, words, hundredths, common_shingles(facts))), "members")
     side = lambda a: known.select(F.col("doc_id").alias(a), *[F.col(c).alias(f"{c}_{a}") for c in ("n", "d1", "d2")])
     possible = (
         (F.col("n_u") * 100 >= F.col("n_v") * hundredths) & (F.col("n_v") * 100 >= F.col("n_u") * hundredths)
