@@ -28,8 +28,9 @@ MASKS = ["11011001", "10110110", "01101101", "11100011"]
 SPAN = len(MASKS[0])
 #: Aligned words that decide, and the share of them that must agree.
 WINDOW, SHARE = 20, 0.8
-#: Bits of the bitmap per item seed, and its size in bits at most.
-BITS_PER_SEED, MOST_BITS = 32, 1 << 26
+#: Bits of the bitmap per item seed, and its size in bits at most; a seed sets two bits.
+BITS_PER_SEED, MOST_BITS = 1024, 1 << 26
+SECOND = 37
 
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[128:] = False
@@ -79,32 +80,37 @@ def item_words(items: DataFrame) -> DataFrame:
 
 
 def bitmap(found: DataFrame) -> np.ndarray:
-    """Bits set at the items' seeds; at most ``MOST_BITS`` bits (8 MB) whatever the number of seeds."""
+    """Two bits set for every value of column ``seed``; at most ``MOST_BITS`` bits (8 MB) whatever their number."""
     bits = 64
     while bits < min(MOST_BITS, found.count() * BITS_PER_SEED):
         bits *= 2
-    place = f"(seed & {bits - 1}L)"
-    words = found.selectExpr(f"shiftright({place}, 6) as w", f"shiftleft(1L, cast({place} & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    places = found.selectExpr(f"explode(array(seed & {bits - 1}L, shiftrightunsigned(seed, {SECOND}) & {bits - 1}L)) as p")
+    words = places.selectExpr("shiftright(p, 6) as w", "shiftleft(1L, cast(p & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    for w, b in words:
-        out[w] = np.uint64(b & (2**64 - 1))
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return out
 
 
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may have been put into ``bits``."""
+    limit = np.uint64(len(bits) * 64 - 1)
+    found = np.ones(len(values), bool)
+    for place in (values & limit, (values >> np.uint64(SECOND)) & limit):
+        found &= ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return found
+
+
 def hit_spans(docs: DataFrame, bits: np.ndarray, reach: int = WINDOW) -> DataFrame:
     """``(doc_id, h, start, words, hits)``: words around every cluster of seeds that the bitmap passes."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        limit = np.uint64(len(table) * 64 - 1)
         hit_type = pa.list_(pa.struct([("at", pa.int64()), ("seed", pa.int64())]))
         for batch in batches:
             hashes, bounds = tokens(batch.column(2))
             seed, text, at = seeds(hashes, bounds)
-            place = seed & limit
-            hit = np.flatnonzero((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+            hit = np.flatnonzero(passes(shared.value, seed))
             hit = hit[np.lexsort((at[hit], text[hit]))]
             seed, text, at = seed[hit].view(np.int64), text[hit], at[hit]
             head = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (at[1:] > at[:-1] + 2 * reach)]) if len(hit) else np.zeros(0, np.int64)

@@ -1,10 +1,11 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity, rarest first: exact counts for the words that make
-up at least one in ``FREQUENT`` of all words (so there are at most ``FREQUENT`` of them), the rest before them by
-hash; any one order gives the right result. Two lines of Jaccard similarity 0.8 share a word within their
-prefixes of n - ceil(0.8 n) + 1 words. Lines meet by such a word if their lengths and the word's positions still
-allow the overlap (length and positional filters), and the sets are compared exactly.
+A line is the set of its five-word shingles (a shorter line is one shingle). Its tokens, the shingles, are ordered
+by rarity, rarest first: exact counts over batches for those that make up at least one in ``COMMON`` of all (so
+there are at most ``COMMON`` of them), the rest before them by hash; any one order gives the right result. Two
+lines of Jaccard similarity 0.8 share a token within their prefixes of n - ceil(0.8 n) + 1 tokens. Lines meet by
+such a token if their lengths and its positions still allow the overlap (length and positional filters), and the
+sets are compared exactly.
 
 A line goes if it matches an earlier line, in the order of doc_id and line number. Equal sets are one node with
 one first place. Every node is compared with the earliest node of each of its groups; only nodes that found no
@@ -23,16 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sentinelweave.llm.common import buffers, small_batches, stored, word_hashes
-from sentinelweave.llm.decontamination import bitmap
-from sentinelweave.llm.near_copies import digests
+from sentinelweave.llm.common import buffers, shingles, small_batches, stored, word_hashes
+from sentinelweave.llm.decontamination import bitmap, passes
+from sentinelweave.llm.near_copies import COMMON, COUNTED_FROM, digests
 
 #: Jaccard similarity in hundredths.
 HUNDREDTHS = 80
-#: A word that makes up at least one in so many of all words has its exact count in the order.
-FREQUENT = 50_000
-#: Words counted in a task before the counts are sent on.
-COUNTED = 4_000_000
+#: Words of a token.
+WORDS = 5
 NEWLINE = 10
 LAST = 2**63 - 1
 
@@ -48,10 +47,10 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct word hashes ascending per line, bounds, text number, line number)."""
+    """(distinct token hashes ascending per line, bounds, text number, line number)."""
     limits, text, line = line_bounds(data, offsets)
-    value, _, _, bounds = word_hashes(data, limits)
-    owner = np.repeat(np.arange(len(text)), np.diff(bounds))
+    hashes, _, _, bounds = word_hashes(data, limits)
+    value, owner = shingles(hashes, bounds, WORDS)
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     keep = np.ones(len(value), bool)
@@ -65,45 +64,40 @@ def read_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
 
-def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hash ascending, count) of the at most ``FREQUENT`` words that hold a share of 1 / ``FREQUENT`` of all words."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        def flush() -> Iterator[pa.RecordBatch]:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            for i in range(0, len(value), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(value[i : i + 100_000].view(np.int64)), pa.array(count[i : i + 100_000])], names=["word", "n"])
-        for batch in batches:
-            held.append(word_hashes(*buffers(batch.column(2)))[0])
-            if sum(map(len, held)) > COUNTED:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    counts = stored(read_texts(docs).mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") * FREQUENT >= total).collect()
-    word = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(word)
-    return word[order], np.array([r[1] for r in rows], np.int64)[order]
-
-
 def line_facts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h, line, n, d1, d2)``: size and digest of every line's set."""
+    """``(doc_id, h, line, n, d1, d2, often)``: size and digest of every line's set; the first line of a batch lists
+    the tokens that ``COUNTED_FROM`` or more of the batch's lines hold, with their number."""
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value, bounds, text, line = line_sets(*buffers(batch.column(2)))
             d1, d2 = digests(value, bounds)
+            slot = (value & np.uint64((1 << 20) - 1)).astype(np.int64)
+            seen, times = np.unique(value[np.bincount(slot, minlength=1 << 20)[slot] >= COUNTED_FROM], return_counts=True)
+            seen, times = seen[times >= COUNTED_FROM], times[times >= COUNTED_FROM]
+            ends = np.full(len(d1) + 1, len(seen), np.int32)
+            ends[0] = 0
+            often = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(seen.view(np.int64)), pa.array(times)], names=["token", "n"])).cast(kind)
             which = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *[pa.array(x) for x in (line, np.diff(bounds), d1, d2)]], names=["doc_id", "h", "line", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *[pa.array(x) for x in (line, np.diff(bounds), d1, d2)], often], names=["doc_id", "h", "line", "n", "d1", "d2", "often"])
+
+    return read_texts(docs).mapInArrow(work, "doc_id long, h long, line long, n long, d1 long, d2 long, often array<struct<token:long,n:long>>")
+
 
-    return read_texts(docs).mapInArrow(work, "doc_id long, h long, line long, n long, d1 long, d2 long")
+def common_tokens(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(token ascending, count) of the common tokens: at most ``COMMON``."""
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    counts = facts.select(F.explode("often").alias("o")).groupBy("o.token").agg(F.sum("o.n").alias("n"))
+    rows = counts.filter(F.col("n") * COMMON >= total).collect()
+    token = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
-def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(word, d1, n, at)``: the prefix words of every set, of equal sets in one task those of the first."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def prefix_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(token, d1, n, at)``: the prefix tokens of every set, of equal sets in one task those of the first."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count = shared.value
@@ -112,7 +106,7 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
             value, bounds, text, _ = line_sets(*buffers(batch.column(2)))
             d1, _ = digests(value, bounds)
             n = np.diff(bounds)
-            # Sets of fewer than 4 words match equal sets only.
+            # Sets of fewer than 4 tokens match equal sets only.
             wanted = n >= 4
             for i in np.flatnonzero(wanted).tolist():
                 d = int(d1[i])
@@ -134,24 +128,21 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
             first = at <= size - -(-size * HUNDREDTHS // 100)
             columns = [value[first].view(np.int64), d1[owner[first]], size[first], at[first]]
             for i in range(0, int(first.sum()), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["word", "d1", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["token", "d1", "n", "at"])
 
-    return read_texts(docs).mapInArrow(work, "word long, d1 long, n long, at long")
+    return read_texts(docs).mapInArrow(work, "token long, d1 long, n long, at long")
 
 
 def wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(d1, d2, n, s)``: the word sets of the lines whose d1 is in ``ids``; a bitmap of fixed size comes first."""
+    """``(d1, d2, n, s)``: the token sets of the lines whose d1 is in ``ids``; a bitmap of fixed size comes first."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.col("d1").alias("seed"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        limit = np.uint64(len(table) * 64 - 1)
         seen: set[int] = set()
         for batch in batches:
             value, bounds, _, _ = line_sets(*buffers(batch.column(2)))
             d1, d2 = digests(value, bounds)
-            place = d1.view(np.uint64) & limit
-            hit = [i for i in np.flatnonzero((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).tolist() if int(d1[i]) not in seen]
+            hit = [i for i in np.flatnonzero(passes(shared.value, d1.view(np.uint64))).tolist() if int(d1[i]) not in seen]
             seen.update(d1[hit].tolist())
             for i in range(0, len(hit), 5000):
                 part = hit[i : i + 5000]
@@ -183,20 +174,19 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = stored(line_facts(docs), "lines")
     place = F.struct("doc_id", "h", "line")
     nodes = stored(facts.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(place).alias("first")), "nodes")
-    spread = prefix_rows(docs, frequent_words(docs)).repartition("word")
-    shared = spread.groupBy("word").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("a < b").select("word")
-    members = stored(spread.join(shared, "word").distinct(), "members").join(nodes.groupBy("d1").agg(F.min("first").alias("first")), "d1")
-    members = stored(members, "members")
-    # What the length and positional filters leave of a pair that meets at a word.
+    spread = prefix_rows(docs, common_tokens(facts)).repartition("token")
+    shared = spread.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("a < b").select("token")
+    members = stored(spread.join(shared, "token").distinct().join(nodes.groupBy("d1").agg(F.min("first").alias("first")), "d1"), "members")
+    # What the length and positional filters leave of a pair that meets at a token.
     reach = lambda a, b: F.lit(1) + F.least(F.col(f"n{a}") - F.col(f"at{a}") - 1, F.col(f"n{b}") - F.col(f"at{b}") - 1)
     def possible(a: str, b: str):
         total = F.col(f"n{a}") + F.col(f"n{b}")
         length = (F.col(f"n{a}") * 100 >= F.col(f"n{b}") * HUNDREDTHS) & (F.col(f"n{b}") * 100 >= F.col(f"n{a}") * HUNDREDTHS)
         return length & (reach(a, b) * (100 + HUNDREDTHS) >= total * HUNDREDTHS)
-    side = lambda t: members.select("word", *[F.col(c).alias(c + t) for c in ("d1", "n", "at", "first")])
-    leads = members.groupBy("word").agg(F.min(F.struct("first", "d1", "n", "at")).alias("m")).select("word", F.col("m.d1").alias("d1_e"), F.col("m.n").alias("n_e"), F.col("m.at").alias("at_e"), F.col("m.first").alias("first_e"))
+    side = lambda t: members.select("token", *[F.col(c).alias(c + t) for c in ("d1", "n", "at", "first")])
+    leads = members.groupBy("token").agg(F.min(F.struct("first", "d1", "n", "at")).alias("m")).select("token", F.col("m.d1").alias("d1_e"), F.col("m.n").alias("n_e"), F.col("m.at").alias("at_e"), F.col("m.first").alias("first_e"))
     late = side("_l")
-    meet = lambda early, later: early.join(later, "word").filter((F.col("first_e") < F.col("first_l")) & possible("_e", "_l")).select(F.col("d1_e").alias("early"), F.col("d1_l").alias("late")).distinct()
+    meet = lambda early, later: early.join(later, "token").filter((F.col("first_e") < F.col("first_l")) & possible("_e", "_l")).select(F.col("d1_e").alias("early"), F.col("d1_l").alias("late")).distinct()
     found = stored(matched(stored(meet(leads, late), "pairs"), docs), "matched")
     open_late = late.join(found.select(F.col("d1").alias("d1_l")), "d1_l", "left_anti")
     rest = stored(meet(side("_e"), open_late).join(meet(leads, open_late), ["early", "late"], "left_anti"), "pairs")
