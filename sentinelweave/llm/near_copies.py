@@ -9,10 +9,13 @@ chance. Common shingles are those held by one in ``COMMON`` of all shingles or m
 filled parts have a chance below ``MISS`` (the union bound over bins), of the order of a hash collision; small
 sets get one part per shingle that way.
 
-Sets that share a sketch are candidates. Every member is first compared with the smallest and then with the
-largest id of its group; only members of a group that are still in different components meet each other, so a
-large group of copies costs a number of comparisons linear in its size. Every comparison is exact on the shingle
-hashes. Copies (equal sets) are linked by a 128-bit digest and one of them per task takes part.
+Sets that share a sketch are candidates. Every member of a group is first compared with the smallest and with the
+largest id of it. Then only members that are still in different components matter. Groups of up to ``FEW`` members
+list those pairs. In larger ones the members meet in blocks of ``BLOCK``, inside a task, by bit sketches (parities
+of the shingles over ``BITS`` bits per allowed difference): the Hamming distance is a lower bound of the symmetric
+difference, and only pairs within the allowed one are listed, at first no more than join the components, in a
+second round all that are left. No group's pairs are ever listed whole. Every listed pair is compared exactly on
+the shingle hashes. Copies (equal sets) are linked by a 128-bit digest and one of them per task takes part.
 
 Defined cases: null, empty or word-less texts have an empty set and link with nothing; a text shorter than a
 shingle is one shingle; a null doc_id is kept with a null component; rows that share a doc_id are one document;
@@ -41,6 +44,10 @@ MISS = 1e-12
 COMMON = 500_000
 #: Texts of a batch that must hold a shingle for it to be counted.
 COUNTED_FROM = 3
+#: Members of a group whose pairs are listed directly; members of a block of a larger group.
+FEW, BLOCK = 12, 4096
+#: Bits of a parity sketch per allowed difference.
+BITS = 32
 #: Ids that may be sent to all executors (8 bytes each) instead of shuffling texts.
 SENT_IDS = 500_000
 
@@ -115,7 +122,7 @@ def sketch_keys(value: np.ndarray, bounds: np.ndarray, hundredths: int, wanted:
         head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])
         sketch = np.bitwise_xor.reduceat(mix(element), head)
         filled = np.add.reduceat(rare[place], head)
-        key = mix(sketch + mix(part[head] ^ salt) + filled.astype(np.uint64))
+        key = (mix(sketch + mix(part[head] ^ salt) + filled.astype(np.uint64)) & ~np.uint64(255)) | np.uint64(band)
         doc = doc[head]
         order = np.lexsort((key, -filled, doc))
         doc, key = doc[order], key[order]
@@ -191,8 +198,6 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, docs: DataFrame, words: int, hundredths: int) -> DataFrame:
     """The pairs ``(u, v)`` whose sets are similar, by exact comparison."""
     ids = stored(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "ids")
-    few = ids.count() <= SENT_IDS
-    small_batches(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,12 +214,70 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, hundredths: int) -> D
                 keep.append(both > 0 and 100 * both >= hundredths * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    blobs = stored(texts.mapInArrow(gather, "doc_id long, s binary"), "sets")
+    blobs = stored(texts_of(docs, ids).mapInArrow(gather, "doc_id long, s binary"), "sets")
     side = lambda a, b: blobs.select(F.col("doc_id").alias(a), F.col("s").alias(b))
     return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
+def bit_sketches(docs: DataFrame, ids: DataFrame, words: int, hundredths: int) -> DataFrame:
+    """``(doc_id, band, n, bits)``: parity sketches of the documents ``ids`` for every band they stand in."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, bounds = sets(*buffers(batch.column(1)), words)
+            size = np.diff(bounds)
+            limits = bands(int(size.max(initial=0) * 100 // hundredths) + 1, hundredths)
+            high = np.array([x[0] for x in limits])
+            rows = []
+            for i in np.flatnonzero(size).tolist():
+                element = mix(value[bounds[i] : bounds[i + 1]] ^ np.uint64(0x5A5A))
+                for band in sorted({int(np.searchsorted(high, size[i])), int(np.searchsorted(high, size[i] * 100 // hundredths))}):
+                    length = 64 * (1 + limits[band][1] * BITS // 64)
+                    odd = np.bincount((element % np.uint64(length)).astype(np.int64), minlength=length) & 1
+                    rows.append((i, band, int(size[i]), np.packbits(odd.astype(np.uint8)).tobytes()))
+            which = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), *[pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary()))]], names=["doc_id", "band", "n", "bits"])
+
+    return texts_of(docs, ids).mapInArrow(work, "doc_id long, band long, n long, bits binary")
+
+
+def close_pairs(mixed: DataFrame, sketches: DataFrame, hundredths: int, joining: bool) -> DataFrame:
+    """Pairs ``(u, v)`` of ``mixed(key, doc_id, root, members)`` across components within the allowed Hamming distance;
+    ``joining``: of each block only as many as connect what they can."""
+    def compare(table: pa.Table) -> pa.Table:
+        ids, root, n = (table.column(c).to_numpy() for c in ("doc_id", "root", "n"))
+        m = len(ids)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(m, -1)
+        names, part = np.unique(root, return_inverse=True)
+        group = np.arange(len(names))
+        us, vs = [], []
+        for i in range(m - 1):
+            other = np.flatnonzero(group[part[i + 1 :]] != group[part[i]] if joining else part[i + 1 :] != part[i]) + i + 1
+            if not len(other):
+                continue
+            allowed = (n[other] + n[i]) * (100 - hundredths) // (100 + hundredths)
+            for j in other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= allowed].tolist():
+                if joining:
+                    if group[part[j]] == group[part[i]]:
+                        continue
+                    group[group == group[part[j]]] = group[part[i]]
+                us.append(ids[i])
+                vs.append(ids[j])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    dealt = mixed.withColumn("band", F.col("key").bitwiseAND(F.lit(255))).join(sketches, ["doc_id", "band"]).withColumn("own", own)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    return met.select("key", "low", "high", "doc_id", "root", "n", "bits").groupBy("key", "low", "high").applyInArrow(compare, "u long, v long")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of the documents ``ids``: sent to all executors if they are few, else joined by a shuffle."""
+    small_batches(docs.sparkSession)
+    few = ids.count() <= SENT_IDS
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row: the smallest doc_id reachable by links."""
     facts = stored(set_facts(docs, words), "facts")
@@ -228,23 +291,36 @@ def near_copies(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTH
         & ~((F.col("n_u") == F.col("n_v")) & (F.col("d1_u") == F.col("d1_v")) & (F.col("d2_u") == F.col("d2_v")))
     )
 
-    def tested(pairs: DataFrame) -> None:
-        sized = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct().join(side("u"), "u").join(side("v"), "v")
-        links.append(stored(similar(stored(sized.filter(possible).select("u", "v").distinct(), "pairs"), docs, words, hundredths), "links"))
+    def test(pairs: DataFrame) -> None:
+        ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
+        sized = ordered.join(side("u"), "u").join(side("v"), "v").filter(possible).select("u", "v").distinct()
+        links.append(stored(similar(stored(sized, "pairs"), docs, words, hundredths), "links"))
 
     def roots() -> DataFrame:
         return components(reduce(DataFrame.unionByName, links))
 
-    tested(members.select(F.col("low").alias("u"), F.col("doc_id").alias("v")).union(members.select(F.col("doc_id").alias("u"), F.col("high").alias("v"))))
-    # Groups in which documents of different components are left: all of their pairs across components.
+    def apart(rows: DataFrame, root: DataFrame) -> DataFrame:
+        """``(key, doc_id, root, members)`` of the groups in which different components are left."""
+        placed = rows.select("key", "doc_id").join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a < b").select("key", "members")
+        return stored(placed.join(split, "key"), "mixed")
+
+    test(members.select(F.col("low").alias("u"), F.col("doc_id").alias("v")).union(members.select(F.col("doc_id").alias("u"), F.col("high").alias("v"))))
+    root = roots()
+    mixed = apart(members, root)
+    few = mixed.filter(F.col("members") <= FEW)
+    other = few.select("key", F.col("doc_id").alias("v"), F.col("root").alias("root_v"))
+    listed = few.withColumnRenamed("doc_id", "u").join(other, "key").filter("u < v and root <> root_v").select("u", "v")
+    many = mixed.filter(F.col("members") > FEW)
+    crowded = not many.isEmpty()
+    if crowded:
+        sketches = stored(bit_sketches(docs, stored(many.select("doc_id").distinct(), "ids"), words, hundredths), "bits")
+        listed = listed.union(close_pairs(many, sketches, hundredths, joining=True))
+    test(listed)
     root = roots()
-    placed = members.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = stored(placed.join(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key"), "key"), "mixed")
-    other = mixed.select("key", F.col("doc_id").alias("v"), F.col("root").alias("root_v"))
-    across = mixed.withColumnRenamed("doc_id", "u").join(other, "key").filter("u < v and root <> root_v").select("u", "v").distinct()
-    before = links[-1]
-    tested(across)
-    root = root if links[-1] is before or links[-1].isEmpty() else roots()
+    if crowded:
+        test(close_pairs(apart(many, root), sketches, hundredths, joining=False))
+        root = roots()
     return facts.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
