@@ -12,6 +12,7 @@ from sentinelweave.llm.line_dedup import line_report
 from sentinelweave.llm.mixing import mix
 from sentinelweave.llm.near_copies import near_copies
 from sentinelweave.llm.quality import quality
+from sentinelweave.llm.suffix_dedup import remove_repeats
 from sentinelweave.llm.token_counts import token_counts
 from sentinelweave.llm.topk import top_k
 from sentinelweave.llm.warc import round_trip
@@ -81,3 +82,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_array_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), texts_too=False).drop("kept")
