@@ -141,6 +141,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     return out, starts, ends, np.searchsorted(starts, offsets)
 
 
+def grouped_order(value: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order by group, then by value: one sort of group and leading value bits, in full where those tie."""
+    bits = int(group.max(initial=0)).bit_length()
+    if bits > 36:
+        return np.lexsort((value, group))
+    key = (value >> np.uint64(bits)) | (group.astype(np.uint64) << np.uint64(64 - bits)) if bits else value
+    order = np.argsort(key, kind="stable")
+    key, sorted_value = key[order], value[order]
+    if ((key[1:] == key[:-1]) & (sorted_value[1:] < sorted_value[:-1])).any():
+        return np.lexsort((value, group))
+    return order
+
+
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every k consecutive words, text number); a text of fewer words is one shingle, none without words."""
     counts = np.diff(bounds)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sentinelweave.llm.common import buffers, shingles, small_batches, stored, word_hashes
+from sentinelweave.llm.common import buffers, grouped_order, shingles, small_batches, stored, word_hashes
 from sentinelweave.llm.decontamination import bitmap, passes
 from sentinelweave.llm.near_copies import COMMON, COUNTED_FROM, digests
 
@@ -51,7 +51,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     limits, text, line = line_bounds(data, offsets)
     hashes, _, _, bounds = word_hashes(data, limits)
     value, owner = shingles(hashes, bounds, WORDS)
-    order = np.lexsort((value, owner))
+    order = grouped_order(value, owner)
     value, owner = value[order], owner[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
@@ -101,6 +101,7 @@ def prefix_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count = shared.value
+        level = np.unique(count, return_inverse=True)[1] + 1
         seen: set[int] = set()
         for batch in batches:
             value, bounds, text, _ = line_sets(*buffers(batch.column(2)))
@@ -120,8 +121,8 @@ def prefix_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataF
             weight = np.zeros(len(value), np.int64)
             if len(hot):
                 place = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
-                weight = np.where(hot[place] == value, count[place], 0)
-            order = np.lexsort((value, weight, owner))
+                weight = np.where(hot[place] == value, level[place], 0)
+            order = grouped_order(value, owner * (1 + int(weight.max(initial=0))) + weight)
             value, owner = value[order], owner[order]
             at = np.arange(len(owner)) - np.searchsorted(owner, owner)
             size = n[owner]
@@ -152,7 +153,7 @@ def wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return read_texts(docs).mapInArrow(work, "d1 long, d2 long, n long, s binary").join(ids, "d1", "left_semi").dropDuplicates(["d1", "d2", "n"])
 
 
-def matched(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(d1)`` of the later nodes of ``pairs(early, late)`` whose sets are similar by exact comparison."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,8 +164,6 @@ def matched(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= HUNDREDTHS * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["d1"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = stored(pairs.select(F.col("early").alias("d1")).union(pairs.select("late")).distinct(), "ids")
-    sets = stored(wanted_sets(docs, ids), "sets")
     side = lambda a, b: sets.select(F.col("d1").alias(a), F.col("s").alias(b))
     return pairs.join(side("early", "a"), "early").join(side("late", "b"), "late").select("late", "a", "b").mapInArrow(compare, "d1 long").distinct()
 
@@ -175,7 +174,8 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.struct("doc_id", "h", "line")
     nodes = stored(facts.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(place).alias("first")), "nodes")
     spread = prefix_rows(docs, common_tokens(facts)).repartition("token")
-    shared = spread.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("a < b").select("token")
+    # Every column is used, so that both sides of the join read one shuffle.
+    shared = spread.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.max("n").alias("c"), F.max("at").alias("d")).filter("a < b and c > 0 and d >= 0").select("token")
     members = stored(spread.join(shared, "token").distinct().join(nodes.groupBy("d1").agg(F.min("first").alias("first")), "d1"), "members")
     # What the length and positional filters leave of a pair that meets at a token.
     reach = lambda a, b: F.lit(1) + F.least(F.col(f"n{a}") - F.col(f"at{a}") - 1, F.col(f"n{b}") - F.col(f"at{b}") - 1)
@@ -187,10 +187,10 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leads = members.groupBy("token").agg(F.min(F.struct("first", "d1", "n", "at")).alias("m")).select("token", F.col("m.d1").alias("d1_e"), F.col("m.n").alias("n_e"), F.col("m.at").alias("at_e"), F.col("m.first").alias("first_e"))
     late = side("_l")
     meet = lambda early, later: early.join(later, "token").filter((F.col("first_e") < F.col("first_l")) & possible("_e", "_l")).select(F.col("d1_e").alias("early"), F.col("d1_l").alias("late")).distinct()
-    found = stored(matched(stored(meet(leads, late), "pairs"), docs), "matched")
+    sets = stored(wanted_sets(docs, stored(members.select("d1").distinct(), "ids")), "sets")
+    found = stored(matched(meet(leads, late), sets), "matched")
     open_late = late.join(found.select(F.col("d1").alias("d1_l")), "d1_l", "left_anti")
-    rest = stored(meet(side("_e"), open_late).join(meet(leads, open_late), ["early", "late"], "left_anti"), "pairs")
-    found = found.union(matched(rest, docs)).distinct()
+    found = found.union(matched(meet(side("_e"), open_late), sets)).distinct()
     gone = nodes.join(found.withColumn("gone", F.lit(True)), "d1", "left").select("d1", "d2", "n", "first", "gone")
     placed = facts.filter("n > 0").join(gone, ["d1", "d2", "n"]).filter(F.col("gone") | (place != F.col("first")))
     return facts, placed.select("doc_id", "h", "line").distinct()

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sentinelweave.llm.common import buffers, components, mix, shingles, small_batches, stored, word_hashes
+from sentinelweave.llm.common import buffers, components, grouped_order, mix, shingles, small_batches, stored, word_hashes
 
 #: Words of a shingle, and the Jaccard similarity in hundredths.
 WORDS, HUNDREDTHS = 5, 80
@@ -79,7 +79,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray,
     """(distinct shingle hashes, bounds): ascending per text."""
     hashes, _, _, bounds = word_hashes(data, offsets)
     value, text = shingles(hashes, bounds, words)
-    order = np.lexsort((value, text))
+    order = grouped_order(value, text)
     value, text = value[order], text[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
@@ -117,14 +117,15 @@ def sketch_keys(value: np.ndarray, bounds: np.ndarray, hundredths: int, wanted:
         element = value[place]
         salt = mix(np.full(1, band + 1, np.uint64))
         part = mix(element ^ np.uint64(0xA5A5)) % np.uint64(parts)
-        order = np.lexsort((part, doc))
+        order = grouped_order(part, doc)
         doc, part, element, place = doc[order], part[order], element[order], place[order]
         head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])
         sketch = np.bitwise_xor.reduceat(mix(element), head)
         filled = np.add.reduceat(rare[place], head)
         key = (mix(sketch + mix(part[head] ^ salt) + filled.astype(np.uint64)) & ~np.uint64(255)) | np.uint64(band)
         doc = doc[head]
-        order = np.lexsort((key, -filled, doc))
+        most = int(filled.max())
+        order = grouped_order(key, doc * (most + 1) + most - filled)
         doc, key = doc[order], key[order]
         start = np.searchsorted(doc, np.arange(len(docs)))
         first = np.arange(len(doc)) - start[doc] <= d

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sentinelweave.llm.common import FOLD, buffers, mix, small_batches, span_hashes, stored, word_hashes
+from sentinelweave.llm.common import buffers, grouped_order, mix, small_batches, span_hashes, stored, word_hashes
 
 #: Documents that train the scorer, in expectation; the only part of the corpus that reaches the driver.
 SAMPLE = 8000
@@ -87,7 +87,7 @@ class Profile:
         n = np.maximum(1, self.n)
         same = np.zeros(len(self.text), bool)
         same[1:] = (self.hashes[1:] == self.hashes[:-1]) & (self.text[1:] == self.text[:-1])
-        order = np.lexsort((self.hashes, self.text))
+        order = grouped_order(self.hashes, self.text)
         h, t = self.hashes[order], self.text[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
