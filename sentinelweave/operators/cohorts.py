@@ -21,7 +21,6 @@ OPEN_LIFECYCLES = ["active", "monitoring"]
 MANUAL_DECISIONS = ["manual_linked", "manual_unlinked"]
 ANCHOR_OVERRIDE = "shared_strong_event_context_anchor"
 # Ids of a cohort are gathered into one value up to this many; larger cohorts use a digest.
-GATHERED_IDS = 100_000
 
 
 def approved(c=F.col) -> Column:
@@ -100,8 +99,7 @@ def cohort_members(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def cohort_rollup(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, seed relation and deterministic code per cohort.
 
-    Members stay rows in ``labels`` and ``edges``; nothing here grows with a cohort
-    except the id list of cohorts up to ``GATHERED_IDS`` signals, which the code needs.
+    Members stay rows in ``labels`` and ``edges``; nothing here grows with a cohort.
     The seed is the best score, then the smallest relation id; a null score counts -1.
     """
     member_edges = cohort_members(edges, labels)
@@ -117,17 +115,14 @@ def cohort_rollup(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cohort_codes(labels: DataFrame) -> DataFrame:
-    """``(cohort, signal_count, event_code)``."""
-    distinct = labels.select("cohort", "signal_id").distinct()
-    facts = distinct.groupBy("cohort").agg(
+    """``(cohort, signal_count, event_code)``: the code follows from the number and combinable digests of the
+    distinct ids, by one formula for cohorts of any size."""
+    facts = labels.select("cohort", "signal_id").distinct().groupBy("cohort").agg(
         F.count("*").alias("signal_count"), F.min("signal_id").alias("__lo"), F.max("signal_id").alias("__hi"),
-        F.bit_xor(F.xxhash64("signal_id")).alias("__x"),
+        F.bit_xor(F.xxhash64("signal_id")).alias("__x"), F.sum(F.xxhash64(F.lit("sum"), "signal_id").cast("decimal(38,0)")).alias("__s"),
     )
-    small = distinct.join(facts.filter(F.col("signal_count") <= GATHERED_IDS).select("cohort"), "cohort", "left_semi")
-    gathered = small.groupBy("cohort").agg(F.collect_list("signal_id").alias("__ids"))
-    digest = F.concat(F.lit("EVT-"), uuid5(F.concat_ws(":", F.lit("events:event:v0.4.9:digest"), F.col("signal_count").cast("string"), "__lo", "__hi", F.col("__x").cast("string"))))
-    code = F.coalesce(event_code(F.col("__ids"), "cohort"), digest)
-    return facts.join(gathered, "cohort", "left").select("cohort", "signal_count", code.alias("event_code"))
+    parts = [F.lit("events:event:v0.4.9:digest"), F.col("signal_count").cast("string"), F.col("__lo"), F.col("__hi"), F.col("__x").cast("string"), F.col("__s").cast("string")]
+    return facts.select("cohort", "signal_count", F.concat(F.lit("EVT-"), uuid5(F.concat_ws(":", *parts))).alias("event_code"))
 
 
 def cohort_seed(labels: DataFrame, rollup: DataFrame, signals: DataFrame) -> DataFrame:

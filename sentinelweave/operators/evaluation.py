@@ -27,7 +27,6 @@ PAIR_WEIGHTS = {
 }
 MATCH_THRESHOLD = 0.55
 SUPPORT_THRESHOLD = 0.70
-EXACT_LIMIT = 15
 RELEASE_THRESHOLDS = {
     "mean_signal_f1": 0.90, "mean_evidence_support_f1": 0.90, "mean_signal_role_accuracy": 0.90, "mean_signal_type_accuracy": 0.85,
 }
@@ -198,30 +197,83 @@ def _expand(matches: DataFrame) -> DataFrame:
     return matches.select("doc", F.explode("m").alias("m")).select("doc", F.col("m.g").alias("g"), F.col("m.p").alias("p"), F.col("m.score").alias("score"))
 
 
+def _most_total(scores: dict[int, dict[int, float]], golds: list[int], taken: set[int]) -> float:
+    """Largest total score of a one-to-one matching of ``golds`` without the predictions ``taken``.
+
+    Shortest augmenting paths with potentials; every gold has a private column of score 0 for no match.
+    """
+    columns = sorted({p for g in golds for p in scores[g]} - taken)
+    cost = [[-scores[g].get(p, 0.0) for p in columns] + [0.0] * len(golds) for g in golds]
+    width = len(columns) + len(golds)
+    row_price, column_price, owner = [0.0] * len(golds), [0.0] * width, [-1] * width
+    for row in range(len(golds)):
+        least, came, done = [float("inf")] * width, [-1] * width, [False] * width
+        at, source, total = -1, row, 0.0
+        while True:
+            best = -1
+            for c in range(width):
+                if not done[c]:
+                    reach = total + cost[source][c] - row_price[source] - column_price[c]
+                    if reach < least[c]:
+                        least[c], came[c] = reach, at
+                    if best < 0 or least[c] < least[best]:
+                        best = c
+            at, total = best, least[best]
+            done[at] = True
+            if owner[at] < 0:
+                break
+            source = owner[at]
+        for c in range(width):
+            if done[c]:
+                column_price[c] += least[c] - total
+                if owner[c] >= 0:
+                    row_price[owner[c]] += total - least[c]
+        row_price[row] += total
+        while at >= 0:
+            before = came[at]
+            owner[at] = row if before < 0 else owner[before]
+            at = before
+    return -sum(cost[owner[c]][c] for c in range(width) if owner[c] >= 0)
+
+
 def _best_assignment(cands: list) -> list:
-    """Maximum total score, lexicographically smallest pairs on ties (1e-12)."""
-    by_gold: dict[int, list] = {}
+    """Maximum total score, lexicographically smallest pairs on ties (1e-12), in polynomial time.
+
+    Gold signals and predictions that no chain of candidates ties together are solved apart. Then each gold signal
+    in turn takes the first prediction with which the largest total can still be reached.
+    """
+    scores: dict[int, dict[int, float]] = {}
+    by_pred: dict[int, list[int]] = {}
     for c in cands:
-        by_gold.setdefault(c["g"], []).append((c["p"], c["score"]))
-    golds = sorted(by_gold)
-    # Solve from the last gold signal backwards; the state is the set of predictions already taken.
-    layers: list[dict] = [{} for _ in range(len(golds) + 1)]
-    reachable: list[set] = [{0}]
-    for g in golds:
-        reachable.append({m | (1 << p) for m in reachable[-1] for p, _ in by_gold[g] if not m >> p & 1} | reachable[-1])
-    layers[-1] = {m: (0.0, ()) for m in reachable[-1]}
-    for at in range(len(golds) - 1, -1, -1):
-        for mask in reachable[at]:
-            best, pairs = layers[at + 1][mask]
-            for p, score in sorted(by_gold[golds[at]]):
-                if mask >> p & 1:
-                    continue
-                rest, tail = layers[at + 1][mask | (1 << p)]
-                option = ((golds[at], p, score), *tail)
-                if score + rest > best + 1e-12 or (abs(score + rest - best) <= 1e-12 and option < pairs):
-                    best, pairs = score + rest, option
-            layers[at][mask] = (best, pairs)
-    return [{"g": g, "p": p, "score": s} for g, p, s in layers[0][0][1]]
+        scores.setdefault(c["g"], {})[c["p"]] = c["score"]
+        by_pred.setdefault(c["p"], []).append(c["g"])
+    out, seen = [], set()
+    for start in sorted(scores):
+        if start in seen:
+            continue
+        part, pending = set(), [start]
+        while pending:
+            g = pending.pop()
+            if g not in part:
+                part.add(g)
+                pending += [h for p in scores[g] for h in by_pred[p]]
+        seen |= part
+        if len(part) == 1 or len({p for g in part for p in scores[g]}) == 1:
+            # All compete for one place: the best score, the smallest pair among equals.
+            most = max(x for g in part for x in scores[g].values())
+            out.append(min((g, p, x) for g in part for p, x in scores[g].items() if x >= most - 1e-12))
+            continue
+        rest, taken = sorted(part), set()
+        goal = _most_total(scores, rest, taken)
+        while rest:
+            g = rest.pop(0)
+            for p, score in sorted(scores[g].items()):
+                if p not in taken and score + (left := _most_total(scores, rest, taken | {p})) >= goal - 1e-12:
+                    out.append((g, p, score))
+                    taken.add(p)
+                    goal = left
+                    break
+    return [{"g": g, "p": p, "score": s} for g, p, s in sorted(out)]
 
 
 _MATCHES = T.ArrayType(
@@ -236,18 +288,18 @@ def _assign(cands: pd.Series) -> pd.Series:
     return cands.map(_best_assignment)
 
 
-def match_exact(pairs: DataFrame, threshold: float = MATCH_THRESHOLD, limit: int = EXACT_LIMIT) -> DataFrame:
-    """Best one-to-one matching per document; greedy beyond ``limit`` predictions.
+def match_exact(pairs: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """Best one-to-one matching per document, of any size.
 
     Documents without competition for a gold signal or a prediction are settled by
     native expressions; only contested ones reach the vectorised assignment.
     """
     docs = _candidates(pairs, threshold)
     once = lambda n: F.size(F.array_distinct(F.transform("cands", lambda x: x[n]))) == F.size("cands")
-    docs = docs.withColumn("__mode", F.when(once("g") & once("p"), "free").when(F.col("n_pred") > limit, "greedy").otherwise("exact"))
+    docs = docs.withColumn("__free", once("g") & once("p"))
     plain = F.transform("cands", lambda m: F.struct(m["g"].alias("g"), m["p"].alias("p"), m["score"].alias("score")))
-    native = docs.filter("__mode <> 'exact'").select("doc", F.when(F.col("__mode") == "free", plain).otherwise(_greedy(F.col("cands"))).alias("m"))
-    contested = docs.filter("__mode = 'exact'").select("doc", _assign(plain).alias("m"))
+    native = docs.filter("__free").select("doc", plain.alias("m"))
+    contested = docs.filter("not __free").select("doc", _assign(plain).alias("m"))
     return _expand(native.unionByName(contested))
 
 

@@ -12,7 +12,6 @@ from sentinelweave.operators.hydrate import has_links
 
 # Snapshot policy of complete candidates, stored error length, level order of a place name.
 SNAPSHOT_POLICY = "document-v1"
-ERROR_LENGTH = 10_000
 PLACE_KEY = ["country_iso2", "admin1", "admin2", "locality", "region", "precision"]
 UNRESOLVED_PLACE = "Ubicación no resuelta"
 
@@ -189,5 +188,5 @@ def adoption_plan(requests: DataFrame, runs: DataFrame, payload_keys: DataFrame,
 
 
 def failed_runs(results: DataFrame) -> DataFrame:
-    """Failure rows with the error cut to its stored length."""
-    return results.filter(F.col("error_text").isNotNull()).withColumns({"status": F.lit("failed"), "error_text": F.left("error_text", F.lit(ERROR_LENGTH))})
+    """Failure rows with their whole error text."""
+    return results.filter(F.col("error_text").isNotNull()).withColumn("status", F.lit("failed"))

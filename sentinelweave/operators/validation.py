@@ -95,12 +95,17 @@ SIGNAL_CONTRACT = [
 ]
 
 
-def contract_check(payloads: DataFrame, key: Sequence[str], rules: Sequence[Rule], limit: int = 10) -> DataFrame:
-    """First ``limit`` broken rules per row in path order, plus how many more there are."""
+def contract_check(payloads: DataFrame, key: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
+    """Every broken rule as a row ``(key, position, path, rule)``; positions follow the paths."""
     ordered = sorted(rules, key=lambda r: r.path)
     broken = F.array_compact(F.array(*[F.when(r.broken(), F.struct(F.lit(r.path).alias("path"), F.lit(r.kind).alias("rule"))) for r in ordered]))
-    out = payloads.select(*key, broken.alias("all")).filter(F.size("all") > 0)
-    return out.select(*key, F.slice("all", 1, limit).alias("failures"), F.greatest(F.size("all") - limit, F.lit(0)).alias("more"))
+    return payloads.select(*key, F.posexplode(broken).alias("position", "f")).select(*key, "position", "f.path", "f.rule")
+
+
+def first_failures(failures: DataFrame, key: Sequence[str], shown: int = 10) -> DataFrame:
+    """A display view: the first failures of each row and how many more there are; ``failures`` keeps them all."""
+    listed = failures.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("position", "path", "rule"))).alias("all"))
+    return listed.select(*key, F.slice("all", 1, shown).alias("failures"), F.greatest(F.size("all") - shown, F.lit(0)).alias("more"))
 
 
 def _unfinite(c: Column, dtype: T.DataType) -> Column | None:

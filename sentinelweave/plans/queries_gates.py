@@ -117,10 +117,10 @@ def _(spark, sf):
     # Ids ending in -2 carry a malformed uuid, all others a valid one.
     probe = F.when(F.col("claim_id").endswith("-2"), "not-a-uuid").otherwise("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
     bad = V.contract_check(c.withColumn("probe", probe), ["claim_id"], rules)
-    shown = F.transform("failures", lambda f: F.concat(F.replace(f["path"], F.lit("probe"), F.lit("claim_id")), F.lit(":"), f["rule"]))
-    first = F.filter(shown, lambda x: x.startswith("claim_id"))
-    rest = F.filter(shown, lambda x: ~x.startswith("claim_id"))
-    return bad.select("claim_id", F.array_join(F.concat(first, rest), ",").alias("failures"))
+    path = F.replace("path", F.lit("probe"), F.lit("claim_id"))
+    order = F.struct((path != "claim_id").alias("later"), "position", F.concat(path, F.lit(":"), F.col("rule")).alias("text"))
+    listed = bad.groupBy("claim_id").agg(F.array_sort(F.collect_list(order)).alias("fs"))
+    return listed.select("claim_id", F.array_join(F.transform("fs", lambda f: f["text"]), ",").alias("failures"))
 
 
 @query("val5_finite_numbers", "select event_id from {events} where event_id % 11 in (3, 7)")

@@ -28,7 +28,7 @@ _TEXTS = """select event_id, case event_id % 8 when 0 then '{"a":1,"a":2}' when
 def _(spark, sf):
     e = view(spark, sf, "events")
     m = F.col("event_id") % 8
-    body = F.when(m == 0, '{"a":1,"a":2}').when(m == 1, '{"a":NaN}').when(m == 2, '{"a":1e999}').when(m == 3, '{"a":').otherwise(F.col("props"))
+    body = F.when(m == 0, '{"a":1,"a":2}').when(m == 1, '{"a":NaN}').when(m == 2, '{"a":1e999}').when(m == 3, '{"a":').when(m == 5, '{"a":"Infinity"}').when(m == 6, '{"t":"x: Infinity, -1e999 \\" y"}').otherwise(F.col("props"))
     ok, bad = payloads.read_payloads_strict(e.select("event_id", body.alias("body")), "body")
     return ok.select("event_id", F.lit(True).alias("ok")).unionByName(bad.select("event_id", F.lit(False).alias("ok")))
 

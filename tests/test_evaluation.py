@@ -26,15 +26,21 @@ def test_assignment_equals_brute_force():
         assert abs(sum(x["score"] for x in E._best_assignment(cands)) - best) < 1e-9
 
 
-def test_native_and_exact_paths_agree_with_greedy_limits(spark):
+def test_native_and_exact_paths(spark):
     rows = [("free", 0, 0, 0.9), ("free", 1, 1, 0.8), ("tie", 0, 0, 0.8), ("tie", 0, 1, 0.8), ("tie", 1, 0, 0.7), ("low", 0, 0, 0.2)]
     pairs = spark.createDataFrame(rows, "doc string, g int, p int, score double")
     got = sorted((r.doc, r.g, r.p) for r in E.match_exact(pairs).collect())
     assert got == [("free", 0, 0), ("free", 1, 1), ("tie", 0, 1), ("tie", 1, 0)]
-    greedy = sorted((r.doc, r.g, r.p) for r in E.match_exact(pairs, limit=1).collect())
+    greedy = sorted((r.doc, r.g, r.p) for r in E.match_greedy(pairs).collect())
     assert greedy == [("free", 0, 0), ("free", 1, 1), ("tie", 0, 0)]
 
 
+def test_large_contested_document():
+    # Every gold signal i may take prediction i or i + 1; taking i everywhere is best.
+    cands = [{"g": i, "p": p, "score": 0.9 if p == i else 0.8} for i in range(60) for p in (i, i + 1)]
+    assert [(x["g"], x["p"]) for x in E._best_assignment(cands)] == [(i, i) for i in range(60)]
+
+
 def support(spark, gold, pred, version):
     q = lambda items: F.array(*[E.quote_features(F.lit(t), F.lit(x), F.lit(None).cast("int"), version) for t, x in items])
     from sentinelweave.functions.text import clauses
