@@ -300,17 +300,19 @@ def remove_repeats(docs: DataFrame, texts_too: bool = True) -> DataFrame:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "body"))))
         ids, known, offsets, raw = unpack(next(r[2] for r in rows if r[1] == 0))
         said = {r[0]: r[2] for r in rows if r[1] == 5}
-        step = np.zeros(len(raw) + 1, np.int32)
+        starts = [np.zeros(0, np.int64)]
         for bucket, which, window, text in unpack(next(r[2] for r in rows if r[1] == 4))[0]:
             least, size = unpack(said[bucket])
             start = np.cumsum(size) - size
             count = size[which].astype(np.int64)
             nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             gone = least[np.repeat(start[which], count) + nth] < np.repeat(ids[text], count)
-            at = (np.repeat(window, count) + nth)[gone]
-            step += np.bincount(at, minlength=len(step)).astype(np.int32)
-            step -= np.bincount(at + LENGTH, minlength=len(step)).astype(np.int32)
-        covered = np.cumsum(step[:-1]) > 0
+            starts.append((np.repeat(window, count) + nth)[gone])
+        # A byte is covered if more windows have begun up to it than have ended.
+        begun = np.zeros(len(raw) + 1, np.int32)
+        begun[np.concatenate(starts)] = 1
+        begun = np.cumsum(begun)
+        covered = begun[:-1] > np.r_[np.zeros(LENGTH, np.int32), begun][: len(raw)]
         data = np.frombuffer(raw, np.uint8)
         out = []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
