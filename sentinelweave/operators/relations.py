@@ -82,7 +82,8 @@ def upsert_relations(batch: DataFrame, relations: DataFrame, current: DataFrame,
 
     One row per pair and producer: the oldest id survives, extra rows of the same pair
     go, everything else is kept.  All or nothing: a batch with any error raises.
-    Scores are stored with three decimals, the full value in ``raw_score``.
+    Scores are stored with three decimals, the full value in ``raw_score``.  A pair keeps the
+    creation time of its oldest row; a new one gets that of ``batch`` (now where it has none).
     """
     if strict:
         first = batch_errors(batch, relations, current, producer).limit(1).collect()
@@ -91,7 +92,9 @@ def upsert_relations(batch: DataFrame, relations: DataFrame, current: DataFrame,
     pair = ["source_id", "target_id"]
     own = relations.filter(F.col("producer") == producer)
     oldest = own.groupBy(*pair).agg(F.min_by("relation_id", F.struct("created_at", "relation_id")).alias("old_id"), F.min("created_at").alias("old_at"))
-    shape = ["relation_id", *pair, "relation", "decision", "merge_allowed", "hard_conflict", "score", "raw_score", "producer", "action"]
+    shape = ["relation_id", *pair, "relation", "decision", "merge_allowed", "hard_conflict", "score", "raw_score", "producer", "created_at", "action"]
+    fresh = F.col("__new_at") if "created_at" in batch.columns else F.current_timestamp()
+    batch = batch.withColumnRenamed("created_at", "__new_at")
     stored = (
         batch.join(oldest, pair, "left")
         .withColumns(
@@ -101,6 +104,7 @@ def upsert_relations(batch: DataFrame, relations: DataFrame, current: DataFrame,
                 "raw_score": F.col("score").cast("double"),
                 "score": F.col("score").cast("decimal(4,3)").cast("double"),
                 "producer": F.lit(producer),
+                "created_at": F.coalesce("old_at", fresh),
             }
         )
         .select(*shape)

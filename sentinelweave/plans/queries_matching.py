@@ -286,7 +286,7 @@ def _(spark, sf):
     pairs = stored.select("source_id", "target_id")
     signals = nested_signals(spark, sf)
     batch = match_listed_pairs(pairs, signals).filter(F.col("gate") == "eligible")
-    out = upsert_relations(batch, stored, signals.select("signal_id"), strict=False)
+    out = upsert_relations(batch, stored, signals.select("signal_id"), strict=False).drop("created_at")
     fresh = F.when(F.col("action") == "inserted", F.lit("new")).otherwise(F.col("relation_id"))
     return out.withColumn("relation_id", fresh)
 

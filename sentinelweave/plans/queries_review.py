@@ -120,7 +120,7 @@ def _(spark, sf):
 
 
 REL_TABLE = (
-    "relation_id string, source_id string, target_id string, relation string, decision string, merge_allowed boolean, hard_conflict boolean, score double, raw_score double, producer string, action string"
+    "relation_id string, source_id string, target_id string, relation string, decision string, merge_allowed boolean, hard_conflict boolean, score double, raw_score double, producer string, created_at timestamp, action string"
 )
 
 

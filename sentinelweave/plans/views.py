@@ -305,15 +305,12 @@ def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
 def remembered(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse an already analysed lazy plan of this session; no data is held."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
-    if key not in _PLANS:
-        _PLANS[key] = build()
-    return _PLANS[key]
+    """Reuse an already analysed lazy plan of this session; no data is held, and the plans end with the session."""
+    plans = spark.__dict__.setdefault("_derived_view_plans", {})
+    if (sf_dir, name) not in plans:
+        plans[sf_dir, name] = build()
+    return plans[sf_dir, name]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

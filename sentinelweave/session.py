@@ -30,16 +30,25 @@ def build_session(app_name: str = "sentinelweave", master: str | None = None, **
     return builder.getOrCreate()
 
 
-def truncate_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named in ``spark.checkpoint.dir``.
 
-    The checkpoint folder is the shared one the session names in
-    ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine)
-    is a temporary folder used.
+    Only on one machine (local master, as in tests) and where none is named is a temporary folder used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def truncate_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` on reliable shared storage and cut its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

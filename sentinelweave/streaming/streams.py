@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sentinelweave.operators.ingest import upsert_raw_items
 from sentinelweave.operators.relations import match_anchors, relation_batch, upsert_relations
-from sentinelweave.session import truncate_lineage
+from sentinelweave.session import shared_folder, truncate_lineage
 
 
 class SnapshotTable:
@@ -66,17 +66,11 @@ def stream_matches(
         current = index()
         # The batch is checked and stored by several plans; score it once.
         found = truncate_lineage(relation_batch(match_anchors(batch, current, signals(), raw(), k)))
-        known = table.read(before=batch_id).withColumns({"created_at": F.lit(None).cast("timestamp")})
-        table.write(upsert_relations(found, known, current.select("signal_id")), batch_id)
+        table.write(upsert_relations(found, table.read(before=batch_id), current.select("signal_id")), batch_id)
 
     return arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_folder(spark: SparkSession) -> str:
     """A fresh folder on the session's shared checkpoint storage."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        import tempfile
-
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
