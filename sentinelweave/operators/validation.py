@@ -57,18 +57,33 @@ def event_date_policy(payloads: DataFrame, policy: str = "unknown_only") -> Data
 
 @dataclass(frozen=True)
 class Rule:
-    """One contract rule on a field path."""
+    """One contract rule on a field path; ``name[]`` in a path means every item of an array."""
 
     path: str
     kind: str
     arg: object = None
 
     def broken(self) -> Column:
-        value = F.col(self.path)
+        head, *inner = self.path.split("[]")
+        value = F.col(head)
+        return self._any(value, [x.lstrip(".") for x in inner]) if inner else self._breaks(value)
+
+    def _any(self, items: Column, inner: list[str]) -> Column:
+        """Whether an item breaks the rule; a null array has none."""
+        def one(item: Column) -> Column:
+            for name in filter(None, inner[0].split(".")):
+                item = item[name]
+            return self._any(item, inner[1:]) if len(inner) > 1 else self._breaks(item)
+
+        return yes(F.exists(items, lambda x: yes(one(x))))
+
+    def _breaks(self, value: Column) -> Column:
         if self.kind == "required":
             return value.isNull()
         if self.kind == "non_blank":
             return strip_text(F.coalesce(value, F.lit(""))) == ""
+        if self.kind == "filled":
+            return F.coalesce(value, F.lit("")) == ""
         if self.kind == "enum":
             return value.isNotNull() & ~yes(value.isin(list(self.arg)))
         if self.kind == "range":
@@ -80,19 +95,98 @@ class Rule:
             return value.isNotNull() & iso_date(value).isNull()
         if self.kind == "uuid":
             return value.isNotNull() & ~value.rlike(UUID_PATTERN)
+        if self.kind == "pattern":
+            return value.isNotNull() & ~value.rlike(self.arg)
         if self.kind == "min_items":
             return ~yes(F.size(value) >= self.arg)
+        if self.kind == "unique":
+            return yes(F.size(F.array_distinct(value)) < F.size(value))
         if self.kind == "items_enum":
             return yes(F.exists(value, lambda x: ~yes(x.isin(list(self.arg)))))
         raise ValueError(f"unknown rule {self.kind}")
 
 
-# The signal contract as data, in path order.
+# Allowed sets of both contracts.
+DOMAINS = ["human", "animal", "wildlife", "vector", "environment", "genomic", "food", "amr", "mobility"]
+SIGNAL_TYPES = [
+    "case_report", "cluster", "outbreak", "pathogen_detection", "animal_event", "wildlife_event", "vector_event", "environmental_signal",
+    "genomic_observation", "mortality_event", "transmission_observation", "laboratory_investigation", "laboratory_result", "official_alert",
+    "intervention", "travel_or_mobility", "other",
+]
+CLAIM_KINDS = [
+    "syndromic_cluster", "outbreak_update", "case_status", "death_count", "diagnostic_result", "laboratory_investigation", "genomic_finding",
+    "transmission_statement", "surveillance_baseline", "wildlife_sampling", "wildlife_presence_absence", "mobility", "historical_context",
+    "intervention", "official_action",
+]
+POLARITIES = ["positive", "negative", "uncertain", "not_applicable"]
+SUBJECT_TYPES = ["human", "animal", "wildlife", "vector", "environment", "pathogen", "population", "mobility", "other"]
+HOST_TYPES = ["human", "domestic_animal", "wildlife", "vector", "other"]
+NORMALIZATIONS = ["resolved", "ambiguous", "unresolved"]
+LOCATION_PRECISIONS = ["country", "admin1", "admin2", "locality", "point", "region", "unknown"]
+LOCATION_ROLES = [
+    "event_location", "current_location", "possible_exposure_location", "travel_history", "sampling_location", "reporting_jurisdiction",
+    "laboratory_location", "testing_location", "unknown",
+]
+DATE_PRECISIONS = ["day", "month", "year", "unknown"]
+PERIOD_TYPES = ["surveillance_period", "historical_period", "season", "observation_window", "unknown"]
+TRANSMISSIONS = ["confirmed", "probable", "suspected", "refuted", "unknown"]
+GENOMIC_RESULTS = ["positive", "negative", "indeterminate", "not_applicable", "unknown"]
+DIAGNOSTIC_RESULTS = ["positive", "negative", "indeterminate", "pending", "not_applicable", "unknown"]
+COUNTRY_CODE = "^[A-Z]{2}$"
+YEARS, MONTHS, UNIT = (1900, 2100), (1, 12), (0, 1)
+
+
+def _needed(path: str, kind: str, arg: object) -> list[Rule]:
+    """A value that must be there and in range or in a set."""
+    return [Rule(path, "required"), Rule(path, kind, arg)]
+
+
+def _shared_rules() -> list[Rule]:
+    """What signals and claims have in common."""
+    rules = [
+        Rule("domains", "min_items", 1), Rule("domains", "unique"), Rule("domains[]", "enum", DOMAINS),
+        *_needed("verification_status", "enum", VERIFICATION), *_needed("diagnostics.result", "enum", DIAGNOSTIC_RESULTS),
+        *_needed("genomics.test_result", "enum", GENOMIC_RESULTS), *_needed("reference_period.period_type", "enum", PERIOD_TYPES),
+        Rule("diagnostics.test_reported", "required"), Rule("genomics.sequence_reported", "required"),
+        Rule("event_date.start", "date"), Rule("event_date.end", "date"), Rule("event_date.precision", "required"),
+        Rule("evidence", "min_items", 1), Rule("evidence[].type", "required"), Rule("evidence[].text", "filled"), Rule("evidence[].page_number", "min", 1),
+        Rule("locations", "required"), *_needed("locations[].role", "enum", LOCATION_ROLES), *_needed("locations[].precision", "enum", LOCATION_PRECISIONS),
+        *_needed("locations[].confidence", "range", UNIT), Rule("locations[].country_iso2", "pattern", COUNTRY_CODE),
+    ]
+    for end in ("start", "end"):
+        point = f"reference_period.{end}"
+        rules += [Rule(f"{point}.date", "date"), Rule(f"{point}.year", "range", YEARS), Rule(f"{point}.month", "range", MONTHS), *_needed(f"{point}.precision", "enum", DATE_PRECISIONS)]
+    for way in ("human_to_human", "animal_to_human", "vector_borne"):
+        rules += _needed(f"transmission.{way}", "enum", TRANSMISSIONS)
+    return rules
+
+
+def _metric_rules(path: str) -> list[Rule]:
+    return [
+        Rule(f"{path}.as_of_date", "date"), Rule(f"{path}.as_of_year", "range", YEARS), Rule(f"{path}.as_of_month", "range", MONTHS),
+        *_needed(f"{path}.as_of_precision", "enum", DATE_PRECISIONS),
+    ]
+
+
+#: The signal contract, on the columns of one signal per row.
 SIGNAL_CONTRACT = [
-    Rule("domains", "min_items", 1), Rule("event_date.end", "date"), Rule("event_date.start", "date"),
-    Rule("evidence", "min_items", 1), Rule("extraction_confidence", "range", (0, 1)), Rule("local_signal_id", "non_blank"),
-    Rule("signal_role", "enum", SIGNAL_ROLES), Rule("signal_summary", "non_blank"), Rule("verification_status", "enum", VERIFICATION),
+    *_shared_rules(), Rule("local_signal_id", "filled"), Rule("signal_summary", "filled"), *_needed("signal_role", "enum", SIGNAL_ROLES),
+    *_needed("signal_type", "enum", SIGNAL_TYPES), *_needed("extraction_confidence", "range", UNIT),
+    *[r for e in ("disease", "pathogen") for r in _needed(f"{e}.normalization_status", "enum", NORMALIZATIONS) + _needed(f"{e}.confidence", "range", UNIT)],
+    Rule("hosts", "required"), *_needed("hosts[].host_type", "enum", HOST_TYPES), *_needed("hosts[].confidence", "range", UNIT),
+    Rule("metrics", "required"), Rule("metrics[].name", "required"), *_metric_rules("metrics[]"),
+]
+#: The claim contract, on the columns of one claim per row.
+CLAIM_CONTRACT = [
+    *_shared_rules(), Rule("claim_id", "filled"), Rule("group_id", "filled"), Rule("summary", "filled"), *_needed("claim_kind", "enum", CLAIM_KINDS),
+    *_needed("polarity", "enum", POLARITIES), *_needed("confidence", "range", UNIT), *_needed("subject.subject_type", "enum", SUBJECT_TYPES),
+    *_needed("subject.confidence", "range", UNIT), Rule("metric.reported", "required"), *_metric_rules("metric"),
 ]
+#: The head of a payload of each kind.
+DOCUMENT_CONTRACT = {
+    "signals": [Rule("schema_version", "enum", ["0.4"]), Rule("document.raw_item_id", "uuid"), Rule("document.document_date", "date"), Rule("signals", "required"), Rule("warnings", "required")],
+    "claims": [Rule("schema_version", "enum", ["claims-0.1"]), Rule("document.raw_item_id", "filled"), Rule("document.document_date", "date"), Rule("claims", "required"), Rule("warnings", "required")],
+}
 
 
 def contract_check(payloads: DataFrame, key: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
