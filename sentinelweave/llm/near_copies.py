@@ -302,8 +302,11 @@ def near_copies(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTH
 
     def apart(rows: DataFrame, root: DataFrame) -> DataFrame:
         """``(key, doc_id, root, members)`` of the groups in which different components are left."""
-        placed = rows.select("key", "doc_id").join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a < b").select("key", "members")
+        known_roots = root.select(F.col("node").alias("doc_id"), "root")
+        known_roots = F.broadcast(known_roots) if root.count() <= SENT_IDS else known_roots
+        placed = rows.select("key", "doc_id").join(known_roots, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")).repartition("key")
+        # Every column is used, so that both sides of the join read one shuffle.
+        split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("doc_id").alias("members"), F.max("doc_id").alias("c")).filter("a < b and c is not null").select("key", "members")
         return stored(placed.join(split, "key"), "mixed")
 
     test(members.select(F.col("low").alias("u"), F.col("doc_id").alias("v")).union(members.select(F.col("doc_id").alias("u"), F.col("high").alias("v"))))
