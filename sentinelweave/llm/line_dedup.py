@@ -172,7 +172,7 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts of all lines, ``(doc_id, h, line)`` of the lines that go)."""
     facts = stored(line_facts(docs), "lines")
     place = F.struct("doc_id", "h", "line")
-    nodes = stored(facts.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(place).alias("first")), "nodes")
+    nodes = stored(facts.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(place).alias("first"), F.count("*").alias("places")), "nodes")
     spread = prefix_rows(docs, common_tokens(facts)).repartition("token")
     # Every column is used, so that both sides of the join read one shuffle.
     shared = spread.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.max("n").alias("c"), F.max("at").alias("d")).filter("a < b and c > 0 and d >= 0").select("token")
@@ -191,7 +191,7 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stored(matched(meet(leads, late), sets), "matched")
     open_late = late.join(found.select(F.col("d1").alias("d1_l")), "d1_l", "left_anti")
     found = found.union(matched(meet(side("_e"), open_late), sets)).distinct()
-    gone = nodes.join(found.withColumn("gone", F.lit(True)), "d1", "left").select("d1", "d2", "n", "first", "gone")
+    gone = nodes.join(found.withColumn("gone", F.lit(True)), "d1", "left").filter("gone or places > 1").select("d1", "d2", "n", "first", "gone")
     placed = facts.filter("n > 0").join(gone, ["d1", "d2", "n"]).filter(F.col("gone") | (place != F.col("first")))
     return facts, placed.select("doc_id", "h", "line").distinct()
 
