@@ -13,7 +13,8 @@ from sentinelweave.plans.nested import nested_signals, signal_rows
 from sentinelweave.plans.registry import query
 from sentinelweave.plans.views import view
 
-K = 3
+# The default of the operators, for the SQL twins.
+K = 250
 
 
 def D(x: float) -> str:
@@ -224,12 +225,12 @@ def live_index(spark, sf):
 @query("jn03_candidates", "select * from near", CANDIDATES.lstrip(", "))
 def _(spark, sf):
     live = current_eligible(live_index(spark, sf))
-    return H.candidates(live, live, K)
+    return H.candidates(live, live)
 
 
 def anchor_matches(spark, sf):
     index = live_index(spark, sf)
-    return match_anchors(index, index, nested_signals(spark, sf), view(spark, sf, "raw_text"), K)
+    return match_anchors(index, index, nested_signals(spark, sf), view(spark, sf, "raw_text"))
 
 
 _ANCHOR_PAIRS = (

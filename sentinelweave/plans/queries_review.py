@@ -130,5 +130,5 @@ def _(spark, sf):
     table = streams.SnapshotTable(spark, folder + "/relations", spark.createDataFrame([], REL_TABLE))
     index, signals, raw = live_index(spark, sf), nested_signals(spark, sf), view(spark, sf, "raw_text")
     arrivals = spark.readStream.schema(view(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(F.col("event_id").cast("string").alias("signal_id"))
-    streams.stream_matches(arrivals, lambda: index, lambda: signals, lambda: raw, table, folder + "/checkpoint", k=3).awaitTermination()
+    streams.stream_matches(arrivals, lambda: index, lambda: signals, lambda: raw, table, folder + "/checkpoint").awaitTermination()
     return table.read().select("source_id", "target_id", "relation", "decision", "score", "action")

@@ -92,3 +92,14 @@ def test_match_configuration_is_checked():
         MatchConfig(weights={"etiology": 1.0})
     with pytest.raises(ValueError):
         MatchConfig(auto_link_min=0.5)
+
+
+def test_registered_candidates_reach_the_default(spark):
+    from __spark_entry__ import SMOKE_DIR, queries
+    from sentinelweave.plans import registry
+    from sentinelweave.plans.queries_matching import current_eligible, live_index
+
+    live = current_eligible(live_index(spark, SMOKE_DIR)).count()
+    got = queries()["jn03_candidates"](spark, SMOKE_DIR).groupBy("anchor_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+    assert live > 251 and len(got) == live and {(r.n, r["last"]) for r in got} == {(250, 250)}
+    assert ", 250) as near" in registry.ORACLES["jn03_candidates"]
