@@ -199,9 +199,10 @@ def detections(docs: DataFrame) -> DataFrame:
         )
     cut = gated.select("doc_id", "h", F.explode(F.transform(places, snippet)).alias("s")).select("doc_id", "h", "s.*")
     met = cut.join(F.broadcast(rule_table(docs.sparkSession)), "anchor").filter(F.contains("snippet", F.col("need")))
-    at = met.withColumn("at", F.regexp_instr("snippet", F.col("pattern"))).filter("at > 0")
+    # The part before the match is taken whole: positions of expressions count UTF-16 units, those of left() code points.
+    at = met.filter("snippet rlike pattern").withColumn("ahead", F.expr("regexp_extract(snippet, concat('(?s)^(.*?)', pattern), 1)"))
     blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    first = F.col("start") + blanks(F.expr("left(snippet, at - 1)")) - 1
+    first = F.col("start") + blanks(F.col("ahead")) - 1
     return at.withColumn("first", first.cast("long")).withColumn("last", (F.col("first") + blanks(F.regexp_substr("snippet", F.col("pattern")))).cast("long")).select(
         "doc_id", "h", "rule", "label", "priority", "first", "last").distinct()
 

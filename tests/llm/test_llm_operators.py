@@ -190,6 +190,13 @@ def test_license_base_places(docs, rows, nothing, spark):
     assert licenses.license_scan(nothing).count() == 0
 
 
+def test_license_places_after_wide_characters(spark):
+    texts = ["under the MIT License", "Apache License Version 2", "CC BY-NC"]
+    rows = [(i * 10 + n, "\U0001F600 " * n + "a\u2028b " + t + " end") for i, t in enumerate(texts) for n in range(5)]
+    got = {r.doc_id: (r.n_base, r.first_word, r.last_word) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (1, i % 10 + 1, i % 10 + 1) for i, _ in rows}
+
+
 def test_license_suppression(spark):
     texts = [(1, "Released under the GNU Lesser General Public License version 3"), (2, "SPDX-License-Identifier: BSD-3-Clause"), (3, "the zlib license and the ISC license")]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
