@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SEPARATOR = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A text without any of these holds no license text.
-PREFILTER = "(?i)licen[sc]|copyleft|spdx|public[^a-z]+domain|creative[^a-z]*commons|all[^a-z]+rights|cc[^a-z0-9]+(?:by|0|zero)"
 #: Words before and after an anchor that a rule can see.
 BEFORE, AFTER = 14, 18
 
@@ -40,7 +38,8 @@ NAMES = [
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("0bsd", "0bsd", "(?:0bsd|zero clause bsd)"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("0bsd", "zero", "zero clause bsd"),
     ("bsd", "bsd", "bsd(?: style)?"),
     ("gpl-1", "1", "(?:gnu )?(?:gpl|general public license)(?: version| v)? 1(?: 0)?"),
     ("gpl-2", "2", "(?:gnu )?(?:gpl|general public license)(?: version| v)? 2(?: 0)?"),
@@ -144,6 +143,26 @@ SINGLE = [
     ("other", 5, "license", "@licensed under"),
     ("other", 5, "license", "@license agreement"),
 ]
+# Phrases of license bodies that name no license.
+BODIES = [
+    ("mit", 3, "charge", "@permission is hereby granted free of charge to any person obtaining a copy"),
+    ("boost-1", 3, "charge", "@permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", 3, "fee", "@permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee"),
+    ("zlib", 3, "anyone", "@permission is granted to anyone to use this software for any purpose"),
+    ("bsd", 3, "binary", "@redistribution and use in source and binary forms with or without modification"),
+    ("bsd-3-clause", 3, "contributors", "nor the @names of its contributors may be used to endorse"),
+    ("bsd-4-clause", 3, "advertising", "all @advertising materials mentioning features or use of this software"),
+    ("unlicense", 3, "free", "this is free and @unencumbered software released into the public domain"),
+]
+# Words before an anchor that stands in too many texts to be a keyword alone.
+UNDER = "(?:licensed|released|distributed|available|published|provided|covered|redistributed)"
+# By anchor, what every rule of that anchor needs in a text; words stand apart by any separators.
+KEYWORDS = {
+    "license": "license", "licence": "licence", "licenses": "licenses", "licensed": "licensed", "under": f"{UNDER} under", "cc": "cc (?:by|0|zero)", "cc0": "cc0",
+    "creative": "creative commons", "public": "public domain", "publicdomain": "publicdomain zero", "rights": "rights reserved",
+    "permission": "permission (?:is hereby granted|is granted to anyone|to use copy)", "redistribution": "redistribution and use in source", "names": "names of its contributors",
+    "advertising": "advertising materials mentioning", "unencumbered": "unencumbered software",
+}
 #: Confidence by priority; none without a match.
 CONFIDENCE = {0: 0.9, 1: 1.0, 2: 0.95, 3: 0.85, 4: 0.6, 5: 0.3}
 
@@ -154,7 +173,7 @@ def signatures() -> list[tuple[str, int, str, str, str]]:
     for label, need, name in NAMES:
         rules += [
             (label, 1, need, f"spdx @license identifier {name}(?: only| or later)?"),
-            (label, 2, need, f"(?:licensed|released|distributed|available|published|provided|covered|redistributed) @under (?:the )?(?:terms of )?(?:the )?{name}(?: license| licence)?"),
+            (label, 2, need, f"{UNDER} @under (?:the )?(?:terms of )?(?:the )?{name}(?: license| licence)?"),
             (label, 3, need, f"{name} @license"),
             (label, 3, need, f"{name} @licence"),
             (label, 3, need, f"@license {name}"),
@@ -167,11 +186,16 @@ def signatures() -> list[tuple[str, int, str, str, str]]:
             (label, 2, need, f"@cc {short}{VERSION}"),
             (label, 2, "attribution", f"@creative commons {long}{VERSION}"),
         ]
-    rules += SINGLE
+    rules += SINGLE + BODIES
     anchor = lambda text: text.split("@", 1)[1].split()[0].split("(")[0]
     return [(label, rank, anchor(text), need, f"(?<= ){text}(?= )") for label, rank, need, text in rules]
 
 
+def prefilter() -> str:
+    """An expression that every text with a match of any rule meets."""
+    return "(?i)" + "|".join(KEYWORDS[a].replace(" ", SEPARATOR) for a in sorted({r[2] for r in signatures()}))
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     """All signatures with their number, which breaks ties; its size is fixed by this module."""
     cells = [F.struct(F.lit(i).alias("rule"), *[F.lit(v).alias(c) for v, c in zip(r, ("label", "priority", "anchor", "need", "pattern"))]) for i, r in enumerate(signatures())]
@@ -188,7 +212,7 @@ def detections(docs: DataFrame) -> DataFrame:
     ``h`` is the hash of the text: with the id it names a row, so repeated rows share their matches.
     """
     anchors = sorted({r[2] for r in signatures()})
-    gated = docs.filter(F.col("text").rlike(PREFILTER)).select("doc_id", F.xxhash64("text").alias("h"), F.filter(F.split(lower_ascii(F.col("text")), SEPARATOR), lambda x: x != "").alias("w"))
+    gated = docs.filter(F.col("text").rlike(prefilter())).select("doc_id", F.xxhash64("text").alias("h"), F.filter(F.split(lower_ascii(F.col("text")), SEPARATOR), lambda x: x != "").alias("w"))
     places = F.filter(F.transform("w", lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull())
     def snippet(i: Column) -> Column:
         start = F.greatest(i - BEFORE, F.lit(0))

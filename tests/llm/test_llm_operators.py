@@ -190,6 +190,50 @@ def test_license_base_places(docs, rows, nothing, spark):
     assert licenses.license_scan(nothing).count() == 0
 
 
+def wording(rng, parsed):
+    """A text that a parsed expression of licenses.py matches, with random choices; look-arounds are left out."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif op == "MAX_REPEAT":
+            out += "".join(wording(rng, arg[2]) for _ in range(rng.randint(arg[0], arg[1])))
+        elif op == "SUBPATTERN":
+            out += wording(rng, arg[3])
+        elif op == "BRANCH":
+            out += wording(rng, rng.choice(arg[1]))
+        else:
+            assert op == "ASSERT", op
+    return out
+
+
+def test_license_rules_meet_the_prefilter(spark):
+    rng = random.Random(5)
+    rules = licenses.signatures()
+    rows = [(n, wording(rng, re._parser.parse(r[4])).replace("@", "").upper().replace(" ", "\n- ")) for n, r in enumerate(rules) for _ in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").distinct()
+    hit = licenses.detections(docs).filter("doc_id = rule").select("doc_id", "h").distinct()
+    lost = docs.withColumn("h", F.xxhash64("text")).join(hit, ["doc_id", "h"], "left_anti").collect()
+    assert not lost, [(rules[r.doc_id], r.text) for r in lost[:5]]
+
+
+def test_license_texts_without_the_word(spark):
+    texts = {
+        "Released under the GPLv3.": "gpl-3", "Distributed under the Apache 2.0 terms": "apache-2", "Available under the BSD 3-Clause": "bsd-3-clause", "CC0 1.0": "cc0",
+        "published under Zero-Clause BSD": "0bsd", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc", "Put under the table": "",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == texts
+
+
 def test_license_places_after_wide_characters(spark):
     texts = ["under the MIT License", "Apache License Version 2", "CC BY-NC"]
     rows = [(i * 10 + n, "\U0001F600 " * n + "a\u2028b " + t + " end") for i, t in enumerate(texts) for n in range(5)]
