@@ -18,6 +18,7 @@ from sentinelweave.functions.sets import prf, set_f1
 from sentinelweave.functions.text import (
     canonical_evidence_type, canonical_metric_name, canonical_metric_unit, clauses, has_negation, norm_text, numbers, tokens,
 )
+from sentinelweave.operators.assembly import assemble
 from sentinelweave.operators.gates import yes
 
 # Component weights, thresholds and release gates.
@@ -470,6 +471,40 @@ def classify_runs(documents: DataFrame, runs: DataFrame, predictions: DataFrame)
     return j.select("document_id", status.alias("status")), twice.unionByName(foreign).unionByName(odd)
 
 
+def corpus_reassembly(manifest: DataFrame, claims: DataFrame, stored: DataFrame, force: bool = False, present: DataFrame | None = None) -> DataFrame:
+    """``(doc, status, claims, signals)`` of every manifest row; only documents that need it are assembled.
+
+    ``manifest`` holds ``position``, ``doc``, ``status`` and the names ``claims`` and ``prediction``; ``claims`` the
+    nested claims with the name of their set in ``doc``; ``stored`` the ``prediction`` names that exist.  ``present``
+    names the claim sets in ``doc``, empty ones too (default: those with claims).  Counts are null where nothing was
+    assembled.  Of rows with one destination the first is assembled, unless ``force``.
+    """
+    missing = lambda c: F.coalesce(c, F.lit("")) == ""
+    here = (claims if present is None else present).select(F.col("doc").alias("claims")).distinct().withColumn("__here", F.lit(True))
+    done = stored.select("prediction").distinct().withColumn("__done", F.lit(True))
+    rows = manifest.select("position", "doc", "status", "claims", "prediction").join(here, "claims", "left").join(done, "prediction", "left")
+    state = (
+        F.when(~yes(F.col("status") == "adjudicated"), F.lit("skipped_not_adjudicated"))
+        .when(missing(F.col("claims")) | missing(F.col("prediction")), F.lit("skipped_missing_config"))
+        .when(F.col("__here").isNull(), F.lit("skipped_claims_not_found"))
+        .when(F.col("__done").isNotNull() & ~F.lit(force), F.lit("existing"))
+        .otherwise(F.lit("reassembled"))
+    )
+    rows = rows.withColumn("status", state)
+    if not force:
+        # A destination of several rows is there once the first of them is assembled; other rows meet no window.
+        first = rows.filter(F.col("status") == "reassembled").groupBy("prediction").agg(F.min("position").alias("__first"))
+        rows = rows.join(first, "prediction", "left").withColumn(
+            "status", F.when((F.col("status") == "reassembled") & (F.col("position") > F.col("__first")), F.lit("existing")).otherwise(F.col("status"))
+        )
+    needed = claims.join(rows.filter(F.col("status") == "reassembled").select(F.col("claims").alias("doc")).distinct(), "doc", "left_semi")
+    counts = needed.groupBy("doc").agg(F.count("*").alias("__claims"))
+    made = assemble(needed).groupBy("doc").agg(F.count("*").alias("__signals"))
+    counts = counts.join(made, "doc", "left").withColumnRenamed("doc", "claims")
+    count = lambda c: F.when(F.col("status") == "reassembled", F.coalesce(F.col(c), F.lit(0).cast("long")))
+    return rows.join(counts, "claims", "left").select("doc", "status", count("__claims").alias("claims"), count("__signals").alias("signals"))
+
+
 def pair_benchmark(forward: DataFrame, reverse: DataFrame, expected: DataFrame, release: Mapping[str, float] | None = None) -> DataFrame:
     """One row: the eight pair metrics and the release gate.
 

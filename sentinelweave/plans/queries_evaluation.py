@@ -262,5 +262,14 @@ def _(spark, sf):
 @query("ev18_corpus_reassembly")
 def _(spark, sf):
     claims = nested_claims(spark, sf)
-    made = A.assemble(claims).groupBy("doc").agg(F.count("*").alias("signals"))
-    return claims.groupBy("doc").agg(F.count("*").alias("claims")).join(made, "doc", "left").select("doc", F.lit("reassembled").alias("status"), "claims", F.coalesce("signals", F.lit(0).cast("long")).alias("signals"))
+    docs = claims.select(F.col("doc").cast("string").alias("doc")).distinct()
+    # A manifest and stored predictions of these documents: by a hash, rows of every status, and a row without claims for some.
+    part = F.pmod(F.crc32("doc"), F.lit(8))
+    named = docs.select("doc", F.col("doc").alias("claims"), part.alias("part")).unionByName(
+        docs.filter(part == 3).select(F.concat("doc", F.lit("-absent")).alias("doc"), F.concat("doc", F.lit("-absent")).alias("claims"), F.lit(3).cast("long").alias("part")))
+    manifest = named.select(
+        F.col("doc").alias("position"), "doc", F.when(F.col("part") == 0, "pending").otherwise("adjudicated").alias("status"),
+        F.when(F.col("part") != 1, F.col("claims")).alias("claims"), F.when(F.col("part") == 2, "").otherwise(F.concat(F.lit("predictions/"), "doc")).alias("prediction"),
+    )
+    stored = docs.filter(part == 4).select(F.concat(F.lit("predictions/"), "doc").alias("prediction"))
+    return E.corpus_reassembly(manifest, claims, stored)

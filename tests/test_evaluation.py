@@ -60,3 +60,29 @@ def test_evidence_rules(spark):
     whole = [("text", "se identificaron ocho casos a bordo del buque, 6 confirmados y 2 probables")]
     assert support(spark, whole, [("text", "se identificaron ocho casos a bordo del buque")], "0.4.7") == 0.0
     assert support(spark, whole, [("text", "se identificaron ocho casos a bordo del buque"), ("text", "6 confirmados"), ("text", "2 probables")], "0.4.7") == 1.0
+
+
+def test_reassembly_decides_the_status(spark):
+    from __spark_entry__ import SMOKE_DIR
+    from sentinelweave.operators.assembly import assemble
+    from sentinelweave.plans.nested import nested_claims
+
+    claims = nested_claims(spark, SMOKE_DIR)
+    full = {r.doc: (r.claims, r.signals) for r in claims.groupBy("doc").agg(F.count("*").alias("claims")).join(assemble(claims).groupBy("doc").agg(F.count("*").alias("signals")), "doc").collect()}
+    a, b = sorted(full)[:2]
+    claims = claims.filter(F.col("doc").isin(a, b))
+    rows = [
+        (1, "pending", "pending", a, "p1"), (2, "null", None, a, "p1"), (3, "unnamed", "adjudicated", None, "p2"), (4, "nowhere", "adjudicated", a, ""),
+        (5, "absent", "adjudicated", "?", "p3"), (6, "there", "adjudicated", a, "p4"), (7, "new", "adjudicated", b, "p5"), (8, "again", "adjudicated", b, "p5"), (9, "empty", "adjudicated", "none", "p6"),
+    ]
+    manifest = spark.createDataFrame(rows, "position long, doc string, status string, claims string, prediction string")
+    stored = spark.createDataFrame([("p4",), ("p3",)], "prediction string")
+    present = spark.createDataFrame([(a,), (b,), ("none",)], "doc string")
+    want = {
+        "pending": ("skipped_not_adjudicated", None, None), "null": ("skipped_not_adjudicated", None, None), "unnamed": ("skipped_missing_config", None, None),
+        "nowhere": ("skipped_missing_config", None, None), "absent": ("skipped_claims_not_found", None, None), "there": ("existing", None, None),
+        "new": ("reassembled", *full[b]), "again": ("existing", None, None), "empty": ("reassembled", 0, 0),
+    }
+    assert {r.doc: tuple(r)[1:] for r in E.corpus_reassembly(manifest, claims, stored, present=present).collect()} == want
+    forced = {r.doc: tuple(r)[1:] for r in E.corpus_reassembly(manifest, claims, stored, force=True, present=present).collect()}
+    assert forced == want | {"there": ("reassembled", *full[a]), "again": ("reassembled", *full[b])}
