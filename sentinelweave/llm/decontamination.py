@@ -9,13 +9,16 @@ all places (the whole item where it is shorter). Windows that pass are merged to
 Documents emit a row per cluster of hits with the words around it only. No step gathers a document's or an
 item's hits beyond that cluster.
 
-Defined cases: null or empty texts and items never leak; items below ``SPAN`` words are not searched; a null
+Defined cases: null or empty texts and items never leak; items below
+``SPAN`` words are searched whole, by a seed for every choice of words that may differ; a null
 doc_id or item_id is kept and compared like a value; equal items and repeated rows are reported once each id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from sentinelweave.llm.common import BASE, FOLD, buffers, mix, small_batches, stored, word_hashes
 
-# Kept (1) and ignored (0) words of a seed.
-MASKS = ["11011001", "10110110", "01101101", "11100011"]
+# Kept (1) and ignored (0) words of a seed. With the fifth, every pattern of substitutions that leaves
+# SHARE of 8 to 20 words meets a seed.
+MASKS = ["11011001", "10110110", "01101101", "11100011", "10010101"]
 SPAN = len(MASKS[0])
 #: Aligned words that decide, and the share of them that must agree.
 WINDOW, SHARE = 20, 0.8
@@ -37,21 +41,27 @@ SEPARATORS[128:] = False
 SEPARATORS[48:58] = SEPARATORS[65:91] = SEPARATORS[97:123] = False
 
 
-def seeds(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def short_masks(span: int, share: float) -> list[str]:
+    """Masks for whole items of ``span`` words, below ``SPAN``: every choice of the words that may differ is left out once."""
+    spare = span - math.ceil(share * span - 1e-9)
+    return ["".join("0" if i in gap else "1" for i in range(span)) for gap in itertools.combinations(range(span), min(spare, span))]
+
+
+def seeds(hashes: np.ndarray, bounds: np.ndarray, span: int = SPAN, masks: list[str] = MASKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seed, text number, word in the text) for every mask and every place a mask fits."""
-    n = len(hashes) - SPAN + 1
+    n = len(hashes) - span + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.searchsorted(bounds, np.arange(n), "right") - 1
-    at = np.flatnonzero(np.arange(n) + SPAN <= bounds[text + 1])
+    at = np.flatnonzero(np.arange(n) + span <= bounds[text + 1])
     out = []
-    for number, mask in enumerate(MASKS):
-        h = np.full(n, number + 1, np.uint64)
+    for number, mask in enumerate(masks):
+        h = np.full(n, (SPAN - span) * 64 + number + 1, np.uint64)
         for i, kept in enumerate(mask):
             if kept == "1":
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(BASE) + hashes[i : i + n]
         out.append(mix(h)[at])
-    return np.concatenate(out), np.tile(text[at], len(MASKS)), np.tile(at - bounds[text[at]], len(MASKS))
+    return np.concatenate(out), np.tile(text[at], len(masks)), np.tile(at - bounds[text[at]], len(masks))
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,11 +69,24 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, bounds
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """``(seed, item_id, item_at)`` of all items."""
+def all_seeds(hashes: np.ndarray, bounds: np.ndarray, spans: Iterable[int], share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds of ``SPAN`` words and those of the shorter ``spans``."""
+    found = [seeds(hashes, bounds), *[seeds(hashes, bounds, n, short_masks(n, share)) for n in spans]]
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def item_seeds(items: DataFrame, share: float = SHARE) -> DataFrame:
+    """``(seed, item_id, item_at)`` of all items; one below ``SPAN`` words has the seeds of its own length only."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seed, text, at = seeds(*tokens(batch.column(1)))
+            hashes, bounds = tokens(batch.column(1))
+            sizes = np.diff(bounds)
+            found = [seeds(hashes, bounds)]
+            for n in np.unique(sizes[(sizes > 0) & (sizes < SPAN)]).tolist():
+                short = seeds(hashes, bounds, n, short_masks(n, share))
+                whole = sizes[short[1]] == n
+                found.append(tuple(part[whole] for part in short))
+            seed, text, at = (np.concatenate(part) for part in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(at)], names=["seed", "item_id", "item_at"])
 
     return items.select("item_id", "text").mapInArrow(work, "seed long, item_id long, item_at long").distinct()
@@ -100,8 +123,8 @@ def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return found
 
 
-def hit_spans(docs: DataFrame, bits: np.ndarray, reach: int = WINDOW) -> DataFrame:
-    """``(doc_id, h, start, words, hits)``: words around every cluster of seeds that the bitmap passes."""
+def hit_spans(docs: DataFrame, bits: np.ndarray, reach: int = WINDOW, spans: Iterable[int] = (), share: float = SHARE) -> DataFrame:
+    """``(doc_id, h, start, words, hits)``: words around every cluster of seeds that the bitmap passes; ``spans``: lengths of short items."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -109,7 +132,7 @@ def hit_spans(docs: DataFrame, bits: np.ndarray, reach: int = WINDOW) -> DataFra
         hit_type = pa.list_(pa.struct([("at", pa.int64()), ("seed", pa.int64())]))
         for batch in batches:
             hashes, bounds = tokens(batch.column(2))
-            seed, text, at = seeds(hashes, bounds)
+            seed, text, at = all_seeds(hashes, bounds, spans, share)
             hit = np.flatnonzero(passes(shared.value, seed))
             hit = hit[np.lexsort((at[hit], text[hit]))]
             seed, text, at = seed[hit].view(np.int64), text[hit], at[hit]
@@ -138,7 +161,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, hits: np.ndarray,
     start = np.arange(len(passed)) + low
     near = np.zeros(len(passed), bool)
     for at in hits:
-        near |= (start <= at) & (at + SPAN <= start + need)
+        near |= (start <= at) & (at + min(SPAN, need) <= start + need)
     good = start[passed & near]
     if not len(good):
         return None
@@ -149,8 +172,10 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, hits: np.ndarray,
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``(doc_id, h, item_id, start_word, n_words, n_equal)``: every leak of an item into a document."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    found = stored(item_seeds(items), "item-seeds")
-    spans = stored(hit_spans(docs, bitmap(found), window), "spans")
+    found = stored(item_seeds(items, share), "item-seeds")
+    # At most SPAN - 1 rows: the lengths of short items that occur.
+    short = [r.n for r in item_words(items).select((F.length("item_words") / 8).cast("int").alias("n")).filter(f"n between 1 and {SPAN - 1}").distinct().collect()]
+    spans = stored(hit_spans(docs, bitmap(found), window, short, share), "spans")
     hits = spans.select("doc_id", "h", "start", F.explode("hits").alias("hit")).select("doc_id", "h", "start", "hit.*").distinct()
     met = hits.join(found, "seed").select("doc_id", "h", "start", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at").distinct()
     lines = met.groupBy("doc_id", "h", "start", "item_id", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats"))

@@ -247,6 +247,30 @@ def test_license_suppression(spark):
     assert got == {1: ("lgpl-3", 0.95), 2: ("bsd-3-clause", 1.0), 3: ("isc,zlib", 0.85)}
 
 
+def test_seeds_meet_every_allowed_pattern():
+    for n in range(1, 21):
+        masks = decontamination.MASKS if n >= decontamination.SPAN else decontamination.short_masks(n, decontamination.SHARE)
+        spare = n - -(-4 * n // 5)
+        for gap in itertools.combinations(range(n), spare):
+            assert any(all(kept == "0" or at + i not in gap for i, kept in enumerate(mask)) for mask in masks for at in range(n - len(mask) + 1)), (n, gap)
+
+
+def test_leaks_of_short_items(spark):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 16)] + [(99, ""), (98, "What is the capital of France?")]
+    docs, want = [], set()
+    for n, text in items[:15]:
+        spare = n - -(-4 * n // 5)
+        for changed in range(spare + 2):
+            for gap in itertools.islice(itertools.combinations(range(n), changed), 60):
+                docs.append((len(docs), "before it " + " ".join("other" if i in gap else w for i, w in enumerate(text.split())) + " and after"))
+                if changed <= spare and changed < n:
+                    want.add((len(docs) - 1, n))
+    docs.append((len(docs), "So: what is the CAPITAL of France"))
+    want.add((len(docs) - 1, 98))
+    df, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaked(df, held).collect()} == want
+
+
 # Exact top-k
 
 
