@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentinelweave.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sentinelweave.llm.common import scratch_path
+from sentinelweave.llm.conversation_repair import repaired
 from sentinelweave.llm.decontamination import leaked
+from sentinelweave.llm.lexical_search import ranked
 from sentinelweave.llm.licenses import license_scan
 from sentinelweave.llm.line_dedup import line_report
 from sentinelweave.llm.mixing import mix
 from sentinelweave.llm.near_copies import near_copies
 from sentinelweave.llm.quality import quality
+from sentinelweave.llm.quality_rules import quality_rules
 from sentinelweave.llm.suffix_dedup import remove_repeats
 from sentinelweave.llm.token_counts import token_counts
 from sentinelweave.llm.topk import top_k
@@ -87,3 +90,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_array_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), texts_too=False).drop("kept")
+
+
+@query("op11_lexical_search", r"""
+    with t as (
+        select row_number() over () as row_id, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+        from documents),
+    s as (select count(*) as n_docs, sum(len(terms))::bigint as n_words from t where len(terms) > 0),
+    i as (
+        select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from benchmark),
+    f as (
+        select row_id, doc_id, n, term, count(*) as tf
+        from (select row_id, doc_id, len(terms) as n, unnest(terms) as term from t) group by all),
+    w as (
+        select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w
+        from (select term, count(*) as df from f group by term), s),
+    p as (
+        select row_id, doc_id, f.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))) as part
+        from f join w using (term), s),
+    r as (select item_id, row_id, doc_id, sum(part)::bigint as score from i join p using (term) group by all having sum(part) > 0)
+    select item_id, rank, doc_id, score
+    from (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from r)
+    where rank <= 50""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_quality_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "conversations"))
