@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sentinelweave.operators.cohorts import CREATING_RELATIONS, MANUAL_DECISIONS, OPEN_LIFECYCLES, approved
 from sentinelweave.operators.gates import yes
+from sentinelweave.operators.relations import all_or_nothing
 
 # Memberships that count as positive, actions of a plan, closed lifecycles.
 POSITIVE_DECISIONS = ["auto_linked", "manual_linked"]
@@ -122,9 +123,9 @@ def attachments(plans: DataFrame) -> DataFrame:
     )
 
 
-def attachment_errors(batch: DataFrame, relations: DataFrame, events: DataFrame, memberships: DataFrame, live: DataFrame, producer: str = "matcher") -> DataFrame:
-    """``(relation_id, reason)`` for attachments that no longer hold; first reason wins."""
-    rel = relations.filter(F.col("producer") == producer).select("relation_id", "relation", "source_id", "target_id", approved().alias("__ok"))
+def checked_attachments(batch: DataFrame, relations: DataFrame, events: DataFrame, memberships: DataFrame, live: DataFrame, producer: str = "matcher") -> DataFrame:
+    """``batch`` with the first ``reason`` an attachment no longer holds for, null where it does."""
+    rel = relations.filter(F.col("producer") == producer).select("relation_id", approved().alias("__ok"))
     ev = events.select("event_id", F.coalesce("lifecycle_status", F.lit("")).alias("__life"))
     alive = live.select("signal_id", F.lit(True).alias("__live"))
     anchor = memberships.filter(F.col("match_decision").isin(POSITIVE_DECISIONS)).select(
@@ -134,10 +135,9 @@ def attachment_errors(batch: DataFrame, relations: DataFrame, events: DataFrame,
     same = memberships.groupBy("event_id", "signal_id").agg(
         F.count_if(F.col("match_decision").isin(MANUAL_DECISIONS)).alias("__manual"), F.count_if(~F.col("producer").eqNullSafe(F.lit(producer))).alias("__foreign")
     )
-    repeated = batch.groupBy("event_id", "signal_id").agg(F.count("*").alias("__n"))
     j = (
-        batch.join(rel, "relation_id", "left").join(ev, "event_id", "left").join(alive, "signal_id", "left").join(anchor, ["event_id", "anchor_id"], "left")
-        .join(held, "signal_id", "left").join(same, ["event_id", "signal_id"], "left").join(repeated, ["event_id", "signal_id"])
+        batch.withColumn("__n", F.count("*").over(Window.partitionBy("event_id", "signal_id"))).join(rel, "relation_id", "left").join(ev, "event_id", "left").join(alive, "signal_id", "left").join(anchor, ["event_id", "anchor_id"], "left")
+        .join(held, "signal_id", "left").join(same, ["event_id", "signal_id"], "left")
     )
     elsewhere = yes(F.col("__e0") != F.col("event_id")) | yes(F.col("__e1") != F.col("event_id"))
     reason = (
@@ -147,24 +147,23 @@ def attachment_errors(batch: DataFrame, relations: DataFrame, events: DataFrame,
         .when(elsewhere, "member_of_other_event").when(~F.col("__ok"), "relation_not_authorised")
         .when(yes(F.col("__manual") > 0), "manual_membership").when(yes(F.col("__foreign") > 0), "foreign_membership")
     )
-    return j.select("relation_id", "event_id", "signal_id", reason.alias("reason")).filter("reason is not null")
+    return j.select(*batch.columns, reason.alias("failed"))
+
+
+def attachment_errors(batch: DataFrame, relations: DataFrame, events: DataFrame, memberships: DataFrame, live: DataFrame, producer: str = "matcher") -> DataFrame:
+    """``(relation_id, event_id, signal_id, reason)`` of the attachments that no longer hold."""
+    failed = checked_attachments(batch, relations, events, memberships, live, producer).filter("failed is not null")
+    return failed.select("relation_id", "event_id", "signal_id", F.col("failed").alias("reason"))
 
 
-def apply_attachments(plans: DataFrame, relations: DataFrame, events: DataFrame, memberships: DataFrame, live: DataFrame, producer: str = "matcher", strict: bool = True) -> DataFrame:
+def apply_attachments(plans: DataFrame, relations: DataFrame, events: DataFrame, memberships: DataFrame, live: DataFrame, producer: str = "matcher") -> DataFrame:
     """Memberships after attaching, with an ``action`` per row.
 
-    All or nothing: with ``strict`` any failing attachment raises; otherwise only the
-    sound ones are applied and the others can be read from :func:`attachment_errors`.
+    All or nothing: while any attachment fails its checks, reading the result fails with the reason. Callers that
+    want the sound ones alone take the failing out first, by :func:`attachment_errors`.
     """
-    batch = attachments(plans)
-    errors = attachment_errors(batch, relations, events, memberships, live, producer)
-    if strict:
-        first = errors.limit(1).collect()
-        if first:
-            raise ValueError(f"attachment batch rejected: {first[0]['reason']}")
-        sound = batch
-    else:
-        sound = batch.join(errors.select("relation_id").distinct(), "relation_id", "left_anti")
+    checked = checked_attachments(attachments(plans), relations, events, memberships, live, producer)
+    sound = all_or_nothing(checked.drop("reason").withColumnRenamed("failed", "reason"), "attachment batch")
     r = relations.select("relation_id", F.col("relation").alias("relation_to_event"), F.col("score").cast("decimal(4,3)").cast("double").alias("match_score"))
     new = sound.join(r, "relation_id").select("event_id", "signal_id", F.lit("auto_linked").alias("match_decision"), F.lit(producer).alias("producer"), "relation_to_event", "match_score")
     known = memberships.select("event_id", "signal_id").distinct().withColumn("__k", F.lit(True))

@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from sentinelweave.session import materialised
+
 MAX_CANDIDATES = 5000
+#: Shares of a hot group in the first of two limits.
+SALTS = 32
+#: Levels of identity and prefixes of their groups: pathogen and disease, pathogen, disease, all.
+LEVELS = ("b", "p", "d", "a")
 
 
 def collect_children(child: DataFrame, key: str, order: Sequence[str], name: str, keep_order: bool = False) -> DataFrame:
@@ -48,50 +54,42 @@ def candidates(anchors: DataFrame, signals: DataFrame, k: int = 250) -> DataFram
     """Top ``k`` other signals of every anchor, exactly, without an all-pairs join.
 
     Rank: same pathogen, same disease, days apart (nulls last), newest, id.  Signals
-    must already be the current eligible ones; anchors are a subset of them.
+    must already be the current eligible ones; anchors are a subset of them, known by their ids.
 
-    Anchors with one (pathogen, disease, date) share one ranking, and only the newest
-    ``2k+2`` rows of a (group, date) cell can enter it, so
+    Anchors with one (pathogen, disease, date) are one cell with one ranking.  A signal
+    stands in up to four groups (pathogen and disease, pathogen, disease, all), spelled as
+    keys of one column, and a cell looks into a wider group only where its narrower ones
+    hold too few rows.  One cut and one join then serve all groups:
 
-    * rows are cut to that many per (group, date) with a map-side group limit;
-    * a running count over the dates of a group places every cell on a line, and an
-      anchor meets only cells within ``2k+2`` positions, by an equi-join on
-      (group, position bucket);
-    * wider groups (one identity, then everything) are visited only by anchor cells
-      whose narrower groups hold too few rows.
+    * rows are cut to the newest ``2k+2`` per (group, date), in two levels of which the
+      first is salted, so no task meets a whole group, not even that of all signals;
+    * a running count over the dates of a group places them on a line, and a cell meets
+      only dates within ``2k+2`` positions, by an equi-join on (group, position bucket).
 
-    The ranking is an array of ``k+1`` ids per distinct anchor cell, joined back to the
-    anchors.  A hot pathogen makes its cells full, not any join list longer.
+    Each wider group gives only the rows that the narrower ones lack, so nothing is met
+    twice.  The ranking is an array of ``k+1`` ids per cell, joined back to the anchors.
+    A hot pathogen makes its cells full, not any join list longer.
     """
     if isinstance(k, bool) or not isinstance(k, int) or not 1 <= k <= MAX_CANDIDATES:
         raise ValueError(f"k must be an integer between 1 and {MAX_CANDIDATES}")
-    base = signals.select("signal_id", "disease_id", "pathogen_id", F.col("occurred_start").alias("on"), "created_at")
-    pair_sizes = base.groupBy("disease_id", "pathogen_id").agg(F.count("*").alias("n_both"))
-    disease_sizes = pair_sizes.groupBy("disease_id").agg(F.sum("n_both").alias("n_disease"))
-    pathogen_sizes = pair_sizes.groupBy("pathogen_id").agg(F.sum("n_both").alias("n_pathogen"))
-    cells = (
-        anchors.select("disease_id", "pathogen_id", F.col("occurred_start").alias("on"))
-        .distinct()
-        .join(pair_sizes, ["disease_id", "pathogen_id"], "left")
-        .join(disease_sizes, "disease_id", "left")
-        .join(pathogen_sizes, "pathogen_id", "left")
-        .na.fill(0, ["n_both", "n_disease", "n_pathogen"])
-    )
-    few = F.col("n_both") <= k
-    fewer = F.col("n_disease") + F.col("n_pathogen") - F.col("n_both") <= k
-    pool = None
-    for keys, lacking in (
-        (["pathogen_id", "disease_id"], F.lit(True)), (["pathogen_id"], few), (["disease_id"], few), ([], fewer)
-    ):
-        part = _nearest_in_group(cells.filter(lacking), base, keys, 2 * k + 2)
-        pool = part if pool is None else pool.unionByName(part)
+    # Five narrow columns that every part below starts from: written once, not derived anew by each.
+    base = materialised(signals.select("signal_id", "disease_id", "pathogen_id", F.col("occurred_start").alias("on"), "created_at"), "index")
+    some = base if anchors is signals else base.join(anchors.select("signal_id").distinct(), "signal_id", "left_semi")
+    cells = materialised(_cells_with_groups(some, base, k), "cells")
+    near = _nearest_in_groups(cells, base, 2 * k + 2)
     cell = ["a_disease", "a_pathogen", "a_on"]
-    ranked = pool.dropDuplicates([*cell, "signal_id"]).withColumns(
+    ranked = near.withColumns(
         {
             "same_pathogen": F.coalesce(F.col("a_pathogen") == F.col("pathogen_id"), F.lit(False)),
             "same_disease": F.coalesce(F.col("a_disease") == F.col("disease_id"), F.lit(False)),
             "days": F.abs(F.date_diff("on", "a_on")),
         }
+    ).filter(
+        # What the narrower groups have already given.
+        (F.col("level") == LEVELS[0])
+        | (F.col("level") == LEVELS[1]) & ~F.col("same_disease")
+        | (F.col("level") == LEVELS[2]) & ~F.col("same_pathogen")
+        | (F.col("level") == LEVELS[3]) & ~F.col("same_pathogen") & ~F.col("same_disease")
     )
     order = Window.partitionBy(*cell).orderBy(
         F.desc("same_pathogen"), F.desc("same_disease"), F.asc_nulls_last("days"), F.desc("created_at"), F.asc("signal_id")
@@ -102,56 +100,81 @@ def candidates(anchors: DataFrame, signals: DataFrame, k: int = 250) -> DataFram
         .groupBy(*cell)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "signal_id", "same_pathogen", "same_disease", "days"))).alias("near"))
     )
-    a = anchors.select(
-        F.col("signal_id").alias("anchor_id"), F.col("disease_id").alias("d"),
-        F.col("pathogen_id").alias("p"), F.col("occurred_start").alias("o"),
-    )
+    a = some.select(F.col("signal_id").alias("anchor_id"), F.col("disease_id").alias("d"), F.col("pathogen_id").alias("p"), F.col("on").alias("o"))
     same_cell = F.col("d").eqNullSafe(F.col("a_disease")) & F.col("p").eqNullSafe(F.col("a_pathogen")) & F.col("o").eqNullSafe(F.col("a_on"))
-    others = F.slice(F.filter("near", lambda x: x["signal_id"] != F.col("anchor_id")), 1, k)
-    return a.join(lists, same_cell).select("anchor_id", F.posexplode(others).alias("pos", "c")).select(
-        "anchor_id", F.col("c.signal_id").alias("candidate_id"), (F.col("pos") + 1).alias("rank"),
-        F.col("c.same_pathogen").alias("same_pathogen"), F.col("c.same_disease").alias("same_disease"),
-        F.col("c.days").alias("days"),
+    # The anchor itself, where its own list has it, moves what follows up by one place.
+    met = a.join(lists, same_cell).select("anchor_id", F.array_position(F.col("near.signal_id"), F.col("anchor_id")).alias("own"), F.inline("near"))
+    place = F.col("rank") - F.when((F.col("own") > 0) & (F.col("rank") > F.col("own")), 1).otherwise(0)
+    return met.filter((F.col("rank") != F.col("own")) & (place <= k)).select(
+        "anchor_id", F.col("signal_id").alias("candidate_id"), place.cast("int").alias("rank"), "same_pathogen", "same_disease", "days"
     )
 
 
-def _nearest_in_group(cells: DataFrame, base: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """For each anchor cell, rows of its group that can be among the nearest ``reach`` by date."""
-    group = F.concat_ws("\u0001", *keys) if keys else F.lit("")
-    present = F.lit(True)
-    for key in keys:
-        present = present & F.col(key).isNotNull()
-    rows = base.filter(present).withColumn("g", group)
-    anchor = cells.filter(present).select(
-        group.alias("ag"), F.col("disease_id").alias("a_disease"), F.col("pathogen_id").alias("a_pathogen"), F.col("on").alias("a_on")
+def _groups() -> dict[str, Column]:
+    """Keys of the groups a row stands in, by level; null where it lacks the identity."""
+    p, d = F.col("pathogen_id"), F.col("disease_id")
+    # concat is null where a part is; the length keeps two ids apart.
+    return dict(zip(LEVELS, (
+        F.concat(F.lit(LEVELS[0]), F.length(p), F.lit(":"), p, d), F.concat(F.lit(LEVELS[1]), p), F.concat(F.lit(LEVELS[2]), d), F.lit(LEVELS[3]),
+    )))
+
+
+def _cells_with_groups(anchors: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """``(a_disease, a_pathogen, a_on, level, g)``: the groups each distinct anchor cell has to look into."""
+    pair_sizes = base.groupBy("disease_id", "pathogen_id").agg(F.count("*").alias("n_both"))
+    # One small row per pair of identities from here on.
+    disease_sizes = pair_sizes.groupBy("disease_id").agg(F.sum("n_both").alias("n_disease"))
+    pathogen_sizes = pair_sizes.groupBy("pathogen_id").agg(F.sum("n_both").alias("n_pathogen"))
+    cells = (
+        anchors.select("disease_id", "pathogen_id", "on")
+        .distinct()
+        .join(pair_sizes, ["disease_id", "pathogen_id"], "left")
+        .join(disease_sizes, "disease_id", "left")
+        .join(pathogen_sizes, "pathogen_id", "left")
+        .na.fill(0, ["n_both", "n_disease", "n_pathogen"])
     )
-    newest = [F.desc("created_at"), F.asc("signal_id")]
+    few = F.col("n_both") <= k
+    fewer = F.col("n_disease") + F.col("n_pathogen") - F.col("n_both") <= k
+    groups = _groups()
+    lacking = dict(zip(LEVELS, (F.lit(True), few, few, fewer)))
+    looks = F.array_compact(F.array(*[F.when(lacking[x] & groups[x].isNotNull(), F.struct(F.lit(x).alias("level"), groups[x].alias("g"))) for x in LEVELS]))
+    return cells.select(F.col("disease_id").alias("a_disease"), F.col("pathogen_id").alias("a_pathogen"), F.col("on").alias("a_on"), F.inline(looks))
 
-    def newest_rows(source: DataFrame, *by: str) -> DataFrame:
-        ranked = source.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*newest)))
-        return ranked.filter(F.col("rn") <= reach).drop("rn")
 
-    dated = newest_rows(rows.filter(F.col("on").isNotNull()), "g", "on")
+def _newest(rows: DataFrame, reach: int, *by: str) -> DataFrame:
+    """The newest ``reach`` rows by ``by``; a salted limit first, so a hot key's rows meet in many tasks."""
+    newest = [F.desc("created_at"), F.asc("signal_id")]
+    some = rows.withColumn("salt", F.pmod(F.xxhash64("signal_id"), F.lit(SALTS)))
+    for keys in ((*by, "salt"), by):
+        some = some.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).filter(F.col("rn") <= reach)
+    return some.drop("rn", "salt")
+
+
+def _nearest_in_groups(cells: DataFrame, base: DataFrame, reach: int) -> DataFrame:
+    """For each cell and group of ``cells``, the rows of the group that can be among its nearest ``reach`` by date."""
+    groups = _groups()
+    wanted = cells.select("g").distinct()
+    rows = base.withColumn("g", F.explode(F.array_compact(F.array(*groups.values())))).join(wanted, "g", "left_semi")
+    cut = materialised(_newest(rows, reach, "g", "on"), "nearest")
     # One row per (group, date) here, never one per signal.
-    line = dated.groupBy("g", "on").agg(F.count("*").alias("n")).withColumn(
+    line = cut.filter(F.col("on").isNotNull()).groupBy("g", "on").agg(F.count("*").alias("n")).withColumn(
         "end", F.sum("n").over(Window.partitionBy("g").orderBy("on"))
     )
     line = line.withColumn("bucket", F.floor(F.col("end") / reach).cast("bigint"))
-    placed = dated.join(line, ["g", "on"])
-    spot = line.select(F.col("g").alias("ag"), F.col("on").alias("a_on"), F.col("end").alias("a_end"), "bucket")
-    wanted = anchor.join(spot, ["ag", "a_on"]).withColumn(
-        "bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 2))
-    )
+    placed = cut.join(line, ["g", "on"])
+    spot = line.select("g", F.col("on").alias("a_on"), F.col("end").alias("a_end"), "bucket")
+    looking = cells.join(spot, ["g", "a_on"]).withColumn("bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 2)))
     within = (F.col("end") > F.col("a_end") - reach) & (F.col("end") - F.col("n") < F.col("a_end") + reach)
-    near = wanted.withColumnRenamed("ag", "g").join(placed, ["g", "bucket"]).filter(within)
-    columns = ["a_disease", "a_pathogen", "a_on", "signal_id", "disease_id", "pathogen_id", "on", "created_at"]
-    undated = newest_rows(rows.filter(F.col("on").isNull()), "g")
-    latest = newest_rows(rows, "g")
-    out = near.select(*columns)
-    # Undated rows rank after all dated ones; an undated anchor ranks by recency alone.
-    for side, extra in ((anchor.filter(F.col("a_on").isNotNull()), undated), (anchor.filter(F.col("a_on").isNull()), latest)):
-        out = out.unionByName(side.withColumnRenamed("ag", "g").join(extra, "g").select(*columns))
-    return out
+    columns = ["a_disease", "a_pathogen", "a_on", "level", "signal_id", "disease_id", "pathogen_id", "on", "created_at"]
+    near = looking.join(placed, ["g", "bucket"]).filter(within).select(*columns)
+    # Undated rows rank after all dated ones: only cells of groups with too few dated rows need them.
+    short = line.groupBy("g").agg(F.sum("n").alias("dated"))
+    lacking = cells.filter(F.col("a_on").isNotNull()).join(short, "g", "left").filter(F.coalesce("dated", F.lit(0)) < reach)
+    undated = lacking.join(cut.filter(F.col("on").isNull()), "g").select(*columns)
+    # An undated anchor ranks by recency alone.
+    blank = cells.filter(F.col("a_on").isNull())
+    latest = _newest(cut.join(blank.select("g").distinct(), "g", "left_semi"), reach, "g")
+    return near.unionByName(undated).unionByName(blank.join(latest, "g").select(*columns))
 
 
 def event_seed_signals(signals: DataFrame, raw: DataFrame, diseases: DataFrame, pathogens: DataFrame) -> DataFrame:

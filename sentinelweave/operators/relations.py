@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sentinelweave.functions.identity import uuid5
 from sentinelweave.operators.context import context_anchors
 from sentinelweave.operators.gates import current_eligible, yes
-from sentinelweave.operators.hydrate import candidates, foreign_owner
+from sentinelweave.operators.hydrate import candidates
 from sentinelweave.operators.matching import COMPONENTS, MatchConfig, auto_link_guard, match_features, match_pairs, with_features
+from sentinelweave.session import materialised
 
 # Relation classes and decisions a stored relation may carry.
 RELATIONS = ["supports", "duplicates", "refines", "contradicts", "possibly_related", "unrelated", "unknown"]
 DECISIONS = ["auto_linked", "review_required", "rejected"]
-MATCHER_VERSION = "0.4.8"
+MATCHER_VERSION, CONTEXT_RESOLVER_VERSION = "0.4.8", "0.4.9"
+#: What a stored relation tells of its match, with types.
+AUDIT = {
+    "matcher_version": "string", "gate": "string", "hard_conflict_reason": "string", "information_coverage": "double",
+    "component_scores": "struct<" + ",".join(f"{c}:double" for c in COMPONENTS) + ">", "base_decision": "string", "policy_version": "string",
+    "context_resolver_version": "string", "auto_link_guard_reason": "string", "auto_link_guard_override_reason": "string",
+    "shared_event_context_anchors": "array<string>", "source_event_context_anchors": "array<string>", "target_event_context_anchors": "array<string>",
+    "candidate_prefilter": "struct<rank:int,same_pathogen:boolean,same_disease:boolean,days:int>",
+}
 
 
 def match_anchors(
-    anchors: DataFrame, index: DataFrame, signals: DataFrame, raw: DataFrame, k: int = 250, cfg: MatchConfig = MatchConfig()
+    anchors: DataFrame, index: DataFrame, signals: DataFrame, raw: DataFrame, k: int = 250, cfg: MatchConfig = MatchConfig(), few: bool = False
 ) -> DataFrame:
     """Rank, score, decide and guard the candidates of every anchor in one job.
 
     ``index`` holds the narrow ranking columns of all signals, ``signals`` the nested
-    ones.  Features and context anchors are computed once per signal, not per pair.
+    ones.  Features and context anchors are computed once per signal, not per pair; with
+    ``few`` anchors (a micro-batch), only for the signals that their candidates name.
     """
     live = current_eligible(index)
-    mine = live.join(anchors.select("signal_id").distinct(), "signal_id", "left_semi")
-    ranked = candidates(mine, live, k)
+    ranked = candidates(live if anchors is index else live.join(anchors.select("signal_id").distinct(), "signal_id", "left_semi"), live, k)
     pairs = ranked.withColumns(
         {"source_id": F.least("anchor_id", "candidate_id"), "target_id": F.greatest("anchor_id", "candidate_id")}
     )
-    features = match_features(signals, cfg).join(context_anchors(signals, raw), "signal_id")
+    if few:
+        pairs = materialised(pairs, "pairs")
+        signals = signals.join(pairs.select(F.explode(F.array("source_id", "target_id")).alias("signal_id")).distinct(), "signal_id", "left_semi")
+    features = materialised(match_features(signals, cfg).join(context_anchors(signals, raw), "signal_id"), "features")
     a = features.select(F.col("signal_id").alias("source_id"), F.col("mf").alias("l"), F.col("context_anchors").alias("source_anchors"))
     b = features.select(F.col("signal_id").alias("target_id"), F.col("mf").alias("r"), F.col("context_anchors").alias("target_anchors"))
     return auto_link_guard(match_pairs(pairs.join(a, "source_id").join(b, "target_id"), cfg))
@@ -41,75 +53,103 @@ def match_listed_pairs(pairs: DataFrame, signals: DataFrame, cfg: MatchConfig =
     return match_pairs(with_features(pairs, match_features(signals, cfg)), cfg)
 
 
+def audited(rows: DataFrame) -> DataFrame:
+    """``rows`` with every audit column a stored relation carries; null, or an empty list, where nothing is known."""
+    have = set(rows.columns)
+    out = rows
+    if "component_scores" not in have and have >= set(COMPONENTS):
+        out = out.withColumn("component_scores", F.struct(*COMPONENTS))
+    for name, kind in AUDIT.items():
+        column = F.col(name) if name in out.columns else F.lit(None)
+        out = out.withColumn(name, F.coalesce(column.cast(kind), F.array().cast(kind)) if kind.startswith("array") else column.cast(kind))
+    return out
+
+
 def relation_batch(matches: DataFrame) -> DataFrame:
-    """Distinct eligible pairs of a matching run, ready to be stored.
+    """Distinct eligible pairs of a matching run with their audit columns, ready to be stored.
 
-    A pair met from both of its anchors has one symmetric result; one copy is kept.
+    A pair met from both of its anchors has one symmetric result; it keeps the candidate rank of the anchor that
+    ranks it better, the smaller anchor on a tie.
     """
-    keep = ["source_id", "target_id", "relation", "decision", "merge_allowed", "hard_conflict", "hard_conflict_reason", "score",
-            "information_coverage", "gate", *COMPONENTS, "base_decision", "policy_version", "auto_link_guard_reason",
-            "auto_link_guard_override_reason", "shared_event_context_anchors"]
-    return matches.filter(F.col("gate") == "eligible").select(*keep).dropDuplicates(["source_id", "target_id"])
+    out = matches.filter(F.col("gate") == "eligible").withColumns(
+        {"matcher_version": F.lit(MATCHER_VERSION), "context_resolver_version": F.lit(CONTEXT_RESOLVER_VERSION)}
+    )
+    for side in ("source", "target"):
+        if f"{side}_anchors" in out.columns:
+            out = out.withColumn(f"{side}_event_context_anchors", F.col(f"{side}_anchors"))
+    pair = ["source_id", "target_id"]
+    own = ["relation", "decision", "merge_allowed", "hard_conflict", "score"]
+    if "rank" not in matches.columns:
+        return audited(out).select(*pair, *own, *AUDIT)
+    out = audited(out.withColumn("candidate_prefilter", F.struct("rank", "same_pathogen", "same_disease", "days")))
+    best = F.min_by(F.struct(*own, *AUDIT), F.struct("rank", "anchor_id")).alias("r")
+    return out.groupBy(*pair).agg(best).select(*pair, "r.*")
 
 
-def batch_errors(batch: DataFrame, relations: DataFrame, current: DataFrame, producer: str = "matcher") -> DataFrame:
-    """Reasons a batch must not be stored; an empty result means it may."""
+def checked_batch(batch: DataFrame, relations: DataFrame, current: DataFrame, producer: str = "matcher") -> DataFrame:
+    """``batch`` with the first ``reason`` a row must not be stored for, null where it may; one pass over the batch."""
     pair = ["source_id", "target_id"]
+    flagged = lambda rows, flag, *names: rows.select(*names).distinct().withColumn(flag, F.lit(True))
+    foreign = flagged(relations.filter(~F.col("producer").eqNullSafe(F.lit(producer))), "__foreign", *pair, "relation")
+    source = flagged(current.withColumnRenamed("signal_id", "source_id"), "__source", "source_id")
+    target = flagged(current.withColumnRenamed("signal_id", "target_id"), "__target", "target_id")
+    out = (
+        batch.withColumn("__copies", F.count("*").over(Window.partitionBy(*pair)))
+        .join(foreign, [*pair, "relation"], "left").join(source, "source_id", "left").join(target, "target_id", "left")
+    )
+    reason = (
+        F.when(~yes(F.col("source_id") < F.col("target_id")), "not_canonical")
+        .when(~F.col("gate").eqNullSafe(F.lit("eligible")), "not_eligible")
+        .when(~yes(F.col("relation").isin(RELATIONS)), "invalid_relation")
+        .when(~yes(F.col("decision").isin(DECISIONS)), "invalid_decision")
+        .when(~F.coalesce(F.col("score").between(0, 1), F.lit(True)), "invalid_score")
+        .when(F.col("__copies") > 1, "duplicate_pair").when(F.col("__foreign").isNotNull(), "foreign_owner")
+        .when(F.col("__source").isNull() | F.col("__target").isNull(), "stale_endpoint")
+    )
+    return out.withColumn("reason", reason).select(*batch.columns, "reason")
 
-    def why(df: DataFrame, reason: str) -> DataFrame:
-        return df.select(*pair, F.lit(reason).alias("reason"))
-
-    ids = current.select("signal_id")
-    checks = [
-        why(batch.filter(F.col("source_id") >= F.col("target_id")), "not_canonical"),
-        why(batch.filter(~F.col("gate").eqNullSafe(F.lit("eligible"))), "not_eligible"),
-        why(batch.filter(~yes(F.col("relation").isin(RELATIONS))), "invalid_relation"),
-        why(batch.filter(~yes(F.col("decision").isin(DECISIONS))), "invalid_decision"),
-        why(batch.filter(~F.coalesce(F.col("score").between(0, 1), F.lit(True))), "invalid_score"),
-        why(batch.groupBy(*pair).count().filter("count > 1"), "duplicate_pair"),
-        why(foreign_owner(batch, relations, producer), "foreign_owner"),
-        why(batch.join(ids.withColumnRenamed("signal_id", "source_id"), "source_id", "left_anti"), "stale_endpoint"),
-        why(batch.join(ids.withColumnRenamed("signal_id", "target_id"), "target_id", "left_anti"), "stale_endpoint"),
-    ]
-    out = checks[0]
-    for check in checks[1:]:
-        out = out.unionByName(check)
-    return out
+
+def batch_errors(batch: DataFrame, relations: DataFrame, current: DataFrame, producer: str = "matcher") -> DataFrame:
+    """``(source_id, target_id, reason)`` of the rows that must not be stored; an empty result means the batch may."""
+    return checked_batch(batch, relations, current, producer).filter("reason is not null").select("source_id", "target_id", "reason")
 
 
-def upsert_relations(batch: DataFrame, relations: DataFrame, current: DataFrame, producer: str = "matcher", strict: bool = True) -> DataFrame:
+def all_or_nothing(checked: DataFrame, what: str = "relation batch") -> DataFrame:
+    """``checked`` without its ``reason``; the job that reads a row with one fails, and its writer commits nothing.
+
+    The check stands in the plan of the rows themselves, so what is written and what was checked cannot part.
+    """
+    stop = F.raise_error(F.concat(F.lit(f"{what} rejected: "), F.col("reason"))).cast("boolean")
+    return checked.filter(F.when(F.col("reason").isNotNull(), stop).otherwise(F.lit(True))).drop("reason")
+
+
+def upsert_relations(batch: DataFrame, relations: DataFrame, current: DataFrame, producer: str = "matcher") -> DataFrame:
     """The relation table after storing a batch, with an ``action`` per row.
 
     One row per pair and producer: the oldest id survives, extra rows of the same pair
-    go, everything else is kept.  All or nothing: a batch with any error raises.
-    Scores are stored with three decimals, the full value in ``raw_score``.  A pair keeps the
-    creation time of its oldest row; a new one gets that of ``batch`` (now where it has none).
+    go, everything else is kept.  All or nothing: reading the result of a batch with any error fails.
+    Scores are stored with three decimals, the full value in ``raw_score``; every audit column of the match is
+    stored.  A pair keeps the creation time of its oldest row; a new one gets that of ``batch`` (now where it has none).
+    The batch is computed once and staged; one full outer join with the producer's own rows stores it.
     """
-    if strict:
-        first = batch_errors(batch, relations, current, producer).limit(1).collect()
-        if first:
-            raise ValueError(f"relation batch rejected: {first[0]['reason']}")
     pair = ["source_id", "target_id"]
-    own = relations.filter(F.col("producer") == producer)
-    oldest = own.groupBy(*pair).agg(F.min_by("relation_id", F.struct("created_at", "relation_id")).alias("old_id"), F.min("created_at").alias("old_at"))
-    shape = ["relation_id", *pair, "relation", "decision", "merge_allowed", "hard_conflict", "score", "raw_score", "producer", "created_at", "action"]
-    fresh = F.col("__new_at") if "created_at" in batch.columns else F.current_timestamp()
-    batch = batch.withColumnRenamed("created_at", "__new_at")
-    stored = (
-        batch.join(oldest, pair, "left")
-        .withColumns(
-            {
-                "relation_id": F.coalesce("old_id", uuid5(F.concat_ws(":", F.lit(producer), *pair))),
-                "action": F.when(F.col("old_id").isNull(), "inserted").otherwise("updated"),
-                "raw_score": F.col("score").cast("double"),
-                "score": F.col("score").cast("decimal(4,3)").cast("double"),
-                "producer": F.lit(producer),
-                "created_at": F.coalesce("old_at", fresh),
-            }
-        )
-        .select(*shape)
-    )
-    rest = relations.join(batch.select(*pair, F.lit(producer).alias("producer")), [*pair, "producer"], "left_anti")
-    kept = rest.select(*[F.col(c) for c in shape if c not in ("raw_score", "action")],
-                       F.col("score").cast("double").alias("raw_score"), F.lit("kept").alias("action")).select(*shape)
-    return stored.unionByName(kept)
+    shape = ["relation_id", *pair, "relation", "decision", "merge_allowed", "hard_conflict", "score", "raw_score", "producer", "created_at", *AUDIT]
+    values = [c for c in shape if c not in (*pair, "producer")]
+    batch_at = F.col("created_at") if "created_at" in batch.columns else F.current_timestamp()
+    staged = materialised(audited(batch).withColumn("created_at", batch_at), "relation-batch")
+    sound = all_or_nothing(checked_batch(staged, relations, current, producer))
+    new = sound.withColumns({"relation_id": uuid5(F.concat_ws(":", F.lit(producer), *pair)), "raw_score": F.col("score").cast("double"),
+                             "score": F.col("score").cast("decimal(4,3)").cast("double")}).select(*pair, F.struct(*values).alias("n"))
+    raw = F.col("raw_score") if "raw_score" in relations.columns else F.col("score")
+    old = audited(relations).withColumns({"raw_score": raw.cast("double"), "score": F.col("score").cast("double")}).select(*shape)
+    mine = F.col("producer").eqNullSafe(F.lit(producer))
+    age = Window.partitionBy(*pair).orderBy("created_at", "relation_id")
+    own = old.filter(mine).withColumn("place", F.row_number().over(age)).select(*pair, "place", F.struct(*values).alias("o"))
+    joined = own.join(new, pair, "full_outer").filter(F.col("n").isNull() | F.coalesce(F.col("place") == 1, F.lit(True)))
+    lasting = ("relation_id", "created_at")
+    picked = [
+        (F.coalesce(f"o.{c}", f"n.{c}") if c in lasting else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c) for c in values
+    ]
+    action = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "inserted").otherwise("updated")
+    stored = joined.select(*pair, *picked, F.lit(producer).alias("producer"), action.alias("action"))
+    return stored.select(*shape, "action").unionByName(old.filter(~mine).withColumn("action", F.lit("kept")))

@@ -210,16 +210,20 @@ def _(spark, sf):
     return AS.assignment_summary(guarded_plans(spark, sf))
 
 
+# An attachment that fails its checks would fail the whole batch, so the query takes those out first.
 @query(
     "as5_apply_attachments",
-    """select action, match_decision, count(*) as n from (
-      select 'kept' as action, m.match_decision from {mem} m where not exists (select 1 from good g where g.event_id = m.event_id and g.signal_id = m.signal_id)
-      union all select case when exists (select 1 from {mem} m where g.event_id = m.event_id and g.signal_id = m.signal_id) then 'updated' else 'inserted' end, 'auto_linked' from good g) q group by action, match_decision""",
-    PLAN + """, att as (select relation_id, case when reason = 'source_already_has_event' then target_id else source_id end as signal_id, coalesce(se, te) as event_id, merge_allowed, relation, producer from p5 where reason in ('source_already_has_event', 'target_already_has_event')),
+    """select m.event_id, m.signal_id, m.match_decision, m.producer, cast(null as varchar) as relation_to_event, cast(null as double) as match_score, 'kept' as action
+      from {mem} m where not exists (select 1 from good g where g.event_id = m.event_id and g.signal_id = m.signal_id)
+    union all select g.event_id, g.signal_id, 'auto_linked', 'matcher', g.relation, cast(g.score as double),
+      case when exists (select 1 from {mem} m where g.event_id = m.event_id and g.signal_id = m.signal_id) then 'updated' else 'inserted' end from good g""",
+    PLAN + """, att as (select relation_id, case when reason = 'source_already_has_event' then target_id else source_id end as signal_id, coalesce(se, te) as event_id, merge_allowed, relation, producer, score from p5 where reason in ('source_already_has_event', 'target_already_has_event')),
     good as (select * from (select *, count(*) over (partition by event_id, signal_id) as copies from att) a where copies = 1 and merge_allowed and relation in ('duplicates', 'refines') and producer = 'matcher'
       and exists (select 1 from {sig_eligible} s where s.signal_id = a.signal_id and s.is_current and s.event_matching_eligible) and not exists (select 1 from {mem} m where m.signal_id = a.signal_id))""",
 )
 def _(spark, sf):
     live = current_eligible(view(spark, sf, "sig_eligible"))
-    out = AS.apply_attachments(guarded_plans(spark, sf), view(spark, sf, "rel"), view(spark, sf, "evt"), view(spark, sf, "mem"), live, strict=False)
-    return out.groupBy("action", "match_decision").agg(F.count("*").alias("n"))
+    tables = view(spark, sf, "rel"), view(spark, sf, "evt"), view(spark, sf, "mem"), live
+    plans = guarded_plans(spark, sf)
+    failing = AS.attachment_errors(AS.attachments(plans), *tables).select("relation_id").distinct()
+    return AS.apply_attachments(plans.join(failing, "relation_id", "left_anti"), *tables)

@@ -8,7 +8,7 @@ from sentinelweave.operators import hydrate as H
 from sentinelweave.operators import matching as M
 from sentinelweave.operators.context import context_anchors
 from sentinelweave.operators.gates import current_eligible, manifest_eligible
-from sentinelweave.operators.relations import batch_errors, match_anchors, match_listed_pairs, relation_batch, upsert_relations
+from sentinelweave.operators.relations import match_anchors, match_listed_pairs, relation_batch, upsert_relations
 from sentinelweave.plans.nested import nested_signals, signal_rows
 from sentinelweave.plans.registry import query
 from sentinelweave.plans.views import view
@@ -179,12 +179,7 @@ GUARDED = """, guarded as (select d.*, a.anchor as sa, b.anchor as ta,
     REL_PAIRS + CONTEXT + GUARDED,
 )
 def _(spark, sf):
-    signals = nested_signals(spark, sf)
-    anchors = context_anchors(signals, view(spark, sf, "raw_text"))
-    a = anchors.select(F.col("signal_id").alias("source_id"), F.col("context_anchors").alias("source_anchors"))
-    b = anchors.select(F.col("signal_id").alias("target_id"), F.col("context_anchors").alias("target_anchors"))
-    out = M.auto_link_guard(rel_matches(spark, sf).join(a, "source_id").join(b, "target_id"))
-    return out.select("relation_id", "base_decision", "decision", "auto_link_guard_reason", F.col("auto_link_guard_override_reason").alias("override_reason"))
+    return guarded_matches(spark, sf).select("relation_id", "base_decision", "decision", "auto_link_guard_reason", F.col("auto_link_guard_override_reason").alias("override_reason"))
 
 
 # Documents with paragraphs about a named vessel, an anaphoric paragraph and a context reset.
@@ -233,7 +228,7 @@ def anchor_matches(spark, sf):
     return match_anchors(index, index, nested_signals(spark, sf), view(spark, sf, "raw_text"))
 
 
-_ANCHOR_PAIRS = (
+ANCHOR_PAIRS = (
     CANDIDATES.lstrip(", ") + ", "
     + pair_ctes("select anchor_id, candidate_id, rank, least(anchor_id, candidate_id) as source_id, greatest(anchor_id, candidate_id) as target_id from near").replace("from pairs p join place a", "from (select distinct source_id, target_id from pairs) p join place a")
     + CONTEXT + GUARDED
@@ -244,7 +239,7 @@ _ANCHOR_PAIRS = (
     "mt14_match_anchors",
     """select anchor_id, rank, source_id, target_id, case when ok then 'eligible' else 'ineligible' end as gate, score, coverage as information_coverage, relation,
       case when guard is null then decision else 'review_required' end as decision, merge_allowed, reason as hard_conflict_reason from guarded""",
-    _ANCHOR_PAIRS,
+    ANCHOR_PAIRS,
 )
 def _(spark, sf):
     return anchor_matches(spark, sf).select(
@@ -258,7 +253,7 @@ def _(spark, sf):
       count(*) filter (where d = 'rejected') as rejected, count(*) filter (where not ok) as ineligible, count(*) filter (where reason is not null) as hard_conflicts,
       count(*) filter (where ok) as persistable, count(*) filter (where not ok) as skipped
     from (select *, case when guard is null then decision else 'review_required' end as d from guarded) q group by anchor_id""",
-    _ANCHOR_PAIRS,
+    ANCHOR_PAIRS,
 )
 def _(spark, sf):
     return M.match_summary(anchor_matches(spark, sf))
@@ -271,25 +266,43 @@ def stored_relations(spark, sf):
     )
 
 
+def guarded_matches(spark, sf):
+    """The stored pairs scored again, with the guard on automatic links."""
+    anchors = context_anchors(nested_signals(spark, sf), view(spark, sf, "raw_text"))
+    a = anchors.select(F.col("signal_id").alias("source_id"), F.col("context_anchors").alias("source_anchors"))
+    b = anchors.select(F.col("signal_id").alias("target_id"), F.col("context_anchors").alias("target_anchors"))
+    return M.auto_link_guard(rel_matches(spark, sf).join(a, "source_id").join(b, "target_id"))
+
+
+# A pair whose relation another producer owns would fail the whole batch, so the query leaves it out first.
 @query(
     "mt16_upsert_relations",
     """select case when o.relation_id is null then 'new' else o.relation_id end as relation_id, b.source_id, b.target_id, b.relation, b.decision, b.merge_allowed, b.hard_conflict,
-      cast(cast(round(b.score, 3) as decimal(4, 3)) as double) as score, b.score as raw_score, 'matcher' as producer, case when o.relation_id is null then 'inserted' else 'updated' end as action
+      cast(round(cast(b.score as decimal(12, 6)), 3) as double) as score, b.score as raw_score, 'matcher' as producer, case when o.relation_id is null then 'inserted' else 'updated' end as action,
+      'eligible' as gate, b.reason as hard_conflict_reason, b.coverage as information_coverage, round(b.etiology, 6) as etiology, b.base as base_decision, '0.4.9' as policy_version, '0.4.8' as matcher_version, b.guard as auto_link_guard_reason,
+      b.override as override_reason, case when b.override is not null then b.sa else '' end as shared_anchors, b.sa as source_anchors, b.ta as target_anchors
     from batch b left join own o on o.source_id = b.source_id and o.target_id = b.target_id
     union all
-    select r.relation_id, r.source_id, r.target_id, r.relation, r.decision, r.merge_allowed, r.hard_conflict, cast(r.score as double), cast(r.score as double), r.producer, 'kept'
+    select r.relation_id, r.source_id, r.target_id, r.relation, r.decision, r.merge_allowed, r.hard_conflict, cast(r.score as double), cast(r.score as double), r.producer, 'kept',
+      r.gate, null, null, null, null, null, null, null, null, '', '', ''
     from {rel} r left join batch b on b.source_id = r.source_id and b.target_id = r.target_id and r.producer = 'matcher' where b.source_id is null""",
-    REL_PAIRS + """, batch as (select source_id, target_id, relation, decision, merge_allowed, reason is not null as hard_conflict, score from decided where ok),
+    REL_PAIRS + CONTEXT + GUARDED + """, batch as (select g.source_id, g.target_id, g.relation, g.decision as base, case when guard is null then g.decision else 'review_required' end as decision, g.merge_allowed, reason is not null as hard_conflict, g.score,
+      reason, coverage, etiology, guard, sa, ta, case when g.decision = 'auto_linked' and coverage < 0.5 and guard is null then 'shared_strong_event_context_anchor' end as override
+      from guarded g where ok and not exists (select 1 from {rel} f where f.source_id = g.source_id and f.target_id = g.target_id and f.relation = g.relation and f.producer <> 'matcher')),
     own as (select * from {rel} where producer = 'matcher')""",
 )
 def _(spark, sf):
     stored = stored_relations(spark, sf)
-    pairs = stored.select("source_id", "target_id")
-    signals = nested_signals(spark, sf)
-    batch = match_listed_pairs(pairs, signals).filter(F.col("gate") == "eligible")
-    out = upsert_relations(batch, stored, signals.select("signal_id"), strict=False).drop("created_at")
-    fresh = F.when(F.col("action") == "inserted", F.lit("new")).otherwise(F.col("relation_id"))
-    return out.withColumn("relation_id", fresh)
+    batch = relation_batch(guarded_matches(spark, sf))
+    batch = batch.join(H.foreign_owner(batch, stored).select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
+    out = upsert_relations(batch, stored, nested_signals(spark, sf).select("signal_id"))
+    joined = lambda c: F.array_join(c, "|")
+    return out.select(
+        F.when(F.col("action") == "inserted", F.lit("new")).otherwise(F.col("relation_id")).alias("relation_id"), "source_id", "target_id", "relation", "decision", "merge_allowed",
+        "hard_conflict", "score", "raw_score", "producer", "action", "gate", "hard_conflict_reason", "information_coverage", F.col("component_scores.etiology").alias("etiology"), "base_decision",
+        "policy_version", "matcher_version", "auto_link_guard_reason", F.col("auto_link_guard_override_reason").alias("override_reason"),
+        joined("shared_event_context_anchors").alias("shared_anchors"), joined("source_event_context_anchors").alias("source_anchors"), joined("target_event_context_anchors").alias("target_anchors"),
+    )
 
 
 @query(

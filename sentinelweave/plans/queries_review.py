@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from sentinelweave.functions.text import paragraphs
 from sentinelweave.operators import review as R
+from sentinelweave.operators.ingest import KEY, merge_arrivals
+from sentinelweave.operators.relations import upsert_relations
 from sentinelweave.plans.nested import nested_claims, nested_signals
 from sentinelweave.plans.queries_assembly import FOLD, folded
-from sentinelweave.plans.queries_matching import live_index
+from sentinelweave.plans.queries_matching import ANCHOR_PAIRS, live_index
 from sentinelweave.plans.registry import query
 from sentinelweave.plans.views import view
 from sentinelweave.streaming import streams
@@ -87,48 +89,50 @@ def _(spark, sf):
     return bad.select("review_id", F.array_join("broken", ",").alias("broken"))
 
 
-def _stream_documents(spark, sf):
-    raw = spark.readStream.schema(view(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+def _stream_documents(spark, sf, folder):
+    """The documents as at least four micro-batches."""
     n = F.col("doc_id")
-    return raw.select(
+    rows = view(spark, sf, "documents").select(
         n.alias("arrival"), F.concat(F.lit("src"), (n % 5).cast("string")).alias("source_code"), F.concat(F.lit("https://example.org/a/"), (n % 97).cast("string")).alias("url"),
         F.when(n % 4 != 0, F.concat(F.lit("Title "), (n % 11).cast("string"))).alias("title"), F.lit(None).cast("date").alias("published_on"), F.col("lang").alias("language"),
         F.when(n % 5 != 1, "text/html").alias("mime_type"), F.col("text").alias("raw_text"), F.timestamp_seconds(n * 60).alias("seen_at"),
         F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"),
     )
+    return streams.in_parts(rows, folder, 4, "arrival")
 
 
-RAW_TABLE = (
-    "raw_item_id string, source_code string, content_sha256 string, url string, title string, published_on date, language string, mime_type string, raw_text string, "
-    "retrieved_at timestamp, metadata map<string,string>, action string, arrivals long"
-)
+STORED_ITEMS = "raw_item_id string, source_code string, content_sha256 string, url string, title string, published_on date, language string, mime_type string, raw_text string, retrieved_at timestamp, metadata map<string,string>"
 
 
 @query(
     "st1_stream_raw_items",
-    r"""select source_code, content_sha256, url, title, arrivals from (select 'src' || cast(doc_id % 5 as string) as source_code, sha256(t) as content_sha256, arg_max('https://example.org/a/' || cast(doc_id % 97 as string), doc_id) as url,
-      arg_max(case when doc_id % 4 <> 0 then 'Title ' || cast(doc_id % 11 as string) end, doc_id) filter (doc_id % 4 <> 0) as title, count(*) as arrivals
-      from (select doc_id, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) as t from {documents}) q where t <> '' group by doc_id % 5, t) r""",
+    r"""select source_code, content_sha256, url, title, arrivals, md5(raw_text) as text_md5 from (select 'src' || cast(doc_id % 5 as string) as source_code, sha256(t) as content_sha256, arg_max('https://example.org/a/' || cast(doc_id % 97 as string), doc_id) as url,
+      arg_max(case when doc_id % 4 <> 0 then 'Title ' || cast(doc_id % 11 as string) end, doc_id) filter (doc_id % 4 <> 0) as title, count(*) as arrivals, arg_min(text, doc_id) as raw_text
+      from (select doc_id, text, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) as t from {documents}) q where t <> '' group by doc_id % 5, t) r""",
 )
 def _(spark, sf):
     folder = streams.run_folder(spark)
-    empty = spark.createDataFrame([], RAW_TABLE)
-    table = streams.SnapshotTable(spark, folder + "/raw_items", empty)
+    documents = _stream_documents(spark, sf, folder + "/arrivals")
     sources = view(spark, sf, "doc").select("source_code").distinct().withColumn("is_active", F.lit(True))
-    streams.stream_raw_items(_stream_documents(spark, sf), table, sources, folder + "/checkpoint").awaitTermination()
-    return table.read().select("source_code", "content_sha256", "url", "title", "arrivals")
+    log = streams.ChangeLog(spark, folder + "/items", streams.arrivals_schema(documents, sources))
+    streams.stream_raw_items(documents, log, sources, folder + "/checkpoint").awaitTermination()
+    table = merge_arrivals(log.newest(*KEY), spark.createDataFrame([], STORED_ITEMS))
+    return table.select("source_code", "content_sha256", "url", "title", "arrivals", F.md5("raw_text").alias("text_md5"))
 
 
-REL_TABLE = (
-    "relation_id string, source_id string, target_id string, relation string, decision string, merge_allowed boolean, hard_conflict boolean, score double, raw_score double, producer string, created_at timestamp, action string"
+@query(
+    "st2_stream_matches",
+    """select distinct source_id, target_id, relation, case when guard is null then decision else 'review_required' end as decision,
+      cast(round(cast(score as decimal(12, 6)), 3) as double) as score, score as raw_score, coverage as information_coverage, guard as auto_link_guard_reason, 'inserted' as action
+    from guarded where ok""",
+    ANCHOR_PAIRS,
 )
-
-
-@query("st2_stream_matches")
 def _(spark, sf):
     folder = streams.run_folder(spark)
-    table = streams.SnapshotTable(spark, folder + "/relations", spark.createDataFrame([], REL_TABLE))
     index, signals, raw = live_index(spark, sf), nested_signals(spark, sf), view(spark, sf, "raw_text")
-    arrivals = spark.readStream.schema(view(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(F.col("event_id").cast("string").alias("signal_id"))
-    streams.stream_matches(arrivals, lambda: index, lambda: signals, lambda: raw, table, folder + "/checkpoint").awaitTermination()
-    return table.read().select("source_id", "target_id", "relation", "decision", "score", "action")
+    empty = spark.createDataFrame([], "source_id string, target_id string, relation string, producer string, relation_id string, created_at timestamp, score double, decision string, merge_allowed boolean, hard_conflict boolean")
+    arrivals = streams.in_parts(view(spark, sf, "events").select(F.col("event_id").cast("string").alias("signal_id")), folder + "/arrivals", 3, "signal_id")
+    log = streams.ChangeLog(spark, folder + "/relations", streams.RELATION_ROWS)
+    streams.stream_matches(arrivals, lambda: index, lambda: signals, lambda: raw, log, empty, folder + "/checkpoint").awaitTermination()
+    table = upsert_relations(streams.newest_relations(log), empty, index.select("signal_id"))
+    return table.select("source_id", "target_id", "relation", "decision", "score", "raw_score", "information_coverage", "auto_link_guard_reason", "action")
