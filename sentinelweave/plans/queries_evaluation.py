@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sentinelweave.operators import assembly as A
+from sentinelweave.functions.text import TEXT_LABELS_V045, TEXT_LABELS_V046
 from sentinelweave.operators import evaluation as E
 from sentinelweave.operators.relations import match_listed_pairs
 from sentinelweave.plans.nested import nested_claims, nested_reference, nested_signals
@@ -22,6 +22,11 @@ def pairs(spark, sf, version="0.4.7"):
     return E.pair_components(features(spark, sf, "gold", version), features(spark, sf, "pred", version), version)
 
 
+def near_pairs(spark, sf, version="0.4.7"):
+    """The pairs a matching chooses from."""
+    return E.reachable_pairs(features(spark, sf, "gold", version), features(spark, sf, "pred", version), version)
+
+
 def _eq(a: str) -> str:
     return f"cast(g.{a} is not distinct from p.{a} as double)"
 
@@ -85,41 +90,76 @@ def _(spark, sf):
 
 
 # Greedy: the best remaining pair of a document is taken again and again.
-GREEDY = """rk as (select doc, g, p, score, row_number() over (partition by doc order by score desc, g, p) as o from sc where score >= 0.55),
-walk as (select doc, 0 as o, cast([] as integer[]) as ug, cast([] as integer[]) as up from (select distinct doc from rk) d
+def _greedy_sql(tag: str, source: str, score: str, least: float) -> str:
+    return f"""rk{tag} as (select doc, g, p, {score} as score, row_number() over (partition by doc order by {score} desc, g, p) as o from {source} where {score} >= {least}),
+walk{tag} as (select doc, 0 as o, cast([] as integer[]) as ug, cast([] as integer[]) as up from (select distinct doc from rk{tag}) d
   union all select w.doc, r.o, case when list_contains(w.ug, r.g) or list_contains(w.up, r.p) then w.ug else w.ug || [r.g] end, case when list_contains(w.ug, r.g) or list_contains(w.up, r.p) then w.up else w.up || [r.p] end
-  from walk w join rk r on r.doc = w.doc and r.o = w.o + 1),
-last as (select doc, arg_max(ug, o) as ug, arg_max(up, o) as up from walk group by doc)"""
+  from walk{tag} w join rk{tag} r on r.doc = w.doc and r.o = w.o + 1),
+last{tag} as (select doc, arg_max(ug, o) as ug, arg_max(up, o) as up from walk{tag} group by doc)"""
+
+
+GREEDY = _greedy_sql("", "sc", "score", 0.55)
+# Exact: every way to give the gold signals of a document different predictions, or none; the best total, then the least pairs.
+EXACT = """gl as (select doc, g, row_number() over (partition by doc order by g) as k, list(struct_pack(p := p, s := score) order by p) as opts from sc where score >= 0.55 group by doc, g),
+ways as (select doc, cast(0 as bigint) as k, cast([] as integer[]) as up, cast([] as struct(g integer, p integer, s double)[]) as m, cast(0 as double) as total from (select distinct doc from gl) d
+  union all select x.doc, x.k, case when o.p is null then x.up else x.up || [o.p] end, case when o.p is null then x.m else x.m || [struct_pack(g := x.g, p := o.p, s := o.s)] end, x.total + coalesce(o.s, 0)
+  from (select w.doc, l.k, l.g, w.up, w.m, w.total, unnest(l.opts || [struct_pack(p := cast(null as integer), s := cast(null as double))]) as o from ways w join gl l on l.doc = w.doc and l.k = w.k + 1) x
+  where o.p is null or not list_contains(x.up, o.p)),
+best as (select doc, unnest(m) as x from (select w.doc, w.m, row_number() over (partition by w.doc order by round(w.total, 9) desc, w.m) as rn from ways w join (select doc, max(k) as n from gl group by doc) f on f.doc = w.doc and f.n = w.k) q where rn = 1)"""
 
 
 @query("ev06_match_greedy", "select l.doc, unnest(ug) as g, unnest(up) as p from last l", PAIRS + ",\n" + GREEDY)
 def _(spark, sf):
-    return E.match_greedy(pairs(spark, sf)).select("doc", "g", "p")
+    return E.match_greedy(near_pairs(spark, sf)).select("doc", "g", "p")
 
 
 def matched(spark, sf, version="0.4.7"):
-    return E.match_exact(pairs(spark, sf, version))
+    return E.match_exact(near_pairs(spark, sf, version))
 
 
-@query("ev07_match_exact")
+@query("ev07_match_exact", "select doc, x.g as g, x.p as p, x.s as score from best", PAIRS + ",\n" + EXACT)
 def _(spark, sf):
     return matched(spark, sf).select("doc", "g", "p", "score")
 
 
-def _sql_quotes(side: str) -> str:
-    return f"""select doc, idx, case when evidence_type in ('quote', 'text', 'excerpt', 'document_text') then 'text' else evidence_type end as ty, {sql_norm('evidence_text')} as t, {sql_tokens('evidence_text')} as a,
-  list_filter({sql_tokens('evidence_text')}, lambda x: x not in ({STOP}) and length(x) > 1) as c from {{{side}}}"""
+def _sql_quotes(side: str, version: str = "0.4.7") -> str:
+    labels = TEXT_LABELS_V045 if version == "0.4.5" else TEXT_LABELS_V046
+    return f"""select doc, idx, case when evidence_type in ({', '.join(f"'{x}'" for x in labels)}) then 'text' else evidence_type end as ty, {_words('evidence_text')} from {{{side}}}"""
 
 
-QUOTES = f"""gq as ({_sql_quotes('gold')}), pq as ({_sql_quotes('pred')}),
-qs as (select g.doc, g.idx as g, p.idx as p, g.t as gt, p.t as pt, case when g.ty <> p.ty then 0.0 when g.t = p.t then 1.0
-  when (len(list_filter(g.a, lambda x: x in ({NEGATIONS}))) > 0) <> (len(list_filter(p.a, lambda x: x in ({NEGATIONS}))) > 0) then 0.0
+def _words(c: str) -> str:
+    return f"{sql_norm(c)} as t, {sql_tokens(c)} as a, list_filter({sql_tokens(c)}, lambda x: x not in ({STOP}) and length(x) > 1) as c"
+
+
+def _numbers(side: str) -> str:
+    return f"list_filter({side}.a, lambda x: regexp_full_match(x, '[0-9]+'))"
+
+
+def _negated(side: str) -> str:
+    return f"(len(list_filter({side}.a, lambda x: x in ({NEGATIONS}))) > 0)"
+
+
+SIMILAR = f"""case when g.ty <> p.ty then 0.0 when g.t = p.t then 1.0
+  when {_negated('g')} <> {_negated('p')} then 0.0
   when length(g.t) <= length(p.t) and contains(p.t, g.t) and (len(g.c) >= 3 or length(g.t) >= 24) then 1.0
   when length(g.t) > length(p.t) and contains(g.t, p.t) and (len(p.c) >= 3 or length(p.t) >= 24) then 1.0
-  when len(list_filter(g.a, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 and len(list_filter(p.a, lambda x: regexp_full_match(x, '[0-9]+'))) > 0
-    and len(list_intersect(list_filter(g.a, lambda x: regexp_full_match(x, '[0-9]+')), list_filter(p.a, lambda x: regexp_full_match(x, '[0-9]+')))) = 0 then 0.0
-  when len(list_intersect(g.c, p.c)) < 3 then 0.0 else round(2.0 * len(list_intersect(g.c, p.c)) / (len(g.c) + len(p.c)), 6) end as similarity
-  from gq g join pq p on p.doc = g.doc)"""
+  when len({_numbers('g')}) > 0 and len({_numbers('p')}) > 0 and len(list_intersect({_numbers('g')}, {_numbers('p')})) = 0 then 0.0
+  when len(list_intersect(g.c, p.c)) < 3 then 0.0 else round(2.0 * len(list_intersect(g.c, p.c)) / (len(g.c) + len(p.c)), 6) end"""
+FRAGMENT = f"""(g.ty = p.ty and {_negated('g')} = {_negated('p')} and list_sort({_numbers('g')}) = list_sort({_numbers('p')}) and len(g.c) > 0 and len(p.c) > 0 and least(len(g.c), len(p.c)) <= 2
+  and case when len(g.c) <= len(p.c) then list_has_all(p.c, g.c) else list_has_all(g.c, p.c) end)"""
+QUOTES = f"""gq as ({_sql_quotes('gold')}), pq as ({_sql_quotes('pred')}),
+qs as (select g.doc, g.idx as g, p.idx as p, g.t as gt, p.t as pt, cast(g.ty = p.ty and g.t = p.t as double) as exact, {SIMILAR} as similarity from gq g join pq p on p.doc = g.doc)"""
+QUOTES_045 = f"""gq45 as ({_sql_quotes('gold', '0.4.5')}), pq45 as ({_sql_quotes('pred', '0.4.5')}),
+qs45 as (select g.doc, g.idx as g, p.idx as p, {SIMILAR} as similarity from gq45 g join pq45 p on p.doc = g.doc)"""
+# Clauses of compound gold quotations, each against every prediction of the document.
+_SPLIT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(evidence_text), '\s*;\s*', chr(1), 'g'), '\s*:\s*', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'),
+  ',\s*(\d)', chr(1) || '\1', 'g'), '\s+(?:y|e)\s+(\d|(?:no|sin)\b)', chr(1) || '\1', 'gi')"""
+CLAUSES = f"""gs as (select doc, idx, ty0, parts, len(parts) as n from (select doc, idx, evidence_type as ty0,
+    list_filter(list_transform(string_split({_SPLIT}, chr(1)), lambda p: trim(p, ' ' || chr(9) || chr(13) || chr(10) || ',;:.')), lambda p: p <> '') as parts from {{gold}}) q),
+gc as (select doc, idx, k, case when ty0 in ('text', 'quote', 'excerpt', 'document_text') then 'text' else ty0 end as ty, {_words('raw')} from (select doc, idx, ty0, unnest(parts) as raw, generate_subscripts(parts, 1) as k from gs where n >= 2) q),
+met as (select g.doc, g.idx as g, g.k, p.idx as p, {SIMILAR} >= 0.7 or {FRAGMENT} as ok from gc g join pq p on p.doc = g.doc),
+wh as (select q.doc, q.g, q.p, (s.n < 2 or contains(q.pt, q.gt)) and q.similarity >= 0.7 as ok from qs q join gs s on s.doc = q.doc and s.idx = q.g),
+s47 as (select w.doc, w.g, w.p, cast(w.ok or coalesce(e.ok, false) as double) as support from wh w left join (select doc, g, p, bool_and(ok) as ok from met group by doc, g, p) e on e.doc = w.doc and e.g = w.g and e.p = w.p)"""
 
 
 @query("ev08_evidence_similarity", "select doc, g, p, cast(similarity as double) as similarity from qs", QUOTES)
@@ -140,16 +180,51 @@ def _(spark, sf):
     return supports(spark, sf, "0.4.6")
 
 
-@query("ev09_evidence_support_v045")
+@query("ev09_evidence_support_v045", "select doc, g, p, case when similarity >= 0.7 then 1.0 else 0.0 end as support from qs45", QUOTES_045)
 def _(spark, sf):
     return supports(spark, sf, "0.4.5")
 
 
-@query("ev09_evidence_support_v047")
+@query("ev09_evidence_support_v047", "select doc, g, p, support from s47", QUOTES + ",\n" + CLAUSES)
 def _(spark, sf):
     return supports(spark, sf, "0.4.7")
 
 
+def document_supports(spark, sf, version):
+    """All quotations of a document's gold signals against all of its predicted ones."""
+    def side(name, *parts):
+        rows = features(spark, sf, name, version).select("doc", F.struct("idx", *[F.col(f"f.{c}")[0].alias(c) for c in parts]).alias("q"))
+        gathered = rows.groupBy("doc").agg(F.array_sort(F.collect_list("q")).alias("a"))
+        return gathered.select("doc", *[F.col("a").getField(c).alias(f"{name}_{c}") for c in parts])
+
+    j = side("gold", "quotes", "clauses").join(side("pred", "quotes"), "doc")
+    return j.select("doc", E.evidence_support(F.col("gold_quotes"), F.col("gold_clauses"), F.col("pred_quotes"), version).alias("support"))
+
+
+_SIDES = "(select doc, count(*) as n_g from {gold} group by doc) a join (select doc, count(*) as n_p from {pred} group by doc) b on b.doc = a.doc"
+
+
+@query(
+    "ev09_document_support_v045",
+    f"""select a.doc, case when coalesce(len(ug), 0) = 0 then 0.0 else round(2 * (len(ug) / cast(n_p as double)) * (len(ug) / cast(n_g as double)) / (len(ug) / cast(n_p as double) + len(ug) / cast(n_g as double)), 6) end as support
+    from {_SIDES} left join last45 l on l.doc = a.doc""",
+    QUOTES_045 + ",\n" + _greedy_sql("45", "qs45", "similarity", 0.7),
+)
+def _(spark, sf):
+    return document_supports(spark, sf, "0.4.5")
+
+
+@query(
+    "ev09_document_support_v047",
+    f"""select a.doc, round(coalesce(h.n, 0) / cast(n_g as double), 6) as support from {_SIDES} left join (
+      select doc, count(*) as n from (select g.doc, g.idx from gq g where exists (select 1 from wh w where w.doc = g.doc and w.g = g.idx and w.ok)
+        or exists (select 1 from (select doc, g, bool_and(ok) as ok from (select doc, g, k, bool_or(ok) as ok from met group by doc, g, k) c group by doc, g) e where e.doc = g.doc and e.g = g.idx and e.ok)) s group by doc) h on h.doc = a.doc""",
+    QUOTES + ",\n" + CLAUSES,
+)
+def _(spark, sf):
+    return document_supports(spark, sf, "0.4.7")
+
+
 @query(
     "ev10_prf",
     "select doc, round(case when n_p > 0 then m / n_p else 1 end, 6) as precision, round(case when n_g > 0 then m / n_g else 1 end, 6) as recall, case when m > 0 then round(2.0 * m / (n_p + n_g), 6) else 0.0 end as f1 from (select q.doc, cast(n_g as double) as n_g, cast(coalesce(n_p, 0) as double) as n_p, cast(coalesce(len(ug), 0) as double) as m from (select doc, count(*) as n_g from {gold} group by doc) q left join (select doc, count(*) as n_p from {pred} group by doc) r on r.doc = q.doc left join last l on l.doc = q.doc) s",
@@ -158,19 +233,35 @@ def _(spark, sf):
 def _(spark, sf):
     g = view(spark, sf, "gold").groupBy("doc").agg(F.count("*").alias("n_g"))
     p = view(spark, sf, "pred").groupBy("doc").agg(F.count("*").alias("n_p"))
-    m = E.match_greedy(pairs(spark, sf)).groupBy("doc").agg(F.count("*").alias("m"))
+    m = E.match_greedy(near_pairs(spark, sf)).groupBy("doc").agg(F.count("*").alias("m"))
     j = g.join(p, "doc", "left").join(m, "doc", "left").na.fill(0)
     return j.select("doc", E.prf(F.col("m"), F.col("n_p") - F.col("m"), F.col("n_g") - F.col("m")).alias("d")).select("doc", "d.*")
 
 
+_FIELDS = {
+    "signal_role_accuracy": "signal_role", "signal_type_accuracy": "signal_type", "disease_accuracy": "disease", "pathogen_accuracy": "pathogen", "normalization_status_accuracy": "status",
+    "event_date_accuracy": "event_date", "reference_period_accuracy": "reference_period", "diagnostics_accuracy": "diagnostics", "domains_f1": "domains", "metrics_f1": "metrics",
+    "locations_f1": "locations", "hosts_f1": "hosts", "evidence_exact_f1": "exact", "evidence_support_f1": "support",
+}
+_PRF = "case when tp + fp > 0 then tp / cast(tp + fp as double) else 1.0 end as pr0, case when tp + fn > 0 then tp / cast(tp + fn as double) else 1.0 end as re0"
+_ROUND_PRF = "round(pr0, 6) as {p}precision, round(re0, 6) as {p}recall, round(case when pr0 + re0 > 0 then 2 * pr0 * re0 / (pr0 + re0) else 0.0 end, 6) as {p}f1"
+REPORT = PAIRS + ",\n" + EXACT + ",\n" + QUOTES + ",\n" + CLAUSES + f""",
+mf as (select b.doc, count(*) as matched, {', '.join(f'avg({c}) as {f}' for f, c in _FIELDS.items())} from best b join sc on sc.doc = b.doc and sc.g = b.x.g and sc.p = b.x.p
+  join s47 on s47.doc = b.doc and s47.g = b.x.g and s47.p = b.x.p join qs on qs.doc = b.doc and qs.g = b.x.g and qs.p = b.x.p group by b.doc),
+r1 as (select a.doc, n_g as gold_signals, coalesce(n_p, 0) as predicted_signals, coalesce(matched, 0) as matched_signals, coalesce(matched, 0) as tp, coalesce(n_p, 0) - coalesce(matched, 0) as fp, n_g - coalesce(matched, 0) as fn,
+  {', '.join(f'round(coalesce({f}, 1.0), 6) as {f}' for f in _FIELDS)} from {_SIDES.replace(') a join', ') a left join')} left join mf on mf.doc = a.doc),
+r2 as (select *, {_ROUND_PRF.format(p='')} from (select *, {_PRF} from r1) q),
+rep as (select * exclude (pr0, re0), round((f1 + {' + '.join(f for f in _FIELDS if f != 'evidence_exact_f1')}) / {len(_FIELDS)}, 6) as composite_score,
+  precision >= 0.9 and recall >= 0.9 and signal_role_accuracy >= 0.9 and signal_type_accuracy >= 0.85 and evidence_support_f1 >= 0.9 as single_document_pass from r2)"""
+
+
 def reports(spark, sf, version="0.4.7"):
     gold, pred = features(spark, sf, "gold", version), features(spark, sf, "pred", version)
-    ps = pairs(spark, sf, version)
-    fields = E.matched_fields(E.match_exact(ps), gold, pred, version)
+    fields = E.matched_fields(E.match_exact(near_pairs(spark, sf, version)), gold, pred, version)
     return E.document_report(gold, pred, fields)
 
 
-@query("ev11_document_report")
+@query("ev11_document_report", "select * from rep", REPORT)
 def _(spark, sf):
     return reports(spark, sf)
 
@@ -182,17 +273,35 @@ def _(spark, sf):
     PAIRS + ",\n" + GREEDY,
 )
 def _(spark, sf):
-    m = E.match_greedy(pairs(spark, sf))
+    m = E.match_greedy(near_pairs(spark, sf))
     out = E.unmatched(nested_reference(spark, sf, "gold"), nested_reference(spark, sf, "pred"), m)
     return out.select("doc", "side", "local_signal_id", "signal_type")
 
 
-@query("ev13_corpus_report")
+_MEANS = {"mean_signal_f1": "f1", "mean_evidence_exact_f1": "evidence_exact_f1", "mean_evidence_support_f1": "evidence_support_f1", "mean_signal_role_accuracy": "signal_role_accuracy", "mean_signal_type_accuracy": "signal_type_accuracy"}
+CORPUS = REPORT + f""", c1 as (select count(*) as evaluated_documents, {', '.join(f'round(coalesce(avg({c}), 0.0), 6) as {m}' for m, c in _MEANS.items())}, coalesce(sum(tp), 0)::bigint as tp, coalesce(sum(fp), 0)::bigint as fp, coalesce(sum(fn), 0)::bigint as fn from rep),
+c2 as (select * exclude (pr0, re0), {_ROUND_PRF.format(p='micro_')} from (select *, (select count(distinct doc) from {{gold}}) as adjudicated_documents, {_PRF} from c1) q),
+c3 as (select *, evaluated_documents >= 6 and evaluated_documents = adjudicated_documents as corpus_complete, {' and '.join(f'{n} >= {v}' for n, v in E.RELEASE_THRESHOLDS.items())} as metrics_pass from c2)"""
+
+
+@query("ev13_corpus_report", "select *, corpus_complete and metrics_pass as ready from c3", CORPUS)
 def _(spark, sf):
     return E.corpus_report(reports(spark, sf), view(spark, sf, "gold").select("doc").distinct())
 
 
-@query("ev14_exploratory_report")
+_STATUS = "case n_doc % 10 when 1 then 'failed' when 2 then 'prepared' when 3 then 'missing' when 4 then 'invalid_prediction' else 'evaluated' end"
+
+
+@query(
+    "ev14_exploratory_report",
+    f"""select * exclude (pr0, re0), {_ROUND_PRF.format(p='micro_')}, evaluated_documents = expected_documents as complete from (select *, {_PRF} from (
+      select count(*) as expected_documents, count(*) filter (where st = 'evaluated') as evaluated_documents, count(*) filter (where st = 'evaluated' and matched_signals > 0) as field_metric_documents,
+        round(avg(f1) filter (where st = 'evaluated'), 6) as macro_document_signal_f1, {', '.join(f"coalesce(sum({c}) filter (where st = 'evaluated'), 0)::bigint as {c}" for c in ("tp", "fp", "fn"))},
+        {', '.join(f"round(avg({f}) filter (where st = 'evaluated' and matched_signals > 0), 6) as mean_{f}" for f in E.EXPLORATORY_FIELDS)},
+        {', '.join(f"count(*) filter (where st = '{x}') as n_{x}" for x in ("failed", "prepared", "missing", "invalid_prediction"))}
+      from (select rep.*, {_STATUS} as st from rep join (select distinct doc, n_doc from {{gold}}) d on d.doc = rep.doc) q) q) q""",
+    REPORT,
+)
 def _(spark, sf):
     docs = view(spark, sf, "gold").select("doc", "n_doc").distinct()
     n = F.col("n_doc")

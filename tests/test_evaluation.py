@@ -86,3 +86,16 @@ def test_reassembly_decides_the_status(spark):
     assert {r.doc: tuple(r)[1:] for r in E.corpus_reassembly(manifest, claims, stored, present=present).collect()} == want
     forced = {r.doc: tuple(r)[1:] for r in E.corpus_reassembly(manifest, claims, stored, force=True, present=present).collect()}
     assert forced == want | {"there": ("reassembled", *full[a]), "again": ("reassembled", *full[b])}
+
+
+def test_pruned_pairs_are_those_at_the_threshold(spark):
+    from __spark_entry__ import SMOKE_DIR
+    from sentinelweave.plans.queries_evaluation import features
+
+    for version, thresholds in (("0.4.6", (0.55,)), ("0.4.7", (0.3, 0.55))):
+        gold, pred = features(spark, SMOKE_DIR, "gold", version), features(spark, SMOKE_DIR, "pred", version)
+        every = E.pair_components(gold, pred, version)
+        for threshold in thresholds:
+            want = sorted(map(tuple, every.filter(F.col("score") >= threshold).select("doc", "g", "p", "score").collect()))
+            got = sorted(map(tuple, E.reachable_pairs(gold, pred, version, threshold).select("doc", "g", "p", "score").collect()))
+            assert got == want and want
