@@ -8,7 +8,7 @@ from sentinelweave.functions.identity import event_code, uuid5
 from sentinelweave.functions.text import casefold, strip_text
 from sentinelweave.operators.gates import yes
 from sentinelweave.operators.matching import MIN_COVERAGE, STRONG_ANCHOR_PREFIX
-from sentinelweave.session import truncate_lineage
+from sentinelweave.session import materialised, truncate_lineage
 
 # Relation classes that may create events, defaults of a new event, versions a relation must carry.
 CREATING_RELATIONS = ["duplicates", "refines"]
@@ -20,7 +20,6 @@ VERSIONS = {"matcher_version": "0.4.8", "policy_version": "0.4.9", "context_reso
 OPEN_LIFECYCLES = ["active", "monitoring"]
 MANUAL_DECISIONS = ["manual_linked", "manual_unlinked"]
 ANCHOR_OVERRIDE = "shared_strong_event_context_anchor"
-# Ids of a cohort are gathered into one value up to this many; larger cohorts use a digest.
 
 
 def approved(c=F.col) -> Column:
@@ -207,100 +206,187 @@ def plan_pair_creation(relations: DataFrame, memberships: DataFrame) -> DataFram
     )
 
 
+#: Fields of a draft that stored rows must give again, and of a stored event that must equal the draft.
+SEED_FIELDS = [
+    "event_code", "title", "disease_id", "pathogen_id", "domains_present", "event_start_date", "first_signal_at", "lifecycle_status", "priority",
+    "evidence_confidence", "cross_sector_convergence", "contradictions_present", "review_status",
+]
+SEED_SOURCES = ["signal_count", "relation_count", "seed_relation_id", "source_relation"]
+#: Fields of a stored event that only a reviewer fills.
+REVIEW_FIELDS = ["summary", "reviewed_by", "reviewed_at"]
+# What an automatic membership holds besides its rationale.
+MEMBERSHIP = {"relation_to_event": "supports", "match_score": None, "match_decision": "auto_linked", "linked_by": None}
+CREATION_VERSION = "0.4.9"
+
+
+def cohort_anchors(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(cohort, anchor)``: the strong anchors of a cohort's relations, once each."""
+    return cohort_members(edges, labels).select("cohort", F.explode(strong_anchors(F.col("shared_event_context_anchors"))).alias("anchor")).distinct()
+
+
+def membership_rationale() -> Column:
+    """The audit an automatic membership carries: the event, its seed and the sizes and digest of its sources.
+
+    The sources themselves are rows (:func:`creation_sources`): a list of them on every membership would be
+    quadratic in a cohort.
+    """
+    return F.create_map(
+        F.lit("producer"), F.lit("event_creation"), F.lit("event_code"), F.col("event_code"), F.lit("seed_relation_id"), F.col("seed_relation_id"),
+        F.lit("source_signals"), F.col("signal_count").cast("string"), F.lit("source_relations"), F.col("relation_count").cast("string"),
+        *[F.lit(x) for item in {**VERSIONS, "event_creation_version": CREATION_VERSION}.items() for x in item],
+    )
+
+
+def differing(names: list[str], a: str, b: str) -> Column:
+    """Names of the fields in which two structs differ, null-safe, sorted; lists compare without order."""
+    def side(struct: str, name: str) -> Column:
+        c = F.col(f"{struct}.{name}")
+        return F.array_sort(c) if name == "domains_present" else c
+
+    return F.array_compact(F.array(*[F.when(~side(a, n).eqNullSafe(side(b, n)), F.lit(n)) for n in sorted(names)]))
+
+
 def validate_cohort(
     seeds: DataFrame, members: DataFrame, edges: DataFrame, live: DataFrame, stored: DataFrame, events: DataFrame, memberships: DataFrame,
-    supported: DataFrame | None = None, producer: str = "matcher",
+    signals: DataFrame, seed_anchors: DataFrame, supported: DataFrame, producer: str = "matcher",
 ) -> DataFrame:
-    """Recheck reviewed event drafts against the stored tables.
-
-    ``seeds``: cohort, event_code and optionally title; ``members`` (cohort, signal_id);
-    ``edges`` (cohort, relation_id) as reviewed; ``live`` current eligible ids; ``stored``
-    relations with producer, versions, coverage, override reason and anchors;
-    ``supported`` (signal_id, context_anchors found in the source text).
-    Every check is a fact per cohort; the first failing one is the reason.
+    """Recheck reviewed event drafts against the stored tables; ``(cohort, event_code, event_id, status, reason, mismatched_fields)``.
+
+    ``seeds`` are drafts as reviewed (:func:`cohort_seed`), ``seed_anchors`` their anchors (:func:`cohort_anchors`);
+    ``members`` (cohort, signal_id) and ``edges`` (cohort, relation_id) as reviewed; ``live`` current eligible ids;
+    ``stored`` relations with producer and the audit columns; ``signals`` those a draft is built of;
+    ``supported`` (signal_id, context_anchors found in the source text); ``events`` and ``memberships`` as stored,
+    where a column that is missing counts as different.
+
+    Every check is a fact per cohort, and the first that fails is the reason. In order: signals; relations; overrides
+    without anchor, of an anchor the draft lacks, without or of other versions; relations that may not create; signals
+    no relation covers; versions of all relations; the draft built again from stored rows, and its fields; anchors
+    without support in the text; the guard's verdict; more than one component; manual and other memberships; the
+    event's lifecycle, fields and review, and its memberships row by row.
     """
+    none = F.array().cast("array<string>")
     facts = seeds.select("cohort", "event_code")
     missing = members.join(live.select("signal_id"), "signal_id", "left_anti").groupBy("cohort").agg(F.count("*").alias("missing_signals"))
     own = stored.filter(F.col("producer") == producer)
     lost = edges.join(own.select("relation_id"), "relation_id", "left_anti").groupBy("cohort").agg(F.count("*").alias("missing_relations"))
-    rel = edges.join(own, "relation_id")
     a = members.select("cohort", F.col("signal_id").alias("source_id"), F.lit(True).alias("__a"))
     b = members.select("cohort", F.col("signal_id").alias("target_id"), F.lit(True).alias("__b"))
-    rel = rel.join(a, ["cohort", "source_id"], "left").join(b, ["cohort", "target_id"], "left")
+    sa = supported.select(F.col("signal_id").alias("source_id"), F.col("context_anchors").alias("__sa"))
+    sb = supported.select(F.col("signal_id").alias("target_id"), F.col("context_anchors").alias("__sb"))
+    named = F.array_distinct(F.filter(F.transform(F.coalesce("shared_event_context_anchors", none), lambda x: casefold(strip_text(x))), lambda x: yes(x != "")))
+    rel = (
+        edges.join(own, "relation_id").join(a, ["cohort", "source_id"], "left").join(b, ["cohort", "target_id"], "left")
+        .join(sa, "source_id", "left").join(sb, "target_id", "left").withColumn("__named", named)
+    )
+    # Which of a relation's anchors the draft has: by rows, an anchor of a relation against those of its cohort.
+    known = rel.select("cohort", "relation_id", F.explode("__named").alias("anchor")).join(seed_anchors, ["cohort", "anchor"], "left_semi").select(
+        "cohort", "relation_id", F.lit(True).alias("__known")).distinct()
+    rel = materialised(rel.join(known, ["cohort", "relation_id"], "left"), "cohort-relations")
     override = yes(F.col("auto_link_guard_override_reason") == ANCHOR_OVERRIDE)
-    named = F.filter(F.coalesce("shared_event_context_anchors", F.array().cast("array<string>")), lambda x: strip_text(x) != "")
     blank, off = F.lit(False), F.lit(False)
     for field, expected in VERSIONS.items():
         empty = strip_text(F.coalesce(F.col(field), F.lit(""))) == ""
         blank, off = blank | empty, off | (~empty & (F.col(field) != expected))
     valid = approved() & F.col("__a").isNotNull() & F.col("__b").isNotNull()
-    if supported is not None:
-        sa = supported.select(F.col("signal_id").alias("source_id"), F.col("context_anchors").alias("__sa"))
-        sb = supported.select(F.col("signal_id").alias("target_id"), F.col("context_anchors").alias("__sb"))
-        rel = rel.join(sa, "source_id", "left").join(sb, "target_id", "left")
-        none = F.array().cast("array<string>")
-        shared = F.array_intersect(F.coalesce("__sa", none), F.coalesce("__sb", none))
-        unsupported = F.size(F.array_except(F.transform(named, lambda x: casefold(strip_text(x))), shared)) > 0
-    else:
-        unsupported = F.lit(False)
-    low = yes(F.col("information_coverage") < MIN_COVERAGE) | F.col("information_coverage").isNull()
+    shared = F.array_intersect(F.coalesce("__sa", none), F.coalesce("__sb", none))
+    strong = F.exists(shared, lambda x: yes(x.startswith(STRONG_ANCHOR_PREFIX)))
+    coverage = F.col("information_coverage")
+    low = coverage < MIN_COVERAGE
+    # The guard again, on supported anchors: what it would decide, and the reason for an override it would give.
+    passes = coverage.isNotNull() & (~low | strong)
+    gives = F.when(low & strong, F.lit(ANCHOR_OVERRIDE))
     checks = {
-        "invalid_context_override": valid & override & (F.size(named) == 0),
-        "invalid_context_versions": valid & blank,
-        "incompatible_context_versions": valid & ~blank & off,
+        "invalid_context_override": valid & override & (F.size("__named") == 0),
+        "context_anchor_mismatch": valid & override & (F.size("__named") > 0) & F.col("__known").isNull(),
+        "override_versions": valid & override & F.col("__known").isNotNull() & blank,
+        "override_other_versions": valid & override & F.col("__known").isNotNull() & ~blank & off,
         "invalid_matcher_relations": ~valid,
-        "unsupported_context_anchors": valid & unsupported,
-        "invalid_matcher_policy": valid & (low != override),
+        "versions": blank, "other_versions": ~blank & off,
+        "unsupported_context_anchors": F.size(F.array_except("__named", shared)) > 0,
+        "invalid_matcher_policy": ~yes(passes) | ~gives.eqNullSafe(F.col("auto_link_guard_override_reason")),
     }
     per_edge = rel.groupBy("cohort").agg(*[F.count_if(test).alias(n) for n, test in checks.items()])
-    touched = rel.filter(valid).select("cohort", F.explode(F.array("source_id", "target_id")).alias("signal_id")).distinct()
+    good = rel.filter(valid)
+    touched = good.select("cohort", F.explode(F.array("source_id", "target_id")).alias("signal_id")).distinct()
     uncovered = members.join(touched, ["cohort", "signal_id"], "left_anti").groupBy("cohort").agg(F.count("*").alias("uncovered"))
-    labels = cohorts(rel.filter(valid).select("source_id", "target_id", "shared_event_context_anchors"))
+    labels = cohorts(good.select("source_id", "target_id", "shared_event_context_anchors"))
     parts = members.join(labels.withColumnRenamed("cohort", "component"), "signal_id").groupBy("cohort").agg(F.count_distinct("component").alias("parts"))
-    existing = events.select("event_code", F.col("event_id").alias("__event"), "lifecycle_status", F.col("title").alias("__title") if "title" in events.columns else F.lit(None).cast("string").alias("__title"))
-    base = facts.join(existing, "event_code", "left")
-    held = members.join(base.select("cohort", "__event"), "cohort").join(memberships, "signal_id")
-    manual = F.col("match_decision").isin(MANUAL_DECISIONS) | F.col("linked_by").isNotNull()
-    links = held.groupBy("cohort").agg(
-        F.count_if(manual).alias("manual"), F.count_if(~F.col("event_id").eqNullSafe(F.col("__event"))).alias("other_event"),
-        F.count_distinct(F.when(F.col("event_id") == F.col("__event"), F.col("signal_id"))).alias("already"),
+    # The draft again, of stored rows alone.
+    rolled = cohort_rollup(good.drop("cohort"), members)
+    rebuilt = cohort_seed(members, rolled, signals)
+    fields = [*SEED_FIELDS, *SEED_SOURCES]
+    again = rebuilt.select("cohort", F.struct(*fields).alias("__new"), F.col("error").alias("__error"))
+    reviewed = seeds.select("cohort", F.struct(*[F.col(c) if c in seeds.columns else F.lit(None).alias(c) for c in fields]).alias("__old"))
+    drafts = again.join(reviewed, "cohort").withColumn("__seed_fields", differing(fields, "__new", "__old"))
+    base = facts.join(drafts, "cohort", "left")
+    held_fields = [c for c in SEED_FIELDS if c in events.columns]
+    lacking = [c for c in SEED_FIELDS if c not in events.columns]
+    existing = events.select("event_code", F.col("event_id").alias("__event"), F.struct(*held_fields, *[c for c in REVIEW_FIELDS if c in events.columns]).alias("__stored"))
+    base = base.join(existing, "event_code", "left")
+    review = F.array_compact(F.array(*[F.when(F.col(f"__stored.{c}").isNotNull(), F.lit(c)) if c in events.columns else F.lit(c) for c in REVIEW_FIELDS]))
+    always = F.array(*[F.lit(c) for c in lacking]) if lacking else none
+    base = base.withColumn("__event_fields", F.array_sort(F.concat(differing(held_fields, "__new", "__stored"), review, always)))
+    # Memberships of the signals anywhere, and of the event with anyone.
+    wanted = members.join(base.select("cohort", "__event"), "cohort")
+    links = wanted.join(memberships, "signal_id").groupBy("cohort").agg(
+        F.count_if(F.col("match_decision").isin(MANUAL_DECISIONS) | F.col("linked_by").isNotNull()).alias("manual"),
+        F.count_if(~F.col("event_id").eqNullSafe(F.col("__event"))).alias("other_event"),
+    )
+    targets = base.filter(F.col("__event").isNotNull()).select("cohort", F.col("__event").alias("event_id"), "event_code", "__new.signal_count", "__new.relation_count", "__new.seed_relation_id")
+    insiders = members.select("cohort", "signal_id", F.lit(True).alias("__planned"))
+    present = targets.join(memberships, "event_id").withColumn("__plan", membership_rationale())
+    wrong = F.lit(False)
+    for name, value in MEMBERSHIP.items():
+        wrong = wrong | (~F.col(name).eqNullSafe(F.lit(value)) if name in memberships.columns else F.lit(True))
+    # Maps have no equality; their sorted entries have.
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    wrong = wrong | (~entries("rationale").eqNullSafe(entries("__plan")) if "rationale" in memberships.columns else F.lit(True))
+    held = present.join(insiders, ["cohort", "signal_id"], "left").groupBy("cohort").agg(
+        F.count_if(F.col("match_decision").isin(MANUAL_DECISIONS) | F.col("linked_by").isNotNull()).alias("event_manual"),
+        F.count_if(wrong | F.col("__planned").isNull()).alias("wrong_members"), F.count_distinct(F.when(F.col("__planned"), F.col("signal_id"))).alias("already"),
     )
     sizes = members.groupBy("cohort").agg(F.count_distinct("signal_id").alias("size"))
     out = base
-    for part in (missing, lost, per_edge, uncovered, parts, links, sizes):
+    for part in (missing, lost, per_edge, uncovered, parts, links, held, sizes):
         out = out.join(part, "cohort", "left")
     some = lambda c: yes(F.col(c) > 0)
     exists = F.col("__event").isNotNull()
     reason = F.when(some("missing_signals"), "signals_missing_stale_or_ineligible").when(some("missing_relations"), "relations_missing_or_foreign")
-    for name in ("invalid_context_override", "invalid_context_versions", "incompatible_context_versions", "invalid_matcher_relations"):
-        reason = reason.when(some(name), name)
-    reason = reason.when(some("uncovered"), "uncovered_cohort_signals")
-    for name in ("unsupported_context_anchors", "invalid_matcher_policy"):
-        reason = reason.when(some(name), name)
+    for name, shown in (
+        ("invalid_context_override", None), ("context_anchor_mismatch", None), ("override_versions", "invalid_context_versions"), ("override_other_versions", "incompatible_context_versions"),
+        ("invalid_matcher_relations", None), ("uncovered", "uncovered_cohort_signals"), ("versions", "invalid_context_versions"), ("other_versions", "incompatible_context_versions"),
+    ):
+        reason = reason.when(some(name), shown or name)
     reason = (
-        reason.when(yes(F.col("parts") > 1), "multiple_event_creation_cohorts").when(some("manual"), "manual_membership_conflict")
+        reason.when(yes(F.col("__error") == "endpoint_outside_cohort"), "incomplete_seed_signals").when(F.col("__error").isNotNull(), "invalid_persisted_event_seed")
+        .when(F.col("__new").isNull() | yes(F.size("__seed_fields") > 0), "event_seed_mismatch")
+        .when(some("unsupported_context_anchors"), "unsupported_context_anchors").when(some("invalid_matcher_policy"), "invalid_matcher_policy")
+        .when(yes(F.col("parts") > 1), "multiple_event_creation_cohorts").when(some("manual") | some("event_manual"), "manual_membership_conflict")
         .when(some("other_event"), "other_event_membership_conflict")
-        .when(exists & ~yes(F.col("lifecycle_status").isin(OPEN_LIFECYCLES)), "event_lifecycle_blocked")
-        .when(exists & (F.coalesce("already", F.lit(0)) != F.col("size")), "existing_membership_mismatch")
+        .when(exists & ~yes(F.col("__stored.lifecycle_status").isin(OPEN_LIFECYCLES)), "event_lifecycle_blocked")
+        .when(exists & (F.size("__event_fields") > 0), "existing_event_mismatch")
+        .when(exists & (some("wrong_members") | (F.coalesce("already", F.lit(0)) != F.col("size"))), "existing_membership_mismatch")
     )
     out = out.withColumn("reason", reason)
     status = F.when(F.col("reason").isNotNull(), "blocked").when(exists, "already_exists").otherwise("ready_to_create")
-    return out.select("cohort", "event_code", F.col("__event").alias("event_id"), status.alias("status"), "reason")
+    shown = F.when(F.col("reason") == "event_seed_mismatch", F.col("__seed_fields")).when(F.col("reason") == "existing_event_mismatch", F.col("__event_fields"))
+    return out.select("cohort", "event_code", F.col("__event").alias("event_id"), status.alias("status"), "reason", F.coalesce(shown, none).alias("mismatched_fields"))
 
 
 def create_events(valid: DataFrame, seeds: DataFrame, members: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new event rows, their memberships).  Codes already stored are skipped, so a replay adds nothing."""
     ready = valid.filter("status = 'ready_to_create'").select("cohort").join(seeds, "cohort").join(events.select("event_code"), "event_code", "left_anti")
-    rows = ready.withColumn("event_id", uuid5(F.col("event_code")))
-    links = rows.select("cohort", "event_id", "event_code", "seed_relation_id").join(members.select("cohort", "signal_id").distinct(), "cohort")
-    rationale = F.create_map(
-        F.lit("producer"), F.lit("event_creation"), F.lit("event_code"), F.col("event_code"), F.lit("seed_relation_id"), F.col("seed_relation_id"),
-        *[F.lit(x) for item in {**VERSIONS, "event_creation_version": "0.4.9"}.items() for x in item],
-    )
-    return rows, links.select(
-        "event_id", "signal_id", F.lit("supports").alias("relation_to_event"), F.lit(None).cast("decimal(4,3)").alias("match_score"),
-        F.lit("auto_linked").alias("match_decision"), F.lit(None).cast("string").alias("linked_by"), rationale.alias("rationale"),
-    )
+    rows = ready.withColumn("event_id", uuid5(F.col("event_code"))).withColumns({c: F.lit(None).cast("string") for c in REVIEW_FIELDS})
+    links = rows.select("cohort", "event_id", "event_code", "seed_relation_id", "signal_count", "relation_count").join(members.select("cohort", "signal_id").distinct(), "cohort")
+    kinds = {"match_score": "decimal(4,3)"}
+    held = [F.lit(v).cast(kinds.get(c, "string")).alias(c) for c, v in MEMBERSHIP.items()]
+    return rows, links.select("event_id", "signal_id", *held, membership_rationale().alias("rationale"))
+
+
+def creation_sources(rows: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(event_id, relation_id, versions)``: the relations each new event rests on, one audit row each."""
+    kept = cohort_members(edges, labels).select("cohort", "relation_id", *VERSIONS).distinct()
+    return rows.select("event_id", "cohort").join(kept, "cohort").drop("cohort")
 
 
 def plan_summary(plans: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ mf as (select b.doc, count(*) as matched, {', '.join(f'avg({c}) as {f}' for f, c
 r1 as (select a.doc, n_g as gold_signals, coalesce(n_p, 0) as predicted_signals, coalesce(matched, 0) as matched_signals, coalesce(matched, 0) as tp, coalesce(n_p, 0) - coalesce(matched, 0) as fp, n_g - coalesce(matched, 0) as fn,
   {', '.join(f'round(coalesce({f}, 1.0), 6) as {f}' for f in _FIELDS)} from {_SIDES.replace(') a join', ') a left join')} left join mf on mf.doc = a.doc),
 r2 as (select *, {_ROUND_PRF.format(p='')} from (select *, {_PRF} from r1) q),
-rep as (select * exclude (pr0, re0), round((f1 + {' + '.join(f for f in _FIELDS if f != 'evidence_exact_f1')}) / {len(_FIELDS)}, 6) as composite_score,
+rep as (select * exclude (pr0, re0), cast((2 * ({' + '.join(f'cast(round({f} * 1000000) as bigint)' for f in ['f1', *(f for f in _FIELDS if f != 'evidence_exact_f1')])}) + {len(_FIELDS)}) // {2 * len(_FIELDS)} as double) / 1000000 as composite_score,
   precision >= 0.9 and recall >= 0.9 and signal_role_accuracy >= 0.9 and signal_type_accuracy >= 0.85 and evidence_support_f1 >= 0.9 as single_document_pass from r2)"""
 
 

@@ -11,6 +11,7 @@ from sentinelweave.operators.hydrate import event_seed_signals
 from sentinelweave.plans.nested import signal_rows
 from sentinelweave.plans.registry import query
 from sentinelweave.plans.views import view
+from sentinelweave.session import materialised
 
 OK = "gate = 'eligible' and decision = 'auto_linked' and merge_allowed and not hard_conflict and relation in ('duplicates', 'refines')"
 GRAPH = f"""edge as (select * from {{rel}} where {OK}),
@@ -116,42 +117,82 @@ def stored_relations(spark, sf):
 
 
 def validated(spark, sf):
+    """Reviewed drafts against stored tables that have moved on: faults of every kind by modulo of the cohort's number.
+
+    Some cohorts have their event already, stored as :func:`cohorts.create_events` would; some of those were closed,
+    edited, reviewed or lost a member.
+    """
     stored = stored_relations(spark, sf)
     edges, _ = C.creation_edges(stored)
-    labels = C.cohorts(edges)
-    rollup = C.cohort_rollup(edges, labels)
-    member_edges = C.cohort_members(edges, labels).select("cohort", "relation_id")
+    labels = materialised(C.cohorts(edges), "cohorts")
+    signals = seed_signals(spark, sf)
+    seeds = materialised(C.cohort_seed(labels, C.cohort_rollup(edges, labels), signals), "seeds")
+    n = F.col("cohort").cast("long")
+    reviewed = seeds.withColumn("title", F.when(n % 19 == 4, "Another title").otherwise(F.col("title")))
+    anchors = C.cohort_anchors(edges, labels).filter(n % 17 != 3)
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("signal_id"), "shared_event_context_anchors")
+    supported = (
+        ends.select("signal_id", F.explode("shared_event_context_anchors").alias("a")).filter(F.col("signal_id").cast("long") % 29 != 7)
+        .groupBy("signal_id").agg(F.collect_set("a").alias("context_anchors"))
+    )
+    older = seeds.filter(n % 5 == 1)
+    nothing = spark.createDataFrame([], "event_code string")
+    rows, links = C.create_events(older.select("cohort", F.lit("ready_to_create").alias("status")), older, labels, nothing)
+    events = rows.withColumns(
+        {
+            "lifecycle_status": F.when(n % 3 == 0, "closed").otherwise(F.col("lifecycle_status")), "title": F.when(n % 7 == 2, "Edited").otherwise(F.col("title")),
+            "summary": F.when(n % 11 == 5, "Written").otherwise(F.col("summary")),
+        }
+    )
+    links = links.join(rows.select("event_id", "cohort"), "event_id").filter((n % 13 != 6) | (F.col("signal_id") != F.col("cohort"))).drop("cohort")
+    memberships = view(spark, sf, "mem").unionByName(links, allowMissingColumns=True)
     live = current_eligible(view(spark, sf, "sig_eligible"))
-    events = view(spark, sf, "evt").withColumn("event_code", F.col("event_id"))
-    return C.validate_cohort(rollup, labels, member_edges, live, stored, events, view(spark, sf, "mem")), labels, rollup, edges
-
-
-VALID = """st as (select e.*, cast(substr(relation_id, 2) as bigint) as m from edge e),
-stx as (select *, m % 41 = 5 as blank, m % 43 = 5 as off, anchor is not null or m % 47 = 3 as override, anchor is not null or m % 53 = 3 as low from st),
-fe as (select c.cohort, count(*) filter (where producer = 'manual') as lost, count(*) filter (where producer <> 'manual' and override and anchor is null) as bad_override,
-  count(*) filter (where producer <> 'manual' and blank) as blanks, count(*) filter (where producer <> 'manual' and not blank and off) as offs, count(*) filter (where producer <> 'manual' and low <> override) as policy
-  from stx s join comp c on c.signal_id = s.source_id group by c.cohort),
-fs as (select c.cohort, count(*) filter (where not (s.is_current and s.event_matching_eligible)) as missing from comp c join {sig_eligible} s on s.signal_id = c.signal_id group by c.cohort),
+    member_edges = C.cohort_members(edges, labels).select("cohort", "relation_id")
+    out = C.validate_cohort(reviewed, labels, member_edges, live, stored, events, memberships, signals, anchors, supported)
+    return out, labels, seeds, events
+
+
+VALID = """st as (select e.*, cast(substr(relation_id, 2) as bigint) as m, cast(source_id as bigint) as sn, cast(target_id as bigint) as tn from edge e),
+stx as (select s.*, c.cohort, cast(c.cohort as bigint) as n, m % 41 = 5 as blank, m % 43 = 5 as off, anchor is not null or m % 47 = 3 as override, anchor is not null and anchor like 'vessel:%' and cast(c.cohort as bigint) % 17 <> 3 as known
+  from st s join comp c on c.signal_id = s.source_id),
+fe as (select cohort, count(*) filter (where producer = 'manual') as lost, count(*) filter (where producer <> 'manual' and override and anchor is null) as bad_override,
+  count(*) filter (where producer <> 'manual' and anchor is not null and not known) as strange, count(*) filter (where producer <> 'manual' and known and blank) as known_blanks,
+  count(*) filter (where producer <> 'manual' and known and not blank and off) as known_offs, count(*) filter (where producer <> 'manual' and blank) as blanks, count(*) filter (where producer <> 'manual' and not blank and off) as offs,
+  count(*) filter (where producer <> 'manual' and anchor is not null and (sn % 29 = 7 or tn % 29 = 7)) as unsupported, count(*) filter (where producer <> 'manual' and m % 53 = 3 and not override) as policy
+  from stx group by cohort),
+fs as (select c.cohort, cast(c.cohort as bigint) as n, count(*) filter (where not (s.is_current and s.event_matching_eligible)) as missing, min(s.disease_id) <> max(s.disease_id) or coalesce(min(s.pathogen_id) <> max(s.pathogen_id), false) as split
+  from comp c join {sig_eligible} s on s.signal_id = c.signal_id group by c.cohort),
 fm as (select c.cohort, count(*) filter (where m.match_decision in ('manual_linked', 'manual_unlinked') or m.linked_by is not null) as manual, count(*) as held from comp c join {mem} m on m.signal_id = c.signal_id group by c.cohort),
-verdict as (select fs.cohort, case when missing > 0 then 'signals_missing_stale_or_ineligible' when lost > 0 then 'relations_missing_or_foreign' when bad_override > 0 then 'invalid_context_override' when blanks > 0 then 'invalid_context_versions'
-  when offs > 0 then 'incompatible_context_versions' when policy > 0 then 'invalid_matcher_policy' when manual > 0 then 'manual_membership_conflict' when held > 0 then 'other_event_membership_conflict' end as reason
-  from fs join fe on fe.cohort = fs.cohort left join fm on fm.cohort = fs.cohort)"""
+verdict as (select fs.cohort, fs.n, n % 5 = 1 as stored, case when missing > 0 then 'signals_missing_stale_or_ineligible' when lost > 0 then 'relations_missing_or_foreign' when bad_override > 0 then 'invalid_context_override'
+  when strange > 0 then 'context_anchor_mismatch' when known_blanks > 0 then 'invalid_context_versions' when known_offs > 0 then 'incompatible_context_versions' when blanks > 0 then 'invalid_context_versions'
+  when offs > 0 then 'incompatible_context_versions' when coalesce(split, false) then 'invalid_persisted_event_seed' when n % 19 = 4 then 'event_seed_mismatch' when unsupported > 0 then 'unsupported_context_anchors'
+  when policy > 0 then 'invalid_matcher_policy' when manual > 0 then 'manual_membership_conflict' when held > 0 then 'other_event_membership_conflict'
+  when n % 5 = 1 and n % 3 = 0 then 'event_lifecycle_blocked' when n % 5 = 1 and (n % 7 = 2 or n % 11 = 5) then 'existing_event_mismatch' when n % 5 = 1 and n % 13 = 6 then 'existing_membership_mismatch' end as reason
+  from fs join fe on fe.cohort = fs.cohort left join fm on fm.cohort = fs.cohort),
+state as (select *, case when reason is not null then 'blocked' when stored then 'already_exists' else 'ready_to_create' end as status,
+  case when reason = 'event_seed_mismatch' then 'title' when reason = 'existing_event_mismatch' then array_to_string(list_filter([case when n % 11 = 5 then 'summary' end, case when n % 7 = 2 then 'title' end], lambda x: x is not null), ',') else '' end as mismatched from verdict)"""
 
 
-@query("co7_validate_cohort", "select cohort, reason, case when reason is null then 'ready_to_create' else 'blocked' end as status from verdict", GRAPH + ",\n" + VALID)
+@query("co7_validate_cohort", "select cohort, reason, status, mismatched from state", GRAPH + ",\n" + VALID)
 def _(spark, sf):
-    return validated(spark, sf)[0].select("cohort", "reason", "status")
+    return validated(spark, sf)[0].select("cohort", "reason", "status", F.array_join("mismatched_fields", ",").alias("mismatched"))
 
 
-@query("co8_create_events", "select c.signal_id, c.cohort from comp c join verdict v on v.cohort = c.cohort where v.reason is null", GRAPH + ",\n" + VALID)
+@query(
+    "co8_create_events",
+    """select c.signal_id, c.cohort, 'auto_linked' as match_decision, 'supports' as relation_to_event, cast(z.n as varchar) as source_signals, cast(r.n as varchar) as source_relations
+    from comp c join state v on v.cohort = c.cohort join (select cohort, count(*) as n from comp group by cohort) z on z.cohort = c.cohort
+    join (select cohort, count(distinct relation_id) as n from stx group by cohort) r on r.cohort = c.cohort where v.status = 'ready_to_create'""",
+    GRAPH + ",\n" + VALID,
+)
 def _(spark, sf):
-    valid, labels, rollup, edges = validated(spark, sf)
-    seeds = C.cohort_seed(labels, rollup, seed_signals(spark, sf))
-    rows, links = C.create_events(valid, seeds, labels, view(spark, sf, "evt").withColumn("event_code", F.col("event_id")))
-    return links.join(rows.select("event_id", "cohort"), "event_id").select("signal_id", "cohort")
+    valid, labels, seeds, events = validated(spark, sf)
+    rows, links = C.create_events(valid, seeds, labels, events)
+    shown = [F.col("rationale")[c].alias(c) for c in ("source_signals", "source_relations")]
+    return links.join(rows.select("event_id", "cohort"), "event_id").select("signal_id", "cohort", "match_decision", "relation_to_event", *shown)
 
 
-@query("co9_plan_summary", "select case when reason is null then 'ready_to_create' else 'blocked' end as status, reason, count(*) as n from verdict group by reason", GRAPH + ",\n" + VALID)
+@query("co9_plan_summary", "select status, reason, count(*) as n from state group by status, reason", GRAPH + ",\n" + VALID)
 def _(spark, sf):
     return C.plan_summary(validated(spark, sf)[0])
 
