@@ -53,6 +53,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that no later step reads."""
+    context = table.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Arrow batches of whole texts stay small: by rows, and by bytes where Spark knows that setting."""
     spark.conf.set(ROWS_KEY, str(rows))

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sentinelweave.llm.common import buffers, components, grouped_order, mix, shingles, small_batches, stored, word_hashes
+from sentinelweave.llm.common import buffers, components, discard, grouped_order, mix, shingles, small_batches, stored, word_hashes
 
 #: Words of a shingle, and the Jaccard similarity in hundredths.
 WORDS, HUNDREDTHS = 5, 80
@@ -46,8 +46,8 @@ COMMON = 500_000
 COUNTED_FROM = 3
 #: Members of a group whose pairs are listed directly; members of a block of a larger group.
 FEW, BLOCK = 12, 4096
-#: Bits of a parity sketch per allowed difference.
-BITS = 32
+#: Bits of a parity sketch per allowed difference: sets with half as many differences again seldom stay below it.
+BITS = 8
 #: Ids that may be sent to all executors (8 bytes each) instead of shuffling texts.
 SENT_IDS = 500_000
 
@@ -196,15 +196,50 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return spread.join(groups, "key")
 
 
+def parities(value: np.ndarray, bounds: np.ndarray, hundredths: int) -> Iterator[tuple[int, int, bytes]]:
+    """(text number, band, parity sketch) of every non-empty set: one or two bands each, its own first."""
+    size = np.diff(bounds)
+    limits = bands(int(size.max(initial=0) * 100 // hundredths) + 1, hundredths)
+    high = np.array([x[0] for x in limits])
+    for i in np.flatnonzero(size).tolist():
+        element = mix(value[bounds[i] : bounds[i + 1]] ^ np.uint64(0x5A5A))
+        for band in sorted({int(np.searchsorted(high, size[i])), int(np.searchsorted(high, size[i] * 100 // hundredths))}):
+            length = 64 * (1 + limits[band][1] * BITS // 64)
+            odd = np.bincount((element % np.uint64(length)).astype(np.int64), minlength=length) & 1
+            yield i, band, np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def similar(pairs: DataFrame, docs: DataFrame, words: int, hundredths: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose sets are similar, by exact comparison."""
+    """The pairs ``(u, v)`` whose sets are similar, stored: parity sketches meet first, then the sets of the pairs
+    within the allowed Hamming distance are compared exactly."""
     ids = stored(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "ids")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value, bounds = sets(*buffers(batch.column(1)), words)
             blobs = [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "s"])
+            own, near, far = [None] * len(blobs), [None] * len(blobs), [None] * len(blobs)
+            for i, band, bits in parities(value, bounds, hundredths):
+                if near[i] is None:
+                    own[i], near[i] = band, bits
+                else:
+                    far[i] = bits
+            columns = [pa.array(np.diff(bounds)), pa.array(own, pa.int64()), pa.array(near, pa.binary()), pa.array(far, pa.binary()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "own", "near", "far", "s"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for r in batch.to_pylist():
+                # A similar pair meets in the band of its larger set.
+                band = max(r["own_u"], r["own_v"])
+                a, b = (r["near_" + x] if r["own_" + x] == band else r["far_" + x] for x in "uv")
+                if a is None or b is None or len(a) != len(b):
+                    keep.append(False)
+                    continue
+                apart = int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
+                keep.append(apart <= most_different(r["n_u"] + r["n_v"], hundredths))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +250,14 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, hundredths: int) -> D
                 keep.append(both > 0 and 100 * both >= hundredths * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    blobs = stored(texts_of(docs, ids).mapInArrow(gather, "doc_id long, s binary"), "sets")
-    side = lambda a, b: blobs.select(F.col("doc_id").alias(a), F.col("s").alias(b))
-    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+    facts = stored(texts_of(docs, ids).mapInArrow(gather, "doc_id long, n long, own long, near binary, far binary, s binary"), "sets")
+    sketch = lambda x: facts.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "own", "near", "far")])
+    met = stored(pairs.join(sketch("u"), "u").join(sketch("v"), "v").filter("own_u is not null and own_v is not null").mapInArrow(close, "u long, v long"), "close")
+    side = lambda a, b: facts.select(F.col("doc_id").alias(a), F.col("s").alias(b))
+    links = stored(met.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "links")
+    for table in (facts, met, ids):
+        discard(table)
+    return links
 
 
 def bit_sketches(docs: DataFrame, ids: DataFrame, words: int, hundredths: int) -> DataFrame:
@@ -226,15 +266,7 @@ def bit_sketches(docs: DataFrame, ids: DataFrame, words: int, hundredths: int) -
         for batch in batches:
             value, bounds = sets(*buffers(batch.column(1)), words)
             size = np.diff(bounds)
-            limits = bands(int(size.max(initial=0) * 100 // hundredths) + 1, hundredths)
-            high = np.array([x[0] for x in limits])
-            rows = []
-            for i in np.flatnonzero(size).tolist():
-                element = mix(value[bounds[i] : bounds[i + 1]] ^ np.uint64(0x5A5A))
-                for band in sorted({int(np.searchsorted(high, size[i])), int(np.searchsorted(high, size[i] * 100 // hundredths))}):
-                    length = 64 * (1 + limits[band][1] * BITS // 64)
-                    odd = np.bincount((element % np.uint64(length)).astype(np.int64), minlength=length) & 1
-                    rows.append((i, band, int(size[i]), np.packbits(odd.astype(np.uint8)).tobytes()))
+            rows = [(i, band, int(size[i]), bits) for i, band, bits in parities(value, bounds, hundredths)]
             which = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(which), *[pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary()))]], names=["doc_id", "band", "n", "bits"])
 
@@ -295,7 +327,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTH
     def test(pairs: DataFrame) -> None:
         ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
         sized = ordered.join(side("u"), "u").join(side("v"), "v").filter(possible).select("u", "v").distinct()
-        links.append(stored(similar(stored(sized, "pairs"), docs, words, hundredths), "links"))
+        links.append(similar(stored(sized, "pairs"), docs, words, hundredths))
 
     def roots() -> DataFrame:
         return components(reduce(DataFrame.unionByName, links))
@@ -323,8 +355,13 @@ def near_copies(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTH
     test(listed)
     root = roots()
     if crowded:
-        test(close_pairs(apart(many, root), sketches, hundredths, joining=False))
+        left = apart(many, root)
+        test(close_pairs(left, sketches, hundredths, joining=False))
         root = roots()
+        discard(left)
+        discard(sketches)
+    discard(mixed)
+    discard(members)
     return facts.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
