@@ -61,6 +61,18 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores as it takes to clash with no column of ``df``."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Arrow batches of whole texts stay small: by rows, and by bytes where Spark knows that setting."""
     spark.conf.set(ROWS_KEY, str(rows))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sentinelweave.llm.common import BASE, FOLD, buffers, mix, small_batches, stored, word_hashes
+from sentinelweave.llm.common import BASE, FOLD, buffers, free_names, mix, small_batches, stored, word_hashes
 
 # Kept (1) and ignored (0) words of a seed. With the fifth, every pattern of substitutions that leaves
 # SHARE of 8 to 20 words meets a seed.
@@ -206,5 +206,6 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents into which no item leaks, all columns kept."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
+    d, h = free_names(docs, "__d", "__h")
+    bad = leaks(docs, items).select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")

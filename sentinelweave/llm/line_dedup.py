@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sentinelweave.llm.common import buffers, grouped_order, shingles, small_batches, stored, word_hashes
+from sentinelweave.llm.common import buffers, free_names, grouped_order, shingles, small_batches, stored, word_hashes
 from sentinelweave.llm.decontamination import bitmap, passes
 from sentinelweave.llm.near_copies import COMMON, COUNTED_FROM, digests
 
@@ -207,14 +207,16 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that match earlier ones; documents of which nothing is left go."""
+    d, h, gone_lines, rest_text = free_names(docs, "__d", "__h", "__lines", "__text")
     _, gone = repeated_lines(docs)
-    lists = gone.groupBy("doc_id", "h").agg(F.collect_list("line").alias("__lines"))
-    lists = lists.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "__lines")
+    lists = gone.groupBy("doc_id", "h").agg(F.collect_list("line").alias(gone_lines))
+    lists = lists.select(F.col("doc_id").alias(d), F.col("h").alias(h), gone_lines)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    kept = docs.join(lists, (key == F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
+    kept = docs.join(lists, (key == F.col(d)) & (F.xxhash64("text") == F.col(h)), "left")
     lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.transform(lines, lambda x, i: i.cast("long")), F.col("__lines"))
+    stay = F.array_except(F.transform(lines, lambda x, i: i.cast("long")), F.col(gone_lines))
     rest = F.transform(stay, lambda i: F.get(lines, i.cast("int")))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    out = kept.withColumn("__text", text).filter("__lines is null or trim(__text) <> ''")
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col(gone_lines).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    # Blanks of every kind: a document of which only line ends are left is empty.
+    out = kept.withColumn(rest_text, text).filter(F.col(gone_lines).isNull() | F.col(rest_text).rlike(r"[^ \t-\r]"))
+    return out.select(*[F.col(rest_text).alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -25,7 +25,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sentinelweave.llm.common import stored
+from sentinelweave.llm.common import free_names, stored
 
 # Weights of the sources in code point order, repeating.
 WEIGHTS = [5.0, 2.0, 1.0]
@@ -152,16 +152,18 @@ def mix(docs: DataFrame, weights: list[float] = WEIGHTS, most: int = MOST) -> Da
 def mixed_copies(docs: DataFrame, weights: list[float] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` as often as the mix takes them, with ``copy`` from 1 (replacing a column of that name).
 
-    Rows of equal id, source and size are interchangeable in the rounding; they get its copies in any order.
+    Rows of equal id, source and size share the rounding's copies, the most to the least hash of the text.
     """
+    d, s, z, size, n, m, k, own = free_names(docs, "__d", "__s", "__z", "__size", "__n", "__m", "__k", "__own")
     counts = mix(docs, weights, most).filter("copies > 0").select(
-        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copies")
-    nth = lambda cols: F.row_number().over(Window.partitionBy(*cols).orderBy(cols[0]))
+        F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(m))
+    nth = lambda cols, order: F.row_number().over(Window.partitionBy(*cols).orderBy(order))
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    rows = sized(docs).withColumnRenamed("size", "__size") if "size" not in docs.columns else sized(docs.withColumnRenamed("size", "__own")).withColumnRenamed("size", "__size").withColumnRenamed("__own", "size")
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+    rows = sized(docs.withColumnRenamed("size", own)).withColumnRenamed("size", size).withColumnRenamed(own, "size")
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(z))
     if repeated:
-        rows, counts = rows.withColumn("__n", nth(["doc_id", "source", "__size"])), counts.withColumn("__m", nth(["__d", "__s", "__z"]))
-        same = same & (F.col("__n") == F.col("__m"))
+        rows = rows.withColumn(n, nth(["doc_id", "source", size], F.xxhash64("text")))
+        counts = counts.withColumn(k, nth([d, s, z], F.col(m).desc()))
+        same = same & (F.col(n) == F.col(k))
     taken = rows.join(counts, same)
-    return taken.select(*[F.col(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select(*[F.col(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col(m).cast("int"))).alias("copy"))

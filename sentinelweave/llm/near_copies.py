@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sentinelweave.llm.common import buffers, components, discard, grouped_order, mix, shingles, small_batches, stored, word_hashes
+from sentinelweave.llm.common import buffers, components, discard, free_names, grouped_order, mix, shingles, small_batches, stored, word_hashes
 
 #: Words of a shingle, and the Jaccard similarity in hundredths.
 WORDS, HUNDREDTHS = 5, 80
@@ -370,5 +370,6 @@ def one_per_group(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDRED
 
     Rows that share a doc_id are one document and stay or go together; null ids stay.
     """
-    gone = near_copies(docs, words, hundredths).filter("component_id <> doc_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__d"), "left_anti")
+    (d,) = free_names(docs, "__d")
+    gone = near_copies(docs, words, hundredths).filter("component_id <> doc_id").select(F.col("doc_id").alias(d)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(d), "left_anti")

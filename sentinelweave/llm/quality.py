@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sentinelweave.llm.common import buffers, grouped_order, mix, small_batches, span_hashes, stored, word_hashes
+from sentinelweave.llm.common import buffers, free_names, grouped_order, mix, small_batches, span_hashes, stored, word_hashes
 
 #: Documents that train the scorer, in expectation; the only part of the corpus that reaches the driver.
 SAMPLE = 8000
@@ -238,4 +238,5 @@ def quality(docs: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
     weights, _, share = fitted(docs)
-    return scored(docs, weights, share, "__quality").filter(F.round("__quality", 9) >= KEEP).drop("__quality")
+    (score,) = free_names(docs, "__quality")
+    return scored(docs, weights, share, score).filter(F.round(score, 9) >= KEEP).drop(score)

@@ -406,3 +406,29 @@ def test_near_copies(docs, rows, nothing, words, hundredths, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {i for i in sets if i is None or find(i) == i}
     if words == 4:
         assert near_copies.near_copies(nothing).count() == 0
+
+
+def test_stages_beside_clashing_columns(docs, spark):
+    names = ["__d", "__h", "__lines", "__text", "__quality", "__size", "__s", "__z", "__n", "__m", "__own", "size", "copies"]
+    clash = docs.withColumns({n: F.lit(n) for n in names})
+    items = spark.createDataFrame([(1, "no document holds this benchmark item of a few words")], "item_id long, text string")
+    for stage in (line_dedup.without_repeats, near_copies.one_per_group, mixing.mixed_copies, lambda x: decontamination.without_leaks(x, items)):
+        plain = collections.Counter((r.doc_id, r.text) for r in stage(docs).collect())
+        out = stage(clash)
+        assert set(names) <= set(out.columns)
+        rows = out.collect()
+        assert collections.Counter((r.doc_id, r.text) for r in rows) == plain
+        assert all(r[n] == n for r in rows for n in names)
+
+
+def test_document_of_line_ends_only_goes(spark):
+    line = "one line of words that stands in two documents and goes from the later"
+    docs = spark.createDataFrame([(1, line), (2, "\n" + line + "\n"), (3, "\n")], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.without_repeats(docs).collect()} == {1, 3}
+
+
+def test_copies_of_equal_keys_are_the_same_on_reruns(spark):
+    rows = [(i // 3, "word %d" % i, "src%d" % (i % 2)) for i in range(60)]
+    frame = lambda n: spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+    runs = [sorted((r.doc_id, r.text, r.copy) for r in mixing.mixed_copies(frame(n)).collect()) for n in (3, 5)]
+    assert runs[0] == runs[1]
