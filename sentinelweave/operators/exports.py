@@ -92,46 +92,57 @@ def _first(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col("seq")).alias("__r")).select(*keys, "__r.*")
 
 
-def export_event_dossier(
+def dossier_rows(
     events: DataFrame, members: DataFrame, signals: DataFrame, raw: DataFrame, evidence: DataFrame, relations: DataFrame,
     event_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per event: headline counts and the JSON dossier with allow-listed fields.
+    """The dossier of every event as ordered rows: a header, its cards, their excerpts and the relations inside of it.
 
-    Documents appear in publication order.  ``event_ids`` narrows the export.
+    ``section`` is 0 for the header (with the headline counts), 1 for a card, 2 for an excerpt, 3 for a relation; within
+    an event rows read by (section, published, signal_id, seq, relation_id), so documents appear in publication order
+    and undated ones last.  No array holds an event: a hot event is as many rows as it has entries.  Only the fields
+    named here leave the tables.  ``event_ids`` narrows the export.
     """
     chosen = events if event_ids is None else events.join(event_ids.select("event_id").distinct(), "event_id", "left_semi")
-    link = members.select("event_id", "signal_id", "match_decision").dropDuplicates(["event_id", "signal_id"])
+    link = members.groupBy("event_id", "signal_id").agg(F.min("match_decision").alias("match_decision"))
     link = link.join(chosen.select("event_id"), "event_id", "left_semi")
     docs = raw.select("raw_item_id", F.col("title").alias("source_title"), F.col("url").alias("source_url"), "published_on")
     cards = (
-        link.join(signals.select("signal_id", "raw_item_id", "signal_type", "signal_summary"), "signal_id")
-        .join(docs, "raw_item_id", "left")
-        .join(evidence.groupBy("signal_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda e: e["text"]).alias("excerpts")), "signal_id", "left")
-    )
-    none = F.array().cast("array<string>")
-    by_event = cards.groupBy("event_id").agg(
-        F.count("*").alias("signals"),
-        F.count_distinct("raw_item_id").alias("source_documents"),
-        F.sum(F.size(F.coalesce("excerpts", none))).alias("excerpts"),
-        F.array_sort(F.collect_list(F.struct(
-            F.coalesce(F.col("published_on").cast("string"), F.lit("9999")).alias("published"), "signal_id", "signal_type",
-            "signal_summary", "match_decision", "source_title", "source_url", F.coalesce("excerpts", none).alias("quotes"),
-        ))).alias("cards"),
+        link.join(signals.select("signal_id", "raw_item_id", "signal_type", "signal_summary"), "signal_id").join(docs, "raw_item_id", "left")
+        .withColumn("published", F.coalesce(F.col("published_on").cast("string"), F.lit("9999"))).drop("published_on")
     )
+    excerpts = cards.select("event_id", "published", "signal_id").join(evidence.select("signal_id", "seq", F.col("text").alias("excerpt")), "signal_id")
     a = link.select("event_id", F.col("signal_id").alias("source_id"))
     b = link.select("event_id", F.col("signal_id").alias("target_id"))
-    inner = (
-        relations.select("relation_id", "source_id", "target_id").join(a, "source_id").join(b, ["event_id", "target_id"])
-        .groupBy("event_id").agg(F.count("*").alias("relations"))
-    )
-    out = chosen.join(by_event, "event_id").join(inner, "event_id", "left")
-    dossier = F.to_json(F.struct("event_id", "lifecycle_status", "priority", F.col("cards").alias("signals")))
-    return out.select(
-        "event_id", "signals", F.coalesce("relations", F.lit(0).cast("long")).alias("relations"), "source_documents", "excerpts",
-        F.array_join(F.transform("cards", lambda c: c["signal_id"]), ",").alias("signal_order"), dossier.alias("dossier"),
-    )
+    kept = ["relation_id", "source_id", "target_id", "relation", "decision", "score"]
+    inner = relations.select(*kept).join(a, "source_id").join(b, ["event_id", "target_id"])
+
+    card_counts = cards.groupBy("event_id").agg(F.count("*").alias("signals"), F.count_distinct("raw_item_id").alias("source_documents"))
+    excerpt_counts = excerpts.groupBy("event_id").agg(F.count("*").alias("excerpts"))
+    relation_counts = inner.groupBy("event_id").agg(F.count("*").alias("relations"))
+    header = chosen.select("event_id", "lifecycle_status", "priority")
+    for counts in (card_counts, excerpt_counts, relation_counts):
+        header = header.join(counts, "event_id", "left")
+    header = header.fillna(0, ["signals", "source_documents", "excerpts", "relations"])
+
+    parts = [header, cards.drop("raw_item_id"), excerpts, inner]
+    out = None
+    for section, part in enumerate(parts):
+        part = part.withColumn("section", F.lit(section))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.select("event_id", "section", "published", "signal_id", "seq", *[n for n in out.columns if n not in ("event_id", "section", "published", "signal_id", "seq")])
+
+
+DOSSIER_ORDER = ["event_id", "section", "published", "signal_id", "seq", "relation_id"]
+
+
+def write_dossiers(rows: DataFrame, path: str) -> None:
+    """Write dossier rows as JSON lines to a new folder, sorted throughout: files in order of their names read as one list.
+
+    Rows are dealt by ranges of the whole order, so a task holds a range of lines and never an event as a unit.
+    """
+    ranged = rows.repartitionByRange(*DOSSIER_ORDER).sortWithinPartitions(*DOSSIER_ORDER)
+    ranged.write.mode("errorifexists").option("ignoreNullFields", "true").json(path)
 
 
 def blank(c: Column) -> Column:

@@ -293,3 +293,57 @@ def run_checks() -> dict[str, Column]:
         "failed_has_error": (F.col("status") != "failed") | F.col("error_text").isNotNull(),
         **{n + "_not_negative": F.col(n) >= 0 for n in TOKEN_COUNTERS},
     }
+
+
+# Allowed sets of the stored tables.
+REVIEW_STATUSES = ["pending", "in_review", "reviewed", "rejected"]
+MATCH_DECISIONS = ["auto_linked", "review_required", "rejected", "manual_linked", "manual_unlinked"]
+LIFECYCLES = ["active", "monitoring", "resolved", "closed"]
+PRIORITIES = ["P1", "P2", "P3", "P4"]
+OPERATIONS = ["candidate_promotion", "legacy_adoption"]
+SHA256_PATTERN = "^[0-9a-f]{64}$"
+
+
+def _within(name: str, allowed: Sequence[str]) -> dict[str, Column]:
+    return {name + "_allowed": F.col(name).isin(list(allowed))}
+
+
+def _unit(*names: str) -> dict[str, Column]:
+    return {n + "_in_unit": F.col(n).between(0, 1) for n in names}
+
+
+def _ordered(low: str, high: str) -> Column:
+    return F.col(high) >= F.col(low)
+
+
+def table_checks(table: str) -> dict[str, Column]:
+    """Row checks of a stored table by name; a check over a null is not broken unless it asks for a value.
+
+    Every table's checks are evaluated in one pass by ``audit_checks``.
+    """
+    catalogue = {
+        "runs": run_checks,
+        "signals": lambda: {
+            "version_positive": F.col("version") > 0, "dates_ordered": _ordered("occurred_start", "occurred_end"),
+            "confidence_given": F.col("extraction_confidence").isNotNull(), **_unit("extraction_confidence"),
+            **_within("signal_role", SIGNAL_ROLES), **_within("signal_type", SIGNAL_TYPES), **_within("verification_status", VERIFICATION),
+            "domains_allowed": F.forall("domains", lambda d: yes(d.isin(DOMAINS))),
+        },
+        "signal_metrics": lambda: {"has_value": F.col("value_numeric").isNotNull() | F.col("value_text").isNotNull()},
+        "signal_evidence": lambda: {"page_positive": F.col("page_number") > 0, "chars_ordered": _ordered("char_start", "char_end")},
+        "signal_locations": lambda: {**_unit("confidence"), **_within("precision", LOCATION_PRECISIONS)},
+        "signal_hosts": lambda: {**_unit("confidence"), **_within("host_type", HOST_TYPES)},
+        "signal_relations": lambda: {
+            "not_self": F.col("source_id") != F.col("target_id"), **_unit("score"), **_within("relation", PAIR_RELATIONS), **_within("decision", MATCH_DECISIONS),
+        },
+        "event_signals": lambda: {**_unit("match_score"), **_within("match_decision", MATCH_DECISIONS)},
+        "events": lambda: {**_within("lifecycle_status", LIFECYCLES), **_within("priority", PRIORITIES), **_within("review_status", REVIEW_STATUSES)},
+        "snapshot_heads": lambda: {"revision_positive": F.col("revision") > 0, "run_given": F.col("run_id").isNotNull()},
+        "snapshot_promotions": lambda: {
+            "revision_positive": F.col("revision") > 0, "actor_given": strip_text(F.coalesce("actor", F.lit(""))) != "",
+            "reason_given": strip_text(F.coalesce("reason", F.lit(""))) != "", **_within("operation", OPERATIONS),
+            "adoption_has_state": F.when(F.col("operation") == "legacy_adoption", yes(F.col("baseline_state_sha256").rlike(SHA256_PATTERN)))
+            .otherwise(F.col("baseline_state_sha256").isNull()),
+        },
+    }
+    return catalogue[table]()

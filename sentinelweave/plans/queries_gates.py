@@ -181,3 +181,45 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return V.audit_checks(view(spark, sf, "run"), "run_id", V.run_checks())
+
+
+# Stored rows of every audited table, with defects by modulo, and the twin of each check.
+STORED = {
+    "signals": (
+        """select n, version - n % 7 as version, occurred_start, case when n % 31 = 3 then occurred_start - interval '1' day else occurred_end end as occurred_end, case when n % 37 = 4 then null else n % 40 / 38.0 end as extraction_confidence,
+          signal_role, case when n % 41 = 5 then 'rumour' else signal_type end as signal_type, verification_status, domain_a, case when n % 43 = 6 then 'space' else domain_b end as domain_b from {sig}""",
+        {"version_positive": "version <= 0", "dates_ordered": "occurred_end < occurred_start", "confidence_given": "extraction_confidence is null", "extraction_confidence_in_unit": "extraction_confidence > 1",
+         "signal_type_allowed": "signal_type = 'rumour'", "domains_allowed": "domain_b = 'space'"},
+    ),
+    "signal_metrics": ("select n, case when n % 11 = 5 then null else value_numeric end as value_numeric, value_text from {sig_metric}", {"has_value": "value_numeric is null and value_text is null"}),
+    "signal_evidence": (
+        "select n * 10 + seq as n, page_number, n % 50 as char_start, case when n % 6 = 0 then null else n % 50 + n % 9 - 1 end as char_end from {sig_evidence}",
+        {"page_positive": "page_number <= 0", "chars_ordered": "char_end < char_start"},
+    ),
+    "signal_relations": (
+        "select relation_id as n, source_id, case when crc % 17 = 0 then source_id else target_id end as target_id, score + case when crc % 19 = 0 then 0.6 else 0 end as score, case when crc % 23 = 0 then 'follows' else relation end as relation, decision from (select *, cast(substr(relation_id, 2) as bigint) as crc from {rel}) q",
+        {"not_self": "source_id = target_id", "score_in_unit": "score > 1", "relation_allowed": "relation = 'follows'"},
+    ),
+    "snapshot_heads": ("select n, raw_item_id, case when n % 29 = 0 then null else run_id end as run_id, n % 10 as revision from {run}", {"revision_positive": "revision <= 0", "run_given": "run_id is null"}),
+    "snapshot_promotions": (
+        """select n, n % 10 as revision, case when n % 13 = 1 then '  ' else 'ana' end as actor, case when n % 17 = 1 then null else 'checked' end as reason,
+          case n % 3 when 0 then 'legacy_adoption' when 1 then 'candidate_promotion' else case when n % 11 = 2 then 'copy' else 'legacy_adoption' end end as operation,
+          case when n % 3 = 1 and n % 19 <> 1 then null when n % 23 = 2 then 'abc' when n % 27 = 3 then null else sha256(cast(n as string)) end as baseline_state_sha256 from {run}""",
+        {"revision_positive": "revision <= 0", "actor_given": "trim(actor) = ''", "reason_given": "reason is null", "operation_allowed": "operation = 'copy'",
+         "adoption_has_state": "case when operation = 'legacy_adoption' then baseline_state_sha256 is null or length(baseline_state_sha256) <> 64 else baseline_state_sha256 is not null end"},
+    ),
+}
+
+
+def _audited(table, rows):
+    def run(spark, sf):
+        df = run_sql(spark, sf, rows.replace("sha256(cast(n as string))", "sha2(cast(n as string), 256)"))
+        if table == "signals":
+            df = df.withColumn("domains", F.array_compact(F.array("domain_a", "domain_b")))
+        return V.audit_checks(df, "n", V.table_checks(table))
+
+    return run
+
+
+for _table, (_rows, _tests) in STORED.items():
+    query(f"dq3_audit_{_table}", " union all ".join(f"select n, '{name}' as check_name from t where {test}" for name, test in _tests.items()), f"t as ({_rows})")(_audited(_table, _rows))

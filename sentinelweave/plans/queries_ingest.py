@@ -21,6 +21,35 @@ def _(spark, sf):
     return out.select("raw_item_id", F.size("payload.claims").alias("n_claims"), F.col("payload.claims")[0]["claim_id"].alias("first_claim"))
 
 
+_SHAPES = """case n_doc % 12 when 0 then 'json' when 1 then ':object'
+  when 2 then array_to_string(list_filter([case when bool_or(confidence = 0.7) then 'claims[].confidence:number' end, 'claims[].subject.confidence:number'], lambda x: x is not null), ',')
+  when 3 then 'claims[].metric:object' when 4 then 'claims[].domains:array' when 5 then case when bool_or(metric_reported) then 'claims[].metric.reported:boolean' else '' end
+  when 6 then 'claims[].summary:string' else '' end"""
+
+
+@query(
+    "src1_split_payloads",
+    f"""select case when n_doc % 12 < 2 then 0 else n_doc end as n_doc, problems, case when problems = '' then n end as n_claims, case when problems = '' then 'c' || doc || '-1' end as first_claim
+    from (select n_doc, doc, cast(count(*) as int) as n, {_SHAPES} as problems from {{clm}} group by n_doc, doc) q""",
+)
+def _(spark, sf):
+    docs = payloads.as_documents(nested_claims(spark, sf))
+    part, body = F.col("raw_item_id").cast("long") % 12, F.col("body")
+    swap = lambda old, new: F.replace(body, F.lit(old), F.lit(new))
+    broken = (
+        F.when(part == 0, F.substring(body, F.lit(1), F.length(body) - 1)).when(part == 1, F.concat(F.lit("["), body, F.lit("]")))
+        .when(part == 2, swap('"confidence":0.7', '"confidence":"0.7"')).when(part == 3, swap('"metric":{', '"metric":5,"m":{'))
+        .when(part == 4, swap('"domains":[', '"domains":"human","d":[')).when(part == 5, swap('"reported":true', '"reported":"yes"'))
+        .when(part == 6, swap('"summary":"', '"summary":["x"],"s":"')).otherwise(body)
+    )
+    folder = run_folder(spark) + "/lines"
+    docs.select(broken.alias("value")).write.text(folder)
+    ok, bad = payloads.split_payloads(payloads.read_payload_lines(spark, folder), "claims")
+    number = lambda df: F.coalesce(F.col("raw_item_id").cast("long"), F.lit(0)).alias("n_doc")
+    return ok.select(number(ok), F.lit("").alias("problems"), F.size("payload.claims").alias("n_claims"), F.col("payload.claims")[0]["claim_id"].alias("first_claim")).unionByName(
+        bad.select(number(bad), F.array_join("problems", ",").alias("problems"), F.lit(None).cast("int").alias("n_claims"), F.lit(None).cast("string").alias("first_claim")))
+
+
 _TEXTS = """select event_id, case event_id % 8 when 0 then '{"a":1,"a":2}' when 1 then '{"a":NaN}' when 2 then '{"a":1e999}' when 3 then '{"a":' else props end as body from {events}"""
 
 
@@ -54,6 +83,30 @@ def _(spark, sf):
     return pages.scan_pages(view(spark, sf, "page")).select("page_id", "mime_type")
 
 
+_HEADER = """case page_id % 8 when 1 then 'text/html; charset=ISO-8859-1' when 2 then 'text/html; Charset="utf-8"' when 3 then 'text/html; charset=x-none'
+  when 5 then 'text/html;charset=utf-8' else 'text/html' end"""
+
+
+@query(
+    "src4_decoded_pages",
+    f"""select page_id, case page_id % 8 when 1 then 'iso8859-1' when 2 then null when 5 then case when strlen(latin) > length(latin) then 'cp1252' else 'utf-8' end else 'utf-8' end as encoding,
+      case when page_id % 8 = 2 then null when page_id % 8 in (1, 5) then md5(latin) else md5(html) end as html_md5, case when page_id % 8 = 2 then 'broken_bytes' end as reason,
+      case page_id % 8 when 2 then null when 3 then true when 5 then strlen(latin) > length(latin) else false end as recovered
+    from (select *, regexp_replace(html, '[^\\x00-\\x7F\\xA0-\\xFF]', '?', 'g') as latin from {{pages}}) q""",
+)
+def _(spark, sf):
+    # Bytes as servers send them: Latin-1 under its name, broken UTF-8, an unknown name, Latin-1 under a wrong name.
+    p = view(spark, sf, "pages")
+    latin = F.encode(F.regexp_replace("html", r"[^\x00-\x7F\xA0-\xFF]", "?"), "ISO-8859-1")
+    text = F.encode("html", "UTF-8")
+    part = F.col("page_id") % 8
+    body = F.when(part.isin(1, 5), latin).when(part == 2, F.concat(text, F.unhex(F.lit("FF81")))).otherwise(text)
+    sound, broken = pages.decode_pages(pages.scan_pages(p.select("page_id", F.expr(_HEADER).alias("mime"), body.alias("body"))))
+    none = F.lit(None).cast("string")
+    return sound.select("page_id", "encoding", F.md5("html").alias("html_md5"), none.alias("reason"), "recovered").unionByName(
+        broken.select("page_id", none.alias("encoding"), none.alias("html_md5"), "reason", F.lit(None).cast("boolean").alias("recovered")))
+
+
 _OLD = "select canonical_name as name, id, cast('old' as string) as note, synonym_a as tag from {disease} where id < 'd5'"
 _NEW = "select case when id < 'd3' then canonical_name else canonical_name || ' II' end as name, 'n' || id as id, case when id = 'd1' then null else 'new' end as note, cast(null as string) as tag from {disease}"
 
@@ -106,9 +159,41 @@ def _(spark, sf):
     left join (select signal_id, count(*) as n from {sig_evidence} group by signal_id) e on e.signal_id = m.signal_id group by m.event_id""",
 )
 def _(spark, sf):
-    mem = view(spark, sf, "mem").groupBy("event_id", "signal_id").agg(F.min("match_decision").alias("match_decision"))
-    out = exports.export_event_dossier(view(spark, sf, "evt"), mem, view(spark, sf, "sig"), view(spark, sf, "doc"), view(spark, sf, "sig_evidence"), view(spark, sf, "rel"))
-    return out.select("event_id", "signals", "source_documents", "excerpts", "signal_order")
+    rows = _dossiers(spark, sf)
+    # The digest of an event (its ids in order) is the query's, not the operator's: the operator's rows follow below.
+    order = F.array_sort(F.collect_list(F.struct("published", "signal_id")))
+    listed = rows.filter("section = 1").groupBy("event_id").agg(F.array_join(F.transform(order, lambda x: x["signal_id"]), ",").alias("signal_order"))
+    return rows.filter("section = 0").join(listed, "event_id").select("event_id", "signals", "source_documents", "excerpts", "signal_order")
+
+
+def _dossiers(spark, sf):
+    return exports.dossier_rows(*[view(spark, sf, n) for n in ("evt", "mem", "sig", "doc", "sig_evidence", "rel")])
+
+
+_DOSSIER = """lk as (select event_id, signal_id, min(match_decision) as match_decision from {mem} join {evt} using (event_id) group by event_id, signal_id),
+cd as (select lk.event_id, coalesce(cast(d.published_on as string), '9999') as published, lk.signal_id, s.raw_item_id, s.signal_type, s.signal_summary, lk.match_decision, d.title as source_title, d.url as source_url
+  from lk join {sig} s on s.signal_id = lk.signal_id left join {doc} d on d.raw_item_id = s.raw_item_id),
+ex as (select cd.event_id, cd.published, cd.signal_id, e.seq, e.text as excerpt from cd join {sig_evidence} e on e.signal_id = cd.signal_id),
+rl as (select a.event_id, r.relation_id, r.source_id, r.target_id, r.relation, r.decision, r.score from {rel} r join lk a on a.signal_id = r.source_id join lk b on b.signal_id = r.target_id and b.event_id = a.event_id)"""
+
+
+@query(
+    "snk2_dossier_rows",
+    """select v.event_id, 0 as section, null as published, null as signal_id, null as seq, v.lifecycle_status, v.priority, coalesce(c.n, 0) as signals, coalesce(c.m, 0) as source_documents, coalesce(x.n, 0) as excerpts, coalesce(r.n, 0) as relations,
+      null as match_decision, null as signal_type, null as signal_summary, null as source_title, null as source_url, null as excerpt, null as relation_id, null as source_id, null as target_id, null as relation, null as decision, cast(null as double) as score
+    from {evt} v left join (select event_id, count(*) as n, count(distinct raw_item_id) as m from cd group by event_id) c on c.event_id = v.event_id
+    left join (select event_id, count(*) as n from ex group by event_id) x on x.event_id = v.event_id left join (select event_id, count(*) as n from rl group by event_id) r on r.event_id = v.event_id
+    union all select event_id, 1, published, signal_id, null, null, null, null, null, null, null, match_decision, signal_type, signal_summary, source_title, source_url, null, null, null, null, null, null, null from cd
+    union all select event_id, 2, published, signal_id, seq, null, null, null, null, null, null, null, null, null, null, null, excerpt, null, null, null, null, null, null from ex
+    union all select event_id, 3, null, null, null, null, null, null, null, null, null, null, null, null, null, null, null, relation_id, source_id, target_id, relation, decision, score from rl""",
+    _DOSSIER,
+)
+def _(spark, sf):
+    # The rows as a reader of the written dossiers sees them.
+    rows = _dossiers(spark, sf)
+    folder = run_folder(spark)
+    exports.write_dossiers(rows, folder + "/rows")
+    return spark.read.schema(rows.schema).json(folder + "/rows")
 
 
 @query("ing1_page_text")
