@@ -8,17 +8,19 @@ number of claims of one document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from sentinelweave.functions.dates import partial_date
 from sentinelweave.functions.identity import normalize_entity, resolve_explicit_pathogen, row_sha256
 from sentinelweave.functions.sets import distinct_by
 from sentinelweave.functions.text import TEXT_LABELS_V046, casefold, squash, strip_text
+from sentinelweave.operators import validation as V
 from sentinelweave.operators.gates import (
-    biological_hosts, claim_text, contains_any, drop_operational_signals, evidence_text, facility_inventory,
-    generic_investigation, negative_history, training_intervention, yes,
+    biological_hosts, claim_text, contains_any, evidence_text, facility_inventory, generic_investigation, host_label, negative_history,
+    operational_signal, training_intervention, yes,
 )
+from sentinelweave.session import materialised
 
 # Vocabulary of the animal outbreak rules.
 ANIMAL_BLOCKERS = r"(?U)\b(no|not|sin|posible|possible|sospech\w*|presunt\w*|pasado|historical)\b"
@@ -599,10 +601,11 @@ def fold_bucket(claims: DataFrame) -> DataFrame:
     Numbering follows the first appearance of buckets when claims are read group by
     group, groups in order of their first claim.
     """
+    claims = with_notes(claims)
     period_type = claims.schema["reference_period"].dataType.simpleString()
     if "group_first" not in claims.columns:
         claims = claims.withColumn("group_first", F.min("ord").over(in_group()))
-    payload = [n for n in claims.columns if n not in ("doc", "group_first", "bucket", "bucket_group", "notes", "ord")]
+    payload = [n for n in claims.columns if n not in ("doc", "group_first", "bucket", "bucket_group", "ord")]
     folded_rows = bucket_key(claims).groupBy("doc", "bucket", "bucket_group").agg(
         F.array_sort(F.collect_list(F.struct(c("ord"), F.struct(*payload).alias("v"))), _by_ord).alias("__i"), F.min("group_first").alias("__g")
     )
@@ -651,10 +654,15 @@ def fold_bucket(claims: DataFrame) -> DataFrame:
         last_known_transmission(items).alias("transmission"), first_genomics(items).alias("genomics"),
         strongest_verification(items).alias("verification_status"), bucket_summary(items, c("signal_type")).alias("signal_summary"),
         merge_evidence(items).alias("evidence"), F.round(mean, 4).alias("extraction_confidence"), "diagnostics",
-        F.when(c("__date.conflict"), F.array(F.lit("ASM-EVENT-DATE-01"))).otherwise(F.array().cast("array<string>")).alias("notes"),
+        F.concat(_claim_notes(items), F.when(c("__date.conflict"), F.array(F.lit("ASM-EVENT-DATE-01"))).otherwise(F.array().cast("array<string>"))).alias("notes"),
     )
 
 
+def _claim_notes(items: Column) -> Column:
+    """What happened to the claims of a signal, each note with its claim."""
+    return F.flatten(F.transform(items, lambda x: F.transform(x["notes"], lambda n: F.concat_ws(" ", n, x["claim_id"]))))
+
+
 def _by_ord(a: Column, b: Column) -> Column:
     return F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
 
@@ -679,7 +687,7 @@ def merge_nonrelation(signals: DataFrame) -> DataFrame:
         yes(c("signal_role") == "negative_evidence") | yes(c("transmission.animal_to_human") == "refuted")
     )
     finding = yes(c("signal_type") == "genomic_observation") & contains_any(text, HUMAN_CONTEXT) & contains_any(text, DIFFERENCE)
-    moving = ["domains", "pathogen", "genomics", "hosts", "evidence", "signal_summary"]
+    moving = ["domains", "pathogen", "genomics", "hosts", "evidence", "signal_summary"] + (["notes"] if "notes" in signals.columns else [])
     doc = Window.partitionBy("doc")
     marked = signals.withColumns({"__target": target, "__finding": finding})
     goal = F.when(c("__target"), F.struct(c("nn"), c("pathogen.canonical_name").alias("name")))
@@ -708,6 +716,7 @@ def merge_nonrelation(signals: DataFrame) -> DataFrame:
             distinct_by(F.concat(acc["hosts"], f["hosts"]), _keyed(("canonical_name", "verbatim", "host_type"))).alias("hosts"),
             distinct_by(F.concat(f["evidence"], acc["evidence"]), _keyed(("type", "text", "page_number"))).alias("evidence"),
             F.when((said != "") & ~F.contains(own, said), strip_text(F.concat_ws(" ", said, own))).otherwise(acc["signal_summary"]).alias("signal_summary"),
+            *[F.concat(acc[n], f[n]).alias(n) for n in moving if n == "notes"],
         )
 
     hit = F.coalesce(F.size("__f"), F.lit(0)) > 0
@@ -746,8 +755,20 @@ def normalize_signals(signals: DataFrame) -> DataFrame:
         return F.struct(*[p[n].alias(n) for n in ("date", "year", "month", "precision", "verbatim")])
 
     period = c("reference_period")
+    dated = F.exists("metrics", lambda m: ~m["as_of_date"].eqNullSafe(metric(m)["as_of_date"]))
+    points = F.array(*[F.array(period[e]["date"], point(period[e])["date"]) for e in ("start", "end")])
+    changed = F.exists(points, lambda x: ~x[0].eqNullSafe(x[1]))
+    named = resolve_explicit_pathogen(c("pathogen"))
+    renamed = ~named["canonical_name"].eqNullSafe(c("pathogen.canonical_name")) | ~named["normalization_status"].eqNullSafe(c("pathogen.normalization_status"))
+    lost = F.transform(F.array_except(F.transform("hosts", host_label), F.transform(biological_hosts(c("hosts")), host_label)), lambda h: F.concat(F.lit("NORM-HOST "), h))
+    notes = {}
+    if "notes" in signals.columns:
+        told = [F.when(yes(hit), F.array(F.lit(code))).otherwise(F.array().cast("array<string>")) for hit, code in
+                ((dated, "NORM-METRIC-DATE"), (changed, "NORM-PERIOD-DATE"), (renamed, "NORM-PATHOGEN"))]
+        notes = {"notes": F.concat(c("notes"), *told, F.coalesce(lost, F.array().cast("array<string>")))}
     return signals.withColumns(
         {
+            **notes,
             "metrics": F.transform("metrics", metric),
             "reference_period": period.withField("start", point(period["start"])).withField("end", point(period["end"])),
             "pathogen": resolve_explicit_pathogen(c("pathogen")),
@@ -756,11 +777,16 @@ def normalize_signals(signals: DataFrame) -> DataFrame:
     )
 
 
+def _body(signals: DataFrame, beside: tuple[str, ...]) -> tuple[Column, T.DataType]:
+    """What makes two signals of a document equal."""
+    ignored = {"doc", "local_signal_id", "signal_summary", "extraction_confidence", "notes", *beside}
+    body = F.struct(*[n for n in signals.columns if n not in ignored])
+    return body, signals.select(body.alias("b")).schema["b"].dataType
+
+
 def dedupe_exact_signals(signals: DataFrame, order: str = "nn") -> DataFrame:
     """Drop later signals of a document equal in everything but id, summary and confidence."""
-    ignored = {"doc", order, "local_signal_id", "signal_summary", "extraction_confidence", "notes"}
-    body = F.struct(*[n for n in signals.columns if n not in ignored])
-    dtype = signals.select(body.alias("b")).schema["b"].dataType
+    body, dtype = _body(signals, (order,))
     first = F.row_number().over(Window.partitionBy("doc", "__sig").orderBy(order))
     return signals.withColumn("__sig", row_sha256(body, dtype)).withColumn("__first", first).filter("__first = 1").drop("__sig", "__first")
 
@@ -783,21 +809,77 @@ def reclassify_surveillance(signals: DataFrame) -> DataFrame:
     ).drop("__hit")
 
 
-def prepare_claims(claims: DataFrame) -> DataFrame:
-    """All claim-level steps in order, ending with the claims that become signals.
+def _claim_steps(claims: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
+    """(claims that become signals, claims left out by reason), by the claim-level steps in order.
 
-    Everything after this one shuffle is keyed by document or finer, so the windows and
-    the fold reuse the partitioning.
+    Everything after this one shuffle is keyed by document or finer, so the windows and the fold reuse the partitioning.
     """
-    out = split_multisite(claims.repartition("doc")).filter(~facility_inventory())
+    left = []
+
+    def without(df: DataFrame, reason: str, rule: Column) -> DataFrame:
+        left.append((reason, df.filter(rule)))
+        return df.filter(~rule)
+
+    out = without(split_multisite(claims.repartition("doc")), "facility_inventory", facility_inventory())
     out = mobility_to_intervention(collective_characterisation(attach_lab_confirmation(promote_animal_outbreaks(out))))
-    out = merge_surveillance_snapshots(out.filter(~generic_investigation()))
+    out = merge_surveillance_snapshots(without(out, "generic_investigation", generic_investigation()))
     out = genomic_group(mobility_window(group_rewrites(out)))
     out = out.withColumn("group_first", F.min("ord").over(in_group()))
-    return out.filter(~negative_history() & ~training_intervention())
+    out = without(out, "negative_history", negative_history())
+    return without(out, "training_intervention", training_intervention()), left
+
+
+def prepare_claims(claims: DataFrame) -> DataFrame:
+    """All claim-level steps in order, ending with the claims that become signals."""
+    return _claim_steps(claims)[0]
+
+
+def dropped_claims(claims: DataFrame) -> DataFrame:
+    """Claims that become no signal: ``doc``, ``claim_id``, ``reason`` and the notes they had by then."""
+    parts = [df.select("doc", "claim_id", F.lit(reason).alias("reason"), "notes") for reason, df in _claim_steps(claims)[1]]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def assemble_marked(claims: DataFrame) -> DataFrame:
+    """Claims to canonical, normalised signals, with what happened on the way.
+
+    ``notes`` of a signal tell every step that changed it or one of its claims; ``dropped`` is null for a signal that
+    stays, else ``operational`` or ``duplicate_of <id of the equal signal>``.  Dropped signals stay as rows, so nothing is
+    computed twice to report them.
+    """
+    signals = merge_nonrelation(fold_bucket(prepare_claims(claims)))
+    marked = canonical_evidence(signals.withColumn("dropped", F.when(operational_signal(), "operational")))
+    marked = normalize_signals(marked)
+    body, dtype = _body(marked, ("nn", "dropped"))
+    equal = Window.partitionBy("doc", "dropped", "__sig").orderBy("nn")
+    marked = marked.withColumn("__sig", row_sha256(body, dtype)).withColumn("__kept", F.first("local_signal_id").over(equal))
+    repeated = c("dropped").isNull() & (c("__kept") != c("local_signal_id"))
+    return reclassify_surveillance(marked.withColumn("dropped", F.when(repeated, F.concat(F.lit("duplicate_of "), "__kept")).otherwise(c("dropped"))).drop("__sig", "__kept"))
 
 
 def assemble(claims: DataFrame) -> DataFrame:
     """Claims to canonical, normalised, deduplicated signals."""
-    signals = canonical_evidence(drop_operational_signals(merge_nonrelation(fold_bucket(prepare_claims(claims))))[0])
-    return reclassify_surveillance(dedupe_exact_signals(normalize_signals(signals)))
+    return assemble_marked(claims).filter("dropped is null").drop("dropped")
+
+
+def checked_assembly(claims: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signals of sound documents with their notes, failures) of documents whose claims and signals are checked.
+
+    A document whose claims break the claim contract or quote what its text does not hold becomes no signals; so does one
+    whose signals break theirs.  Both are read several times, so they are written once.  ``failures``: ``doc``, ``stage`` (claims or signals), ``id``, ``path``, ``rule``.
+    ``raw``: ``raw_item_id``, ``raw_text``.
+    """
+    before = materialised(_failures(claims, raw, "claims", "claim_id", V.CLAIM_CONTRACT), "claim-failures")
+    signals = materialised(assemble(claims.join(before.select("doc").distinct(), "doc", "left_anti")), "checked-signals")
+    after = materialised(_failures(signals, raw, "signals", "local_signal_id", V.SIGNAL_CONTRACT), "signal-failures")
+    return signals.join(after.select("doc").distinct(), "doc", "left_anti"), before.unionByName(after)
+
+
+def _failures(rows: DataFrame, raw: DataFrame, stage: str, key: str, rules: list[V.Rule]) -> DataFrame:
+    broken = V.contract_check(rows, ["doc", key], rules).select("doc", F.col(key).alias("id"), "path", "rule")
+    quoted = rows.select(F.col("doc").alias("raw_item_id"), F.col(key).alias("id"), "evidence")
+    said = V.literal_evidence(quoted, raw, "id").select(F.col("raw_item_id").alias("doc"), "id", F.lit("evidence[].text").alias("path"), F.lit("literal").alias("rule"))
+    return broken.unionByName(said.distinct()).withColumn("stage", F.lit(stage))

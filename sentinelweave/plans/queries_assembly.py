@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sentinelweave.operators import assembly as A
 from sentinelweave.plans.nested import nested_claims, nested_signals
 from sentinelweave.plans.registry import query
+from sentinelweave.plans.views import view
 
 # Group-level facts of the flat claims, step by step as the group rewrites apply them.
 GROUPS = """g0 as (select *, coalesce(nullif(group_id, ''), claim_id) as gk,
@@ -65,7 +66,23 @@ def _(spark, sf):
     return A.mobility_to_intervention(nested_claims(spark, sf)).select("claim_id", "claim_kind")
 
 
-@query("asm06_merge_surveillance_snapshots")
+# First fit as a recursion over the baselines of a document: state is the list of group heads so far.
+SNAPSHOTS = """b as (select *, row_number() over (partition by doc order by ord) as i, {'dis': dis, 'pth': pth, 'topic': coalesce(dis, pth, case when txt like '%hantavirus%' then 'hantavirus' end), 'scope': scope, 'doms': doms, 'grp': gk} as hint from (
+    select doc, ord, coalesce(nullif(group_id, ''), claim_id) as gk, nullif(lower(trim(disease_verbatim)), '') as dis, nullif(lower(trim(pathogen_verbatim)), '') as pth,
+      lower(coalesce(group_id, '') || ' ' || coalesce(summary, '') || ' ' || evidence_text || coalesce(' ' || evidence2_text, '')) as txt,
+      coalesce('locality:' || lower(loc_locality), 'admin1:' || lower(loc_admin1)) as scope, list_sort(list_filter([domain_a, domain_b], lambda d: d is not null)) as doms
+    from {clm} where claim_kind = 'surveillance_baseline' and period_type <> 'historical_period') q),
+st as (select distinct doc, cast(0 as bigint) as i, cast([] as struct(dis varchar, pth varchar, topic varchar, scope varchar, doms varchar[], grp varchar)[]) as heads, cast(null as int) as ord, cast(null as varchar) as grp from b
+  union all select doc, i, case when fit is null then heads || [hint] else heads end, ord, fit.grp from (
+    select s.doc, b.i, s.heads, b.hint, b.ord, list_filter(s.heads, lambda h: h.doms = b.hint.doms and coalesce(h.dis = b.hint.dis, true) and coalesce(h.pth = b.hint.pth, true)
+      and coalesce(h.topic = b.hint.topic, false) and coalesce(h.scope = b.hint.scope, false))[1] as fit from st s join b on b.doc = s.doc and b.i = s.i + 1) z)"""
+
+
+@query(
+    "asm06_merge_surveillance_snapshots",
+    "select c.doc, c.claim_id, coalesce(st.grp, c.group_id) as group_id from {clm} c left join st on st.doc = c.doc and st.ord = c.ord where c.claim_kind = 'surveillance_baseline'",
+    SNAPSHOTS,
+)
 def _(spark, sf):
     out = A.merge_surveillance_snapshots(nested_claims(spark, sf))
     return out.filter("claim_kind = 'surveillance_baseline'").select("doc", "claim_id", "group_id")
@@ -281,3 +298,44 @@ def _(spark, sf):
         "doc", "local_signal_id", "signal_role", "signal_type", "verification_status", "signal_summary", F.size("evidence").alias("n_evidence"),
         F.size("metrics").alias("n_metrics"), F.col("pathogen.canonical_name").alias("pathogen_name"),
     )
+
+
+_UNSOUND = """bad as (select doc, claim_id as id, 'confidence' as path, 'required' as rule from {clm} where confidence is null
+  union all select doc, claim_id, 'metric.as_of_date', 'date' from {clm} where qty % 10 = 0 and length(metric_date) < 10 union all select doc, claim_id, 'evidence[].text', 'literal' from {clm} where qty = 24)"""
+
+
+@query(
+    "asm20_checked_assembly",
+    """select doc, 'claims' as stage, id, path, rule from bad union all select distinct doc, 'sound', null, null, null from {clm} where doc not in (select doc from bad)""",
+    _UNSOUND,
+)
+def _(spark, sf):
+    # Claims as the contract asks for them, but for missing confidences and imprecise metric dates; the texts lack one quotation.
+    source = nested_claims(spark, sf).join(view(spark, sf, "clm").select("claim_id", "qty"), "claim_id")
+    said = lambda x: F.when(x == "documented", "confirmed").when(x == "possible", "suspected").otherwise(x)
+    t, m = F.col("transmission"), F.col("metric")
+    claims = source.withColumns({
+        "group_id": F.coalesce(F.nullif("group_id", F.lit("")), "claim_id"), "summary": F.when(F.trim("summary") == "", "Claim").otherwise(F.col("summary")),
+        "domains": F.when(F.size("domains") == 0, F.array(F.lit("human"))).otherwise(F.col("domains")),
+        "diagnostics": F.col("diagnostics").withField("result", F.coalesce("diagnostics.result", F.lit("unknown"))),
+        "transmission": F.struct(*[said(t[n]).alias(n) for n in ("human_to_human", "animal_to_human", "vector_borne")]),
+        "metric": m.withField("as_of_date", F.when((F.length(m["as_of_date"]) == 10) | (F.col("qty") % 10 == 0), m["as_of_date"])),
+    }).drop("qty")
+    numbers = F.filter(F.sequence(F.lit(1), F.lit(50)), lambda n: n != 24)
+    quotes = F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("obs "), n.cast("string"), F.lit(" virus Andes obs "), n.cast("string"))), " ")
+    raw = view(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("raw_item_id"), F.concat(quotes, F.lit(" obs common "), F.col("o_orderkey").cast("string")).alias("raw_text"))
+    signals, failures = A.checked_assembly(claims, raw)
+    none = F.lit(None).cast("string")
+    sound = claims.select("doc").distinct().join(failures.select("doc").distinct(), "doc", "left_anti")
+    return failures.select("doc", "stage", "id", "path", "rule").unionByName(sound.select("doc", F.lit("sound").alias("stage"), none.alias("id"), none.alias("path"), none.alias("rule")))
+
+
+@query("asm20_assembly_notes")
+def _(spark, sf):
+    out = A.assemble_marked(nested_claims(spark, sf))
+    return out.select("doc", "local_signal_id", F.array_join("notes", "; ").alias("notes"), "dropped")
+
+
+@query("asm20_dropped_claims")
+def _(spark, sf):
+    return A.dropped_claims(nested_claims(spark, sf)).select("doc", "claim_id", "reason")

@@ -81,3 +81,50 @@ def test_assembly_is_stable_under_partitioning(spark):
     a = sorted((r.local_signal_id, r.signal_type) for r in A.assemble(rows.repartition(1)).collect())
     b = sorted((r.local_signal_id, r.signal_type) for r in A.assemble(rows.repartition(5)).collect())
     assert a == b == [("D-asm-01", "outbreak"), ("D-asm-02", "outbreak"), ("D-asm-03", "travel_or_mobility"), ("D-asm-04", "genomic_observation")]
+
+
+SOUND = {
+    "domains": ["human"], "evidence": [{"type": "text", "text": "un caso"}], "metric": {"reported": True, "name": "deaths", "value_numeric": 1.0, "as_of_date": None, "as_of_precision": "unknown"},
+    "subject": {"subject_type": "human", "verbatim": "persona", "confidence": 0.5}, "locations": [],
+}
+
+
+def with_doc(df, doc):
+    return df.withColumn("doc", F.lit(doc)).withColumn("claim_id", F.concat(F.lit(doc + "-"), "claim_id"))
+
+
+def test_notes_tell_what_happened_and_drops_stay_as_rows(spark):
+    day = lambda d: {"start": d, "precision": "day"}
+    rows = [
+        {**SOUND, "claim_kind": "case_status", "event_date": day("2024-01-01"), "pathogen_verbatim": "virus Andes", "metric": {**SOUND["metric"], "as_of_date": "2024-05"}},
+        {**SOUND, "claim_kind": "case_status", "event_date": day("2024-01-02"), "subject": {"subject_type": "wildlife", "verbatim": "buque"}},
+        {**SOUND, "claim_kind": "mobility", "group_id": "h"}, {**SOUND, "claim_kind": "mobility", "group_id": "i"},
+        {**SOUND, "claim_kind": "laboratory_investigation", "group_id": "j", "summary": "Investigando el origen del brote", "metric": {"reported": False}, "diagnostics": {"test_reported": False}},
+        {**SOUND, "claim_kind": "intervention", "group_id": "k", "summary": "Capacitación", "metric": {"reported": False}},
+    ]
+    df = A.with_notes(claims(spark, *rows)).withColumn("notes", F.when(F.col("ord") == 1, F.array(F.lit("ASM-ANIMAL-01"))).otherwise(F.col("notes")))
+    out = {r.local_signal_id: r for r in A.assemble_marked(df).collect()}
+    assert out["D-asm-01"].notes[:2] == ["ASM-ANIMAL-01 c1", "ASM-EVENT-DATE-01"] and "NORM-METRIC-DATE" in out["D-asm-01"].notes
+    assert [n for n in out["D-asm-01"].notes if n.startswith("NORM-HOST")] == ["NORM-HOST buque"] and [h.verbatim for h in out["D-asm-01"].hosts] == ["persona"]
+    assert out["D-asm-01"].dropped is None and out["D-asm-02"].dropped is None and out["D-asm-03"].dropped == "duplicate_of D-asm-02"
+    assert {(r.claim_id, r.reason) for r in A.dropped_claims(df).collect()} == {("c5", "generic_investigation"), ("c6", "training_intervention")}
+    assert {r.local_signal_id for r in A.assemble(df).collect()} == {"D-asm-01", "D-asm-02"}
+
+
+def test_documents_are_checked_before_and_after(spark):
+    kept = {**SOUND, "claim_kind": "case_status"}
+    parts = {
+        "A": [kept], "B": [{**kept, "confidence": 2.0}, kept], "C": [{**kept, "evidence": [{"type": "text", "text": "otro"}]}],
+        "E": [{**kept, "summary": " "}], "F": [kept],
+    }
+    df = None
+    for doc, rows in parts.items():
+        part = with_doc(claims(spark, *rows), doc)
+        df = part if df is None else df.unionByName(part)
+    raw = spark.createDataFrame([(d, "Hay  un\ncaso.") for d in "ABCE"], "raw_item_id string, raw_text string")
+    signals, failures = A.checked_assembly(df, raw)
+    assert [r.doc for r in signals.collect()] == ["A"]
+    assert {(r.doc, r.stage, r.id, r.path, r.rule) for r in failures.collect()} == {
+        ("B", "claims", "B-c1", "confidence", "range"), ("C", "claims", "C-c1", "evidence[].text", "literal"), ("F", "claims", "F-c1", "evidence[].text", "literal"),
+        ("E", "signals", "E-asm-01", "signal_summary", "filled"),
+    }
