@@ -46,8 +46,8 @@ COMMON = 500_000
 COUNTED_FROM = 3
 #: Members of a group whose pairs are listed directly; members of a block of a larger group.
 FEW, BLOCK = 12, 4096
-#: Bits of a parity sketch per allowed difference: sets with half as many differences again seldom stay below it.
-BITS = 8
+#: Bits of a parity sketch per allowed difference: in the mean, sets up to 1.07 times the allowed differences apart stay below the bound.
+BITS = 16
 #: Ids that may be sent to all executors (8 bytes each) instead of shuffling texts.
 SENT_IDS = 500_000
 
