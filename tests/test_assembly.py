@@ -128,3 +128,14 @@ def test_documents_are_checked_before_and_after(spark):
         ("B", "claims", "B-c1", "confidence", "range"), ("C", "claims", "C-c1", "evidence[].text", "literal"), ("F", "claims", "F-c1", "evidence[].text", "literal"),
         ("E", "signals", "E-asm-01", "signal_summary", "filled"),
     }
+
+
+def test_nested_claims_are_not_shuffled(spark):
+    # Documents are dealt out as narrow lines: one exchange for their order, one for the documents, none of nested claims.
+    from sentinelweave.plans.nested import nested_claims
+    from sentinelweave.plans.queries_assembly import folded
+
+    sf = "/root/testdata/sf0.001"
+    for df in (folded(spark, sf), A.merge_nonrelation(folded(spark, sf)), A.assemble_marked(nested_claims(spark, sf))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 2, plan
