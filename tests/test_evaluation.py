@@ -99,3 +99,24 @@ def test_pruned_pairs_are_those_at_the_threshold(spark):
             want = sorted(map(tuple, every.filter(F.col("score") >= threshold).select("doc", "g", "p", "score").collect()))
             got = sorted(map(tuple, E.reachable_pairs(gold, pred, version, threshold).select("doc", "g", "p", "score").collect()))
             assert got == want and want
+
+
+def test_pairs_compute_only_what_they_compare(spark):
+    # Quotations are costly to read and no component of a pair looks at them; document lines move, features do not.
+    from sentinelweave.functions.text import TOKEN_PATTERN
+    from sentinelweave.plans import queries_evaluation as Q
+
+    sf = "/root/testdata/sf0.001"
+    for df in (Q.pairs(spark, sf), Q.near_pairs(spark, sf)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert TOKEN_PATTERN not in plan and "disease" in plan
+    full = E.pair_components(Q.features(spark, sf, "gold"), Q.features(spark, sf, "pred"))
+    assert Q.pairs(spark, sf).exceptAll(full).isEmpty() and full.exceptAll(Q.pairs(spark, sf)).isEmpty()
+
+
+def test_norm_once_is_norm_text(spark):
+    from sentinelweave.functions.text import norm_once, norm_text
+
+    rows = spark.createDataFrame([(x,) for x in (None, "", "  ", " \t", " A  Straße ", "x")], "t string")
+    assert rows.filter(~norm_once("t").eqNullSafe(norm_text("t"))).isEmpty()
+    assert [r[0] for r in rows.select(norm_once("t")).collect()] == [None, None, None, None, "a strasse", "x"]
