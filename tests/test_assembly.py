@@ -139,3 +139,15 @@ def test_nested_claims_are_not_shuffled(spark):
     for df in (folded(spark, sf), A.merge_nonrelation(folded(spark, sf)), A.assemble_marked(nested_claims(spark, sf))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 2, plan
+
+
+def test_flat_columns_stay_beside_nested_claims(spark):
+    # The checks of an assembly read a flat column of the claims; joining it back moved every nested claim.
+    from sentinelweave.plans.nested import nested_claims
+    from sentinelweave.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    beside = nested_claims(spark, sf, "qty")
+    assert "Join" not in beside._jdf.queryExecution().optimizedPlan().toString()
+    flat = view(spark, sf, "clm").select("claim_id", "qty")
+    assert beside.select("claim_id", "qty").exceptAll(flat).isEmpty() and flat.exceptAll(beside.select("claim_id", "qty")).isEmpty()
