@@ -151,3 +151,26 @@ def test_flat_columns_stay_beside_nested_claims(spark):
     assert "Join" not in beside._jdf.queryExecution().optimizedPlan().toString()
     flat = view(spark, sf, "clm").select("claim_id", "qty")
     assert beside.select("claim_id", "qty").exceptAll(flat).isEmpty() and flat.exceptAll(beside.select("claim_id", "qty")).isEmpty()
+
+
+def test_tasks_that_nest_claims_follow_the_lines(spark, monkeypatch):
+    # Spark chose tasks by the bytes of narrow lines, so one task sorted and spilled the nested claims of millions.
+    from sentinelweave.plans import nested
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(nested, "LINES_PER_TASK", 100)
+    sizes = nested._dealt_lines(spark, sf).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 50 and max(r["count"] for r in sizes) < 300
+
+
+def test_the_fold_collects_only_what_its_columns_read(spark):
+    from sentinelweave.plans.queries_assembly import folded
+
+    sf = "/root/testdata/sf0.001"
+    whole = folded(spark, sf)
+    for wanted in (["transmission"], ["event_date", "notes"], ["hosts", "metrics"], list(A.NONRELATION_READS)):
+        some = folded(spark, sf, *wanted)
+        names = ["doc", "nn", "local_signal_id", *[n for n in A.FOLD_READS if n in wanted]]
+        assert some.columns == names and some.exceptAll(whole.select(names)).isEmpty() and whole.select(names).exceptAll(some).isEmpty()
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+        assert ("evidence_text" in plan) == ("evidence" in wanted) and ("subject_name" in plan) == ("hosts" in wanted)
