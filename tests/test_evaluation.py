@@ -120,3 +120,18 @@ def test_norm_once_is_norm_text(spark):
     rows = spark.createDataFrame([(x,) for x in (None, "", "  ", " \t", " A  Straße ", "x")], "t string")
     assert rows.filter(~norm_once("t").eqNullSafe(norm_text("t"))).isEmpty()
     assert [r[0] for r in rows.select(norm_once("t")).collect()] == [None, None, None, None, "a strasse", "x"]
+
+
+def test_each_side_gets_the_keys_its_fields_read_and_no_others(spark):
+    from __spark_entry__ import SMOKE_DIR
+    from sentinelweave.operators import evaluation as E
+    from sentinelweave.plans.nested import nested_reference
+
+    source = {side: nested_reference(spark, SMOKE_DIR, side).filter("doc like '1%'") for side in ("gold", "pred")}
+    whole = {side: E.score_features(s) for side, s in source.items()}
+    lean = {side: E.score_features(s, parts=E.field_parts(side=side)) for side, s in source.items()}
+    assert "clauses" not in lean["pred"].schema["f"].dataType.names and "metric_keys" not in lean["gold"].schema["f"].dataType.names
+    a, b = (whole[side].select("doc", whole[side].idx.alias(n)) for side, n in (("gold", "g"), ("pred", "p")))
+    pairs = a.join(b, "doc").selectExpr("doc", "g", "p", "1.0D as score")
+    want, got = (sorted(map(tuple, E.matched_fields(pairs, f["gold"], f["pred"]).collect())) for f in (whole, lean))
+    assert want and got == want
