@@ -122,8 +122,10 @@ def prefix_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataF
             if len(hot):
                 place = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
                 weight = np.where(hot[place] == value, level[place], 0)
-            order = grouped_order(value, owner * (1 + int(weight.max(initial=0))) + weight)
-            value, owner = value[order], owner[order]
+            if weight.any():
+                # Values ascend within a line, so a stable sort by line and weight leaves them in order.
+                order = np.argsort(owner * (1 + int(weight.max())) + weight, kind="stable")
+                value, owner = value[order], owner[order]
             at = np.arange(len(owner)) - np.searchsorted(owner, owner)
             size = n[owner]
             first = at <= size - -(-size * HUNDREDTHS // 100)
@@ -173,10 +175,11 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = stored(line_facts(docs), "lines")
     place = F.struct("doc_id", "h", "line")
     nodes = stored(facts.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(place).alias("first"), F.count("*").alias("places")), "nodes")
-    spread = prefix_rows(docs, common_tokens(facts)).repartition("token")
-    # Every column is used, so that both sides of the join read one shuffle.
-    shared = spread.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.max("n").alias("c"), F.max("at").alias("d")).filter("a < b and c > 0 and d >= 0").select("token")
-    members = stored(spread.join(shared, "token").distinct().join(nodes.groupBy("d1").agg(F.min("first").alias("first")), "d1"), "members")
+    # A window keeps what several sets share: a join of the rows with their own groups would shuffle them twice.
+    alike = Window.partitionBy("token")
+    spread = prefix_rows(docs, common_tokens(facts)).withColumns({"low": F.min("d1").over(alike), "high": F.max("d1").over(alike)})
+    shared = spread.filter("low < high").select("token", "d1", "n", "at")
+    members = stored(shared.distinct().join(nodes.groupBy("d1").agg(F.min("first").alias("first")), "d1"), "members")
     # What the length and positional filters leave of a pair that meets at a token.
     reach = lambda a, b: F.lit(1) + F.least(F.col(f"n{a}") - F.col(f"at{a}") - 1, F.col(f"n{b}") - F.col(f"at{b}") - 1)
     def possible(a: str, b: str):

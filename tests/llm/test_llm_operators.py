@@ -89,6 +89,16 @@ def test_lines(docs, rows, nothing):
     assert line_dedup.line_report(nothing).count() == 0
 
 
+def test_lines_prefix_rows_move_once(spark, docs):
+    plans, stored = [], line_dedup.stored
+    line_dedup.stored = lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), stored(df, name))[1]
+    try:
+        line_dedup.repeated_lines(docs)
+    finally:
+        line_dedup.stored = stored
+    assert dict(plans)["members"].count("MapInArrow") == 1
+
+
 # Web archive
 
 
