@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -442,3 +443,13 @@ def test_copies_of_equal_keys_are_the_same_on_reruns(spark):
     frame = lambda n: spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
     runs = [sorted((r.doc_id, r.text, r.copy) for r in mixing.mixed_copies(frame(n)).collect()) for n in (3, 5)]
     assert runs[0] == runs[1]
+
+
+def test_quality_training_copies_a_block_at_a_time():
+    x = np.random.default_rng(0).random((6000, 256), np.float32) * 0.1
+    y = (np.arange(len(x)) % 5 > 0) * 0.9 + 0.05
+    tracemalloc.start()
+    weights = quality.train(x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert weights.shape == (257,) and most < x.nbytes
