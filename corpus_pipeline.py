@@ -63,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
+        # Spark deletes shuffles and broadcasts once the driver's JVM finds their handles unused, which it seldom looks for.
+        spark.sparkContext._jvm.System.gc()
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sentinelweave.llm import decontamination, licenses, line_dedup, mixing, near_copies, quality, suffix_dedup, token_counts, topk, warc
 from sentinelweave.llm.common import scratch_path
 
@@ -453,3 +454,12 @@ def test_quality_training_copies_a_block_at_a_time():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert weights.shape == (257,) and most < x.nbytes
+
+
+def test_pipeline_lets_the_driver_collect_between_stages(spark, monkeypatch):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(i), lambda spark, docs, sf_dir: docs) for i in range(4)])
+    before = full()
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert full() - before >= 3
