@@ -78,3 +78,21 @@ def test_payloads_are_compared_with_their_types_once(spark):
     ok, bad = payloads.split_payloads(df, "claims")
     assert all("schema_of_variant" not in half._jdf.queryExecution().optimizedPlan().toString() for half in (ok, bad))
     assert [r.raw_item_id for r in ok.collect()] == ["B"] and [r.problems for r in bad.collect()] == [["claims[].claim_id:string"]]
+
+
+def test_queries_over_documents_without_a_text_equal_their_twins(spark, tmp_path):
+    # Blank and null texts of the stored sources stood in the table as kept.
+    import duckdb
+
+    import __spark_entry__ as contract
+
+    texts = [None, "", "  ", "\u00a0\t", "a", "a ", " b\n"]
+    rows = [(i, texts[i // 30 % len(texts)], "en", "s", 1) for i in range(420)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("ing5_upsert_raw_items", "ing7_ingest_summary"):
+        want = con.execute(contract.oracle_sql()[name])
+        columns = [c[0] for c in want.description]
+        got = contract.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())), name
