@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import tracemalloc
@@ -101,6 +102,29 @@ def test_lines_prefix_rows_move_once(spark, docs):
     assert dict(plans)["members"].count("MapInArrow") == 1
 
 
+def test_lines_leave_no_table_behind_and_split_texts_outside_of_lambdas(spark, docs):
+    # Nodes, members, ids and sets stayed on disk to the end, and every line of a text split the whole text anew.
+    made, stored = [], line_dedup.stored
+    line_dedup.stored = lambda df, name: (made.append((name, stored(df, name))), made[-1][1])[1]
+    try:
+        out = line_dedup.without_repeats(docs)
+    finally:
+        line_dedup.stored = stored
+    folders = {table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:") for name, table in made if name in ("lines", "nodes", "members", "ids", "sets")}
+    assert len(folders) == 5 and not any(os.path.exists(f) for f in folders)
+    # Catalyst repeats the text for the filter; each of the two splits stands outside of the lambda over lines.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(60)]
+    words = np.stack(line_dedup.parities(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])]), 1).view(np.uint64)
+    apart = lambda a, b: sum(int(x ^ y).bit_count() for x, y in zip(a.tolist(), b.tolist()))
+    assert all(apart(words[i], words[j]) <= len(np.setxor1d(sets[i], sets[j])) for i in range(60) for j in range(60))
+    assert apart(words[0], words[0]) == 0 and line_dedup.parities(np.zeros(0, np.uint64), np.zeros(1, np.int64))[0].size == 0
+
+
 # Web archive
 
 
