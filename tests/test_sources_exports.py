@@ -96,3 +96,17 @@ def test_queries_over_documents_without_a_text_equal_their_twins(spark, tmp_path
         columns = [c[0] for c in want.description]
         got = contract.queries()[name](spark, str(tmp_path)).select(*columns).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())), name
+
+
+def test_lines_of_payloads_are_written_compressed(spark):
+    # Plain lines of nested claims filled the disk at sixty times the lines of sf0.1.
+    import glob
+
+    import __spark_entry__ as contract
+    from sentinelweave.session import shared_folder
+
+    pattern = shared_folder(spark).removeprefix("file:") + "/stream-*/lines/part-*"
+    before = set(glob.glob(pattern))
+    assert contract.queries()["src1_split_payloads"](spark, "/root/testdata/sf0.001").count()
+    made = set(glob.glob(pattern)) - before
+    assert made and all(name.endswith(".gz") for name in made)
