@@ -112,3 +112,12 @@ def test_registered_candidates_reach_the_default(spark):
     got = queries()["jn03_candidates"](spark, SMOKE_DIR).groupBy("anchor_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
     assert live > 251 and len(got) == live and {(r.n, r["last"]) for r in got} == {(250, 250)}
     assert ", 250) as near" in registry.ORACLES["jn03_candidates"]
+
+
+def test_pairs_of_anchors_are_never_moved_with_their_features(spark):
+    # Pairs got the features of one side and were then shuffled with them to meet the other side's.
+    import __spark_entry__ as contract
+
+    plan = contract.queries()["mt14_match_anchors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(line for line in plan if "Join" in line)
+    assert "a_disease" in top and "target_id" not in top
